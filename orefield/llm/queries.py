@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, linededup, piece, simhash, toxicity
+from orefield.llm import decontaminate, linededup, piece, quality, simhash, sql, toxicity
 from orefield.session import load
 
 
@@ -31,6 +31,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode(load(spark, sf_dir, "documents"), with_ids=False)
 
@@ -48,52 +53,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP10_SQL = r"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line, s, hash(text) AS rev
-  FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
-), c AS (
-  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l
-), t AS (
-  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM c
-), f AS (
-  SELECT a.doc_id, a.i AS b, min(z.i) AS e, true AS forth FROM t a JOIN t z
-    ON a.doc_id = z.doc_id AND z.i >= a.i AND z.c >= a.c - a.w + 50 GROUP BY ALL
-  UNION ALL
-  SELECT z.doc_id, max(a.i) AS b, z.i AS e, false AS forth FROM t a JOIN t z
-    ON a.doc_id = z.doc_id AND z.i >= a.i AND z.c >= a.c - a.w + 50 GROUP BY ALL
-), x AS (
-  SELECT f.doc_id, b, e, forth, array_to_string(s[b + 1:e + 1], chr(10)) AS block
-  FROM f JOIN l ON f.doc_id = l.doc_id AND l.i = f.b
-), r AS (
-  SELECT doc_id, b, e, row_number() OVER (PARTITION BY forth, block ORDER BY doc_id, b) AS nth FROM x
-), gone AS (
-  SELECT DISTINCT l.doc_id, l.i FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN b AND e WHERE nth > 1
-), runs AS (
-  SELECT doc_id, min(i) AS first, max(i) AS last, count(*) AS n
-  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone) GROUP BY doc_id, run
-), told AS (
-  SELECT doc_id, sum(n) AS n, string_agg(first || '-' || last, ',' ORDER BY first) AS dropped FROM runs GROUP BY doc_id
-), kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS text
-  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
-)
-SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS BIGINT) AS n_lines,
-  CAST(coalesce(told.n, 0) AS BIGINT) AS n_dropped, coalesce(told.dropped, '') AS dropped,
-  sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op8_quality_rules": op8_quality_rules,
         "op9_piece_encoding": op9_piece_encoding,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}
