@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, linededup, piece, quality, simhash, sql, toxicity
+from orefield.llm import decontaminate, licenses, linededup, pii, piece, quality, simhash, sql, toxicity
 from orefield.session import load
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(load(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -31,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(load(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(load(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,9 +63,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_piece_encoding": op9_piece_encoding,
         "op10_line_dedup": op10_line_dedup,
@@ -65,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}
+    return {"op7_license_scan": licenses.sql(), "op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}
