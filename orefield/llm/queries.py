@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, licenses, linededup, pii, piece, quality, simhash, sql, toxicity
+from orefield.llm import decontaminate, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, toxicity, warc
 from orefield.session import load
 
 
+#: A fixed edit script for op1: an insertion, a deletion and a replacement at places that the text's length gives.
+OP1_EDITS = """array(
+  named_struct('start', n div 3, 'end', n div 3, 'new', ' a note, added in 2024. '),
+  named_struct('start', n div 2, 'end', n div 2 + 40, 'new', ''),
+  named_struct('start', greatest(n - 60, 0), 'end', greatest(n - 60, 0) + 9, 'new', 'an edited end'))"""
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = "cast(char_length(coalesce(text, '')) as bigint)"
+    trees = tokencount.build_trees(load(spark, sf_dir, "documents"))
+    edits = F.expr(OP1_EDITS.replace("n div", f"{length} div").replace("n - 60", f"{length} - 60"))
+    return tokencount.apply_edits(trees, edits, with_text=False)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(spark, load(spark, sf_dir, "pages"), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -63,7 +82,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_pii": op2_pii,
+        "op3_warc_index": op3_warc_index,
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
@@ -75,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.sql(), "op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}
+    return {"op3_warc_index": sql.OP3_SQL, "op7_license_scan": licenses.sql(), "op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}

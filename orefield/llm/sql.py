@@ -1,5 +1,17 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM k
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS g0, coalesce(source, '') AS g1, coalesce(text, '') AS text,
