@@ -20,8 +20,8 @@ from orefield.llm.arrow import HashCache, hash64, map_texts, plain_words
 #: Items are broadcast in blocks of at most about this many bytes of text.
 BLOCK_BYTES = 16 << 20
 MAX_STEPS = 64
-CHUNK = 1 << 15
-BITMAP_BITS = 20
+CHUNK = 1 << 14  # windows that walk together; their state fits a core's cache
+BITMAP_BITS = 17
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ class Index:
                     starts = np.flatnonzero(index.anchors(t))
                     starts = starts[starts + max(1, min(len(t), steps // 2)) <= len(t)]
                     padded = np.concatenate([t, np.zeros(MAX_STEPS + 1, np.uint64)])
-                    for table, sig in zip(found, self_signatures(padded, starts, r, [own], s)[0]):
+                    for table, sig in zip(found, signatures(padded, walk_bits(padded, r, s), starts, own)):
                         for at, value in zip(starts.tolist(), sig.tolist()):
                             table.setdefault(value, []).append((k, at))
                 for sample, table in zip(own, found):
@@ -94,32 +94,42 @@ class Index:
 
     def anchors(self, tokens: np.ndarray) -> np.ndarray:
         picked = (mix(tokens, 7) & np.uint64(self.settings.anchor_mask)) == 0
-        return picked | np.isin(tokens, self.extra) if len(self.extra) else picked
+        if len(self.extra):
+            few = np.zeros(1 << 16, bool)
+            few[self.extra & np.uint64(0xFFFF)] = True
+            near = np.flatnonzero(few[tokens & np.uint64(0xFFFF)])
+            picked[near] |= np.isin(tokens[near], self.extra)
+        return picked
 
     def hits(self, tokens: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
         """(window start, item number, start within the item) of every signature that meets an item's."""
         out: set[tuple[int, int, int]] = set()
         for r in range(self.settings.walks):
             tables = [x for c in self.classes.values() for x in c if x[0] == r]
+            bits = walk_bits(tokens, r, self.settings)
+            samples = [x[1] for x in tables]
             for i in range(0, len(starts), CHUNK):
                 part = starts[i : i + CHUNK]
-                for (_, _, table, bitmap), sig in zip(tables, self_signatures(tokens, part, r, [[x[1] for x in tables]], self.settings)[0]):
+                for (_, _, table, bitmap), sig in zip(tables, signatures(tokens, bits, part, samples)):
                     for j in np.flatnonzero(bitmap[sig >> np.uint64(64 - BITMAP_BITS)]).tolist():
                         for k, at in table.get(int(sig[j]), ()):
                             out.add((int(part[j]), k, at))
         return out
 
 
-def self_signatures(tokens: np.ndarray, starts: np.ndarray, walk: int, groups: list[list[np.ndarray]], s: Settings) -> list[list[np.ndarray]]:
-    """CGK walks from all starts at once, and for each group of samples the hashes of the words met at those steps.
+def walk_bits(tokens: np.ndarray, walk: int, s: Settings) -> np.ndarray:
+    """The random function of a walk: bit j of a word's number says whether the walk moves on at step j."""
+    return mix(tokens, s.seed * 31 + walk)
+
+
+def signatures(tokens: np.ndarray, bits: np.ndarray, starts: np.ndarray, samples: list[np.ndarray]) -> list[np.ndarray]:
+    """CGK walks from all starts at once, and for each sample the hashes of the words met at its steps.
 
     ``tokens`` ends in MAX_STEPS padding words, so no walk leaves it.
     """
-    samples = [x for g in groups for x in g]
     last = max((int(x[-1]) for x in samples), default=-1)
     wanted = [[k for k, x in enumerate(samples) if j in x] for j in range(last + 1)]
     sigs = [np.full(len(starts), np.uint64(1469598103934665603)) for _ in samples]
-    bits = mix(tokens, s.seed * 31 + walk)
     pos = starts.astype(np.int64)
     one, multiplier, fold = np.uint64(1), np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
     for j in range(last + 1):
@@ -129,12 +139,7 @@ def self_signatures(tokens: np.ndarray, starts: np.ndarray, walk: int, groups: l
                 x = (sigs[k] ^ symbols) * multiplier
                 sigs[k] = x ^ (x >> fold)
         pos += ((bits[pos] >> np.uint64(j)) & one).astype(np.int64)
-    sigs = [x * multiplier for x in sigs]
-    out, at = [], 0
-    for g in groups:
-        out.append(sigs[at : at + len(g)])
-        at += len(g)
-    return out
+    return [x * multiplier for x in sigs]
 
 
 def best_alignment(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
