@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: everything here stays inside the JVM."""

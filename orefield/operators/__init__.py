@@ -1 +1 @@
-"""See the package README."""
+"""Operators: DataFrames in, a lazy DataFrame out, every order total."""

@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the driver's tables, each with SQL for the same rows."""
