@@ -1 +1 @@
-"""See the package README."""
+"""Readers of markup and provider records into plain tables."""
