@@ -146,7 +146,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     runs = runs.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("dropped_lines"))
     runs = materialize(runs.withColumnsRenamed({"doc_id": "_id", "rev": "_rev"}), "dropped")
     text = F.col(text_col).cast("string")
-    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_rev")), "left")
+    # Merged at every size: the texts move once, and no table of runs is sent whole to every executor.
+    joined = docs.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_rev")), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("dropped_lines", lambda r: (i >= r["first"]) & (i <= r["last"])))
     return joined.drop("_id", "_rev").withColumns(
