@@ -10,6 +10,7 @@ steps find them. What they find is aligned exactly, word by word, against the wh
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -199,6 +200,39 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield sorted((r[0], bytes(r[1])) for r in part.collect())
 
 
+def _found(docs: DataFrame, index: Index, keep: dict[str, str], text_col: str) -> DataFrame:
+    """The columns ``keep`` and found, the items of one block that each row holds."""
+
+    def make():
+        words = HashCache(hash64)
+        pad = np.zeros(MAX_STEPS + 1, np.uint64)
+
+        def work(texts, _):
+            docs_tokens = [words.array(plain_words(t), np.uint64) for t in texts]
+            parts, bounds, at = [], [], 0
+            for t in docs_tokens:
+                parts += [t, pad]
+                bounds.append((at, at + len(t)))
+                at += len(t) + len(pad)
+            tokens = np.concatenate(parts)
+            picked = index.anchors(tokens)
+            picked &= tokens != 0
+            found: dict[int, list] = {}
+            lows = np.array([b[0] for b in bounds])
+            for hit in index.hits(tokens, np.flatnonzero(picked)):
+                found.setdefault(int(np.searchsorted(lows, hit[0], side="right")) - 1, []).append(hit)
+            told = [[] for _ in texts]
+            for d, hits in found.items():
+                for k, (edits, first, end) in sorted(verify(index, tokens, *bounds[d], sorted(hits)).items()):
+                    n = len(index.items[k][1])
+                    told[d].append({"item_id": index.items[k][0], "edits": edits, "item_words": n, "similarity": 1 - edits / n, "first_word": first, "end_word": end})
+            return {"found": pa_list(told)}
+
+        return work
+
+    return map_texts(docs, keep, f"found {FOUND}", make, text_col)
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -209,40 +243,8 @@ def leaks(
     ``min_words`` words are left out; repeated rows are told again. The texts are read once for each block of items and
     never shuffled.
     """
-    out = None
-    for rows in _blocks(benchmark, item_col, item_text):
-        index = Index.build(rows, settings)
-
-        def make(index=index):
-            words = HashCache(hash64)
-            pad = np.zeros(MAX_STEPS + 1, np.uint64)
-
-            def work(texts, _):
-                docs_tokens = [words.array(plain_words(t), np.uint64) for t in texts]
-                parts, bounds, at = [], [], 0
-                for t in docs_tokens:
-                    parts += [t, pad]
-                    bounds.append((at, at + len(t)))
-                    at += len(t) + len(pad)
-                tokens = np.concatenate(parts)
-                picked = index.anchors(tokens)
-                picked &= tokens != 0
-                found: dict[int, list] = {}
-                lows = np.array([b[0] for b in bounds])
-                for hit in index.hits(tokens, np.flatnonzero(picked)):
-                    found.setdefault(int(np.searchsorted(lows, hit[0], side="right")) - 1, []).append(hit)
-                told = [[] for _ in texts]
-                for d, hits in found.items():
-                    for k, (edits, first, end) in sorted(verify(index, tokens, *bounds[d], sorted(hits)).items()):
-                        n = len(index.items[k][1])
-                        told[d].append({"item_id": index.items[k][0], "edits": edits, "item_words": n, "similarity": 1 - edits / n, "first_word": first, "end_word": end})
-                return {"found": pa_list(told)}
-
-            return work
-
-        part = map_texts(docs, {"doc_id": f"`{id_col}`"}, f"found {FOUND}", make, text_col)
-        out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    blocks = [_found(docs, Index.build(rows, settings), {"doc_id": f"`{id_col}`"}, text_col) for rows in _blocks(benchmark, item_col, item_text)]
+    return reduce(DataFrame.unionByName, blocks).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 FOUND = "array<struct<item_id:bigint,edits:bigint,item_words:bigint,similarity:double,first_word:bigint,end_word:bigint>>"
@@ -256,7 +258,11 @@ def pa_list(told: list[list[dict]]):
     return pa.array(told, type=pa.list_(kind))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id has a leak."""
-    bad = leaks(docs, benchmark, settings, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows that hold an item; nothing is joined or shuffled."""
+    names = docs.columns
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    for rows in _blocks(benchmark, item_col, item_text):
+        own = {f"c{i}": f"c{i}" for i in range(len(names))}
+        out = _found(out, Index.build(rows, settings), own, f"c{names.index(text_col)}").where(F.size("found") == 0).drop("found")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

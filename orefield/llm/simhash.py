@@ -150,7 +150,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller id; rows that repeat an id count once."""
+    """docs without the near-duplicates of a document with a smaller id; rows that repeat an id count once.
+
+    Of rows without an id one stays, if their group has no id at all.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct(), "stay")
+    named = docs.where(F.col(id_col).isNotNull())
+    # The join and the removal of repeated ids share one shuffle by id.
+    kept = named.join(stay.where("_stay is not null").hint("merge"), F.col(id_col) == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    if stay.where("_stay is null").isEmpty():
+        return kept
+    return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([id_col]))
