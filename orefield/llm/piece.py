@@ -16,7 +16,7 @@ from orefield.llm.arrow import map_texts
 SPACE = "▁"
 #: A unit is spaces and then other characters; no piece of the vocabulary reaches over its end (checked on loading).
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 150_000
+CACHE = 300_000
 
 
 def default_model() -> str:
@@ -49,42 +49,39 @@ class PieceModel:
 
     def encode_unit(self, unit: str) -> list[int]:
         """Merge the best-ranked adjacent pair, the leftmost on ties, until no pair is a piece."""
-        text = list(unit)
-        n = len(text)
-        rank = self.rank
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
+        n = len(unit)
+        rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
+        end = list(range(1, n + 1))  # where the symbol that starts here ends; 0 for swallowed starts
+        before = list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
-            r = rank.get(text[i] + text[i + 1])
+            r = rank(unit[i : i + 2])
             if r is not None:
-                agenda.append((r, i, text[i] + text[i + 1]))
+                agenda.append((r, i, i + 1, i + 2))
         heapq.heapify(agenda)
         while agenda:
-            _, i, piece = heapq.heappop(agenda)
-            a = text[i]
-            if not a or len(a) >= len(piece):
-                continue
-            j = right[i]
-            if j >= n or len(a) + len(text[j]) != len(piece) or a + text[j] != piece:
-                continue
-            text[i], text[j] = piece, ""
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                r = rank.get(piece + text[k])
+            _, i, mid, stop = pop(agenda)
+            if end[i] != mid or end[mid] != stop:
+                continue  # one of the two has been merged since
+            end[i], end[mid] = stop, 0
+            if stop < n:
+                before[stop] = i
+                r = rank(unit[i : end[stop]])
                 if r is not None:
-                    heapq.heappush(agenda, (r, i, piece + text[k]))
-            h = left[i]
+                    push(agenda, (r, i, stop, end[stop]))
+            h = before[i]
             if h >= 0:
-                r = rank.get(text[h] + piece)
+                r = rank(unit[h:stop])
                 if r is not None:
-                    heapq.heappush(agenda, (r, h, text[h] + piece))
-        out = []
-        for s in text:
-            if s:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
+                    push(agenda, (r, h, i, stop))
+        out, i, ids = [], 0, self.ids.get
+        while i < n:
+            k = ids(unit[i : end[i]])
+            if k is None:
+                out += [self.byte_ids[b] for b in unit[i : end[i]].encode()]
+            else:
+                out.append(k)
+            i = end[i]
         return out
 
     def units(self, text: str) -> list[str]:
@@ -139,6 +136,12 @@ class Units(dict):
                 self[u] = (",".join(map(str, x)), len(x), b"".join([m.bytes_of[i] for i in x]))
 
 
+@functools.lru_cache(maxsize=2)
+def load_units(path: str) -> Units:
+    """One for each worker process, so tasks find what earlier ones have learnt."""
+    return Units(load_model(path))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens, ids_sha256, decoded_sha256): a row for each row of docs.
 
@@ -150,13 +153,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def make():
         m = load_model(path)
-        cache = Units(m)
+        cache = load_units(path)
 
         def work(texts, _):
             n_tokens, shas, decoded, lists = [], [], [], []
-            for t in texts:
-                units = m.units(t.decode("utf-8", "replace"))
-                cache.learn(set(units))
+            split = [m.units(t.decode("utf-8", "replace")) for t in texts]
+            cache.learn({u for units in split for u in units})
+            for units in split:
                 made = [cache[u] for u in units]
                 joined = ",".join([x[0] for x in made])
                 data = b"".join([x[2] for x in made])
