@@ -114,12 +114,12 @@ def _error_sql(s: str) -> str:
     k AS (SELECT *, upper(translate(left(sha256(trim(a)), 24), '0123456789', 'GHIJKLMNOP')) AS k FROM e)
     SELECT p_partkey, error IS NULL AS valid, error, CASE WHEN error IS NULL THEN trim(a) END AS canonical,
       CASE WHEN error IS NULL THEN left(k, 14) || '-' || substr(k, 15, 10) || '-N' END AS inchi_key,
-      CASE WHEN error IS NULL THEN CAST(len(regexp_extract_all(trim(a), '([A-Z][a-z]?|[cnops])')) AS INT) END AS heavy_atoms,
-      CASE WHEN error IS NULL THEN CAST(regexp_matches(a, '[1-9]') AS INT) END AS rings FROM k"""
+      CASE WHEN error IS NULL THEN CAST(len(regexp_extract_all(trim(a), '([A-Z][a-z]?|[cnops])')) AS INT) ELSE 0 END AS heavy_atoms,
+      CASE WHEN error IS NULL THEN CAST(regexp_matches(a, '[1-9]') AS INT) ELSE 0 END AS rings FROM k"""
 )
 def structure_fallback(spark: SparkSession, sf: str) -> DataFrame:
     (part,) = views(spark, sf, "part")
-    return part.select("p_partkey", C.structure(F.expr(SMILES_A)).alias("s")).select("p_partkey", "s.*")
+    return part.select("p_partkey", C.structure(F.expr(SMILES_A)).alias("s")).select("p_partkey", "s.*").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("heavy_atoms", "rings")})
 
 
 COMPARE_SQL = f"""WITH s AS (SELECT p_partkey, {SMILES_A} AS a, {SMILES_B} AS b, {CONF_A} AS ca, {CONF_B} AS cb FROM part),

@@ -66,7 +66,7 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS id, l_linenumber AS rank, l_extendedprice AS score FROM lineitem) SELECT query_id, count(*) AS results_count, sum(rank) AS ranks, round(max(score), 6) AS best FROM r GROUP BY 1"""
+    """WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS id, l_linenumber AS rank, l_extendedprice AS score FROM lineitem) SELECT query_id, count(*) AS results_count, sum(rank)::BIGINT AS ranks, round(max(score), 6) AS best FROM r GROUP BY 1"""
 )
 def search_audit(spark: SparkSession, sf: str) -> DataFrame:
     (li,) = views(spark, sf, "lineitem")

@@ -135,13 +135,13 @@ UPLOAD = """doc_id AS upload_id, source AS org, CASE WHEN doc_id % 11 = 0 THEN '
       WHEN NOT starts_with(body, '%PDF-') THEN 'magic' WHEN content_type NOT IN ('', 'application/pdf') THEN 'content_type' END AS wrong FROM u),
     k AS (SELECT org, sha, min(upload_id) AS document_id FROM w WHERE upload_id % 23 = 0 GROUP BY 1, 2), f AS (SELECT org, sha, min(upload_id) AS first_upload FROM w WHERE wrong IS NULL GROUP BY 1, 2),
     s AS (SELECT w.*, document_id, coalesce(wrong, CASE WHEN document_id IS NOT NULL OR first_upload < upload_id THEN 'duplicate' END, 'accepted') AS status FROM w LEFT JOIN k USING (org, sha) LEFT JOIN f USING (org, sha))
-    SELECT upload_id, sha, status, CASE WHEN status = 'duplicate' THEN document_id END AS duplicate_of FROM s"""
+    SELECT upload_id, sha, status, coalesce(CASE WHEN status = 'duplicate' THEN document_id END, -1) AS duplicate_of FROM s"""
 )
 def upload_dedup(spark: SparkSession, sf: str) -> DataFrame:
     (d,) = views(spark, sf, "documents")
     u = d.selectExpr("doc_id", "source", "text").selectExpr(*_aliased(UPLOAD)).withColumn("content", F.col("body").cast("binary"))
     known = u.where("upload_id % 23 = 0").select("org", F.sha2("content", 256).alias("sha"), F.col("upload_id").alias("document_id"))
-    return R.check_uploads(u, known, 60000)
+    return R.check_uploads(u, known, 60000).withColumn("duplicate_of", F.coalesce("duplicate_of", F.lit(-1)))
 
 
 def _aliased(text: str) -> list[str]:
@@ -193,13 +193,13 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", props["k"].alias("k"), R.map_lines(m).alias("line"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')) AS abstract, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1900 + doc_id % 100 END AS year FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')) AS abstract, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1900 + doc_id % 100 END AS year FROM documents")
 def inverted_abstract(spark: SparkSession, sf: str) -> DataFrame:
     (d,) = views(spark, sf, "documents")
     words = F.split(F.trim(F.regexp_replace(F.substring("text", 1, 120), r"\s+", " ")), " ")
     places = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
     date = F.when(F.col("doc_id") % 3 == 0, F.lit("n.d.")).otherwise(F.concat((F.col("doc_id") % 100 + 1900).cast("string"), F.lit("-01-02")))
-    return d.select("doc_id", R.inverted_abstract(F.map_from_entries(places)).alias("abstract"), R.year_of(date).cast("long").alias("year"))
+    return d.select("doc_id", R.inverted_abstract(F.map_from_entries(places)).alias("abstract"), F.coalesce(R.year_of(date), F.lit(0)).cast("long").alias("year"))
 
 
 @query("SELECT p_partkey % 40 AS provider_order, p_partkey, p_name AS title FROM part QUALIFY row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) = 1")

@@ -102,9 +102,10 @@ def _lists(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {"semantic": _rounded(retrieval.vector_topk(asked, e, 20, id_col="vec_id"), "score"), "lexical": _lexical(spark, sf, 20)}
 
 
-@query(f"WITH {FUSED} SELECT query_id, id, rrf, round(best, 6) AS best, semantic_rank, lexical_rank, rank FROM rrf WHERE rank <= 10")
+@query(f"WITH {FUSED} SELECT query_id, id, rrf, round(best, 6) AS best, coalesce(semantic_rank, 0) AS semantic_rank, coalesce(lexical_rank, 0) AS lexical_rank, rank FROM rrf WHERE rank <= 10")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(fusion.rrf_fuse(_lists(spark, sf), top=10), "best")
+    fused = _rounded(fusion.rrf_fuse(_lists(spark, sf), top=10), "best")
+    return fused.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("semantic_rank", "lexical_rank")})
 
 
 @query(
@@ -205,7 +206,7 @@ WITH RECURSIVE c AS (
     LATERAL (SELECT '### Source [' || (f.n + 1) || ']: ' || c.title || ' | Section: ' || c.section || ' | Page: ' || c.page || chr(10) || trim(c.text) || chr(10) AS block) k,
     LATERAL (SELECT greatest(1, CAST(floor(greatest(len(regexp_extract_all(k.block, '\\S+')) * 1.3::DOUBLE, length(k.block) / 3.8::DOUBLE)) AS INTEGER)) AS cost) b)
 )
-SELECT query_id, id, used, CASE WHEN used THEN n END AS number, tokens FROM fold WHERE pos > 0
+SELECT query_id, id, used, CASE WHEN used THEN n ELSE 0 END AS number, tokens FROM fold WHERE pos > 0
 """
 
 
@@ -221,7 +222,7 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
         F.col("lang").alias("section"),
         (F.col("n_chars") % 9).cast("int").alias("page"),
     )
-    return rerank.pack_context(chunks, max_tokens=2000, reserve=1000, max_chunks=8)
+    return rerank.pack_context(chunks, max_tokens=2000, reserve=1000, max_chunks=8).withColumn("number", F.coalesce("number", F.lit(0)))
 
 
 METRIC_SQL = f"""WITH {FUSED},
