@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orefield.session import load
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -25,4 +27,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def views(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
+    return [load(spark, sf_dir, t) for t in tables]
