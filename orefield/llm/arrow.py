@@ -21,7 +21,9 @@ WORD_TABLE = bytes(
 
 
 def plain_words(data: bytes) -> list[bytes]:
-    """Lower-cased runs of ASCII letters, digits and non-ASCII bytes."""
+    """Lower-cased runs of ASCII letters, digits and non-ASCII characters."""
+    if not data.isascii():
+        data = data.decode("utf-8", "replace").lower().encode()
     return data.translate(WORD_TABLE).split()
 
 

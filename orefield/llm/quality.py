@@ -8,6 +8,7 @@ sources fall back to the merged sketch of their language and then of everything.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,8 @@ class Rule:
 RULES = (
     Rule("symbol_rate", "n_symbols", "n_words", 300_000),
     Rule("dup_line_rate", "n_dup_lines", "n_lines", 300_000),
-    Rule("repeat_rate", "n_repeat_words", "n_words", 100_000),
+    Rule("repeat_rate", "n_repeat_words", "n_words", 200_000),
+    Rule("stutter_rate", "n_stutter", "n_words", 200_000),
     Rule("word_length", "word_chars", "n_words", 12_000_000),
 )
 #: Groups of fewer texts than this take the thresholds of their language, or else of all texts.
@@ -75,8 +77,8 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measures(data: bytes) -> tuple[int, int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of a text."""
+def measures(data: bytes) -> tuple[int, ...]:
+    """The counts NAMES of a text; n_stutter counts words equal to the word before."""
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     return (
@@ -86,14 +88,15 @@ def measures(data: bytes) -> tuple[int, int, int, int, int, int]:
         len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        sum(map(eq, words, words[1:])),
     )
 
 
-NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
 
 
 def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(doc_id, g0, g1, the six counts, base_failed) for each row of docs; null texts have no words."""
+    """(doc_id, g0, g1, the counts, base_failed) for each row of docs; null texts have no words."""
 
     def make():
         def work(texts, _):

@@ -32,7 +32,7 @@ WITH d AS (
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(ls.n_lines, 0) AS n_lines, coalesce(ls.n_dup_lines, 0) AS n_dup_lines,
-    coalesce(covered.n, 0) AS n_repeat_words
+    coalesce(covered.n, 0) AS n_repeat_words, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter
   FROM d LEFT JOIN ls USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
@@ -42,6 +42,7 @@ WITH d AS (
     {'metric': 'symbol_rate', 'v': n_symbols * 1000000 // nw},
     {'metric': 'dup_line_rate', 'v': n_dup_lines * 1000000 // nl},
     {'metric': 'repeat_rate', 'v': n_repeat_words * 1000000 // nw},
+    {'metric': 'stutter_rate', 'v': n_stutter * 1000000 // nw},
     {'metric': 'word_length', 'v': word_chars * 1000000 // nw}], recursive := true) FROM b
 ), k AS (
   SELECT *, (v >> greatest(length(ltrim(bin(v), '0')) - 5, 0)) << greatest(length(ltrim(bin(v), '0')) - 5, 0) AS bucket FROM r
@@ -67,7 +68,7 @@ WITH d AS (
 ), bad AS (
   SELECT DISTINCT r.doc_id FROM r JOIN f USING (g0, g1, metric)
   WHERE v > greatest(q3 + 3 * (q3 - q1), CASE metric WHEN 'symbol_rate' THEN 300000 WHEN 'dup_line_rate' THEN 300000
-    WHEN 'repeat_rate' THEN 100000 ELSE 12000000 END)
+    WHEN 'repeat_rate' THEN 200000 WHEN 'stutter_rate' THEN 200000 ELSE 12000000 END)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept

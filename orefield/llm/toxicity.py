@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,27 +15,39 @@ from pyspark.sql import functions as F
 from orefield.llm.arrow import HashCache, map_texts, plain_words, slices
 from orefield.session import discard, materialize
 
-#: Words are counted in this many hash buckets, which bounds the model at any corpus size.
-BUCKETS = 1 << 18
+#: Words and their five-byte pieces are counted in this many hash buckets, which bounds the model at any corpus size.
+BUCKETS = 1 << 19
+GRAM = 5
 #: The word statistics and the calibration are fitted on at most about this many labelled rows.
 LABELLED_ROWS = 1 << 18
-PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in words
+PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in counts
+SIGMAS = 3.0  # a piece counts by as much as its log-odds surely exceed zero
 DRIFT = 0.25  # taken from every word's log-odds: neutral text then runs downhill
 BIN, BINS = 0.25, 400
+LOW, STEP, STEPS = -8.0, 0.125, 192  # the histogram of word scores
+DISTINCT = 200_000  # words counted by a task before they go into its buckets
 THRESHOLD = 0.3
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32 score of each bucket
-    lam: float  # Karlin-Altschul lambda and K of the non-toxic word distribution
-    k: float
+    weights: np.ndarray  # float32 shrunk log-odds of each bucket
+    lam: float = 1.0  # Karlin-Altschul lambda and K of the non-toxic word scores
+    k: float = 1.0
     slope: float = 1.0
     bias: float = -2.0
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) & (BUCKETS - 1)
+def pieces(word: bytes) -> list[int]:
+    """Buckets of the word and of its five-byte pieces, the word's bounds marked; inflected forms share pieces."""
+    w = b"^" + word + b"$"
+    return list({zlib.crc32(w) & (BUCKETS - 1), *(zlib.crc32(w[i : i + GRAM]) & (BUCKETS - 1) for i in range(len(w) - GRAM + 1))})
+
+
+def word_scores(model: Model) -> HashCache:
+    """word -> its strongest piece's log-odds less the drift."""
+    weights = model.weights
+    return HashCache(lambda w: float(weights[pieces(w)].max()) - DRIFT)
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -95,20 +108,28 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """(bucket, toxic, n) over all words of the rows."""
+    """(bucket, toxic, n) over the pieces of all words of the rows."""
     source = rows.select(F.col("text").cast("string").cast("binary").alias("text"), "toxic")
 
     def run(batches):
-        cache = HashCache(bucket)
         sums = np.zeros((2, BUCKETS), np.int64)
+        words = (Counter(), Counter())
+
+        def pour(t: int) -> None:
+            for w, n in words[t].items():
+                for b in pieces(w):
+                    sums[t, b] += n
+            words[t].clear()
+
         for batch in batches:
             for part, texts in slices(batch):
-                toxic = np.asarray(part.column(1)) != 0
+                for text, toxic in zip(texts, part.column(1).to_pylist()):
+                    words[toxic != 0].update(plain_words(text))
                 for t in (0, 1):
-                    words = [w for x, y in zip(texts, toxic) if y == t for w in plain_words(x)]
-                    if words:
-                        sums[t] += np.bincount(cache.array(words, np.int64), minlength=BUCKETS)
+                    if len(words[t]) > DISTINCT:
+                        pour(t)
         for t in (0, 1):
+            pour(t)
             some = np.flatnonzero(sums[t])
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), t)), pa.array(sums[t][some])], names=["bucket", "toxic", "n"])
 
@@ -117,28 +138,30 @@ def _count(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds with an informative Dirichlet prior: the nearer end of the 95 % interval, 0 if it spans 0."""
+    """Log-odds with an informative Dirichlet prior, shrunk by SIGMAS deviations towards 0."""
     both = toxic + clean
     prior = PRIOR_WORDS * (both + 0.5) / (both.sum() + 0.5 * len(both))
     a, b = toxic + prior, clean + prior
     delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     sigma = np.sqrt(1 / a + 1 / b)
-    return np.sign(delta) * np.maximum(0, np.abs(delta) - 1.96 * sigma)
+    return np.sign(delta) * np.maximum(0, np.abs(delta) - SIGMAS * sigma)
 
 
 def karlin_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
-    """The positive root of sum(p * exp(lambda * score)) = 1."""
+    """The positive root of sum(p * exp(lambda * score)) = 1, at most 5; without positive scores there is no root."""
     p = weights / max(weights.sum(), 1)
-    if not (p[scores > 0] > 0).any() or (p * scores).sum() >= 0:
-        return 1.0
+    if not (p[scores > 0] > 0).any():
+        return 5.0
+    if (p * scores).sum() >= 0:
+        return 0.1
     low, high = 1e-6, 1.0
     value = lambda x: float((p * np.exp(np.minimum(x * scores, 700))).sum()) - 1
-    while value(high) < 0 and high < 64:
+    while value(high) < 0 and high < 5:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
-    return (low + high) / 2
+    return min((low + high) / 2, 5.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -150,9 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = np.zeros((2, BUCKETS))
     for r in _count(rows.where("not tune")).toArrow().to_batches():
         counts[r.column(1).to_numpy(), r.column(0).to_numpy()] = r.column(2).to_numpy()
-    weights = (log_odds(counts[1], counts[0]) - DRIFT).astype(np.float32)
-    model = Model(weights, karlin_lambda(weights.astype(np.float64), counts[0] + 0.01 * counts[1]), 1.0)
+    model = Model(log_odds(counts[1], counts[0]).astype(np.float32))
     tune = materialize(_segment_scores(rows.where("tune"), model), "tune")
+    steps = tune.where("toxic = 0").select(F.posexplode("hist").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(STEPS)
+    for i, n in steps:
+        seen[i] = n
+    model.lam = karlin_lambda(LOW + STEP * (np.arange(STEPS) + 0.5), seen)
     # K by maximum likelihood over the clean documents: their number over the sum of n * exp(-lambda * S).
     top = F.coalesce(F.array_max("scores"), F.lit(0.0))
     clean = tune.where("toxic = 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-F.lit(model.lam) * top))).first()
@@ -188,19 +215,20 @@ def logistic(hist: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
 
 
 def _segment_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """(toxic, n_words, scores): the scores of all maximal segments."""
+    """(toxic, n_words, scores, hist): the scores of all maximal segments, and a histogram of the word scores."""
 
     def make():
-        cache = HashCache(bucket)
+        cache = word_scores(model)
 
         def work(texts, _):
-            words = [cache.array(plain_words(t), np.int64) for t in texts]
-            scores = [[s for _, _, s in segments(model.weights[w])] for w in words]
-            return {"n_words": [len(w) for w in words], "scores": pa.array(scores, type=pa.list_(pa.float64()))}
+            values = [cache.array(plain_words(t), np.float32) for t in texts]
+            bins = [np.bincount(np.clip((v - LOW) / STEP, 0, STEPS - 1).astype(np.int64), minlength=STEPS) for v in values]
+            scores = [[s for _, _, s in segments(v)] for v in values]
+            return {"n_words": [len(v) for v in values], "scores": pa.array(scores, type=pa.list_(pa.float64())), "hist": pa.array(bins, type=pa.list_(pa.int64()))}
 
         return work
 
-    return map_texts(rows, {"toxic": "toxic"}, "n_words long, scores array<double>", make)
+    return map_texts(rows, {"toxic": "toxic"}, "n_words long, scores array<double>, hist array<long>", make)
 
 
 PASSAGES = "n_words long, top double, statistic double, score double, passages array<struct<first:bigint,end:bigint,score:double,e_value:double>>"
@@ -210,12 +238,12 @@ def _passages(docs: DataFrame, keep: dict[str, str], model: Model, text_col: str
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def make():
-        cache = HashCache(bucket)
+        cache = word_scores(model)
 
         def work(texts, _):
             n_words, tops, stats, told = [], [], [], []
             for t in texts:
-                scores = model.weights[cache.array(plain_words(t), np.int64)]
+                scores = cache.array(plain_words(t), np.float32)
                 found = segments(scores)
                 n = max(1, len(scores))
                 n_words.append(len(scores))
