@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -12,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import HashCache, map_texts, plain_words, slices
+from orefield.llm.arrow import HashCache, hash64, map_texts, plain_words, slices
 from orefield.session import discard, materialize
 
-#: Words and their five-byte pieces are counted in this many hash buckets, which bounds the model at any corpus size.
-BUCKETS = 1 << 19
-GRAM = 5
+#: Words and their first five and six bytes are counted in two tables of this many hash buckets, which bounds the model at any size
+#: of the corpus. A piece counts by the smaller of its two weights, so a chance meeting in one table does nothing.
+HALF = 1 << 20
+BUCKETS = 2 * HALF
+STEMS = (5, 6)
 #: The word statistics and the calibration are fitted on at most about this many labelled rows.
 LABELLED_ROWS = 1 << 18
 PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in counts
@@ -38,16 +39,16 @@ class Model:
     bias: float = -2.0
 
 
-def pieces(word: bytes) -> list[int]:
-    """Buckets of the word and of its five-byte pieces, the word's bounds marked; inflected forms share pieces."""
-    w = b"^" + word + b"$"
-    return list({zlib.crc32(w) & (BUCKETS - 1), *(zlib.crc32(w[i : i + GRAM]) & (BUCKETS - 1) for i in range(len(w) - GRAM + 1))})
+def pieces(word: bytes) -> np.ndarray:
+    """Buckets, a column for the word and each of its stems; inflected and compound forms share stems."""
+    hashes = np.array([hash64(b"^" + word + b"$"), *(hash64(b"^" + word[:n]) for n in STEMS if n <= len(word))], dtype=np.uint64)
+    return np.stack([hashes % np.uint64(HALF), np.uint64(HALF) + (hashes >> np.uint64(32)) % np.uint64(HALF)]).astype(np.int64)
 
 
 def word_scores(model: Model) -> HashCache:
-    """word -> its strongest piece's log-odds less the drift."""
+    """word -> the log-odds of its most toxic form, less the drift."""
     weights = model.weights
-    return HashCache(lambda w: float(weights[pieces(w)].max()) - DRIFT)
+    return HashCache(lambda w: float(weights[pieces(w)].min(axis=0).max()) - DRIFT)
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -103,12 +104,27 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     n = known.count()
     if n > LABELLED_ROWS:
         known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * LABELLED_ROWS / n))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    return rows.select("text", "toxic", (remainder("_id") == 3).alias("tune"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id")
+    rows = rows.select("text", "toxic", (remainder("_id") == 3).alias("tune"))
+
+    def make():
+        cache = HashCache(hash64)
+
+        def work(texts, _):
+            words = [cache.array(plain_words(t), np.uint64) for t in texts]
+            least = [(int(w.min()), int((w * np.uint64(0x9E3779B97F4A7C15)).min())) if len(w) else (0, 0) for w in words]
+            return {"a": np.array([x for x, _ in least], np.uint64).view(np.int64), "b": np.array([y for _, y in least], np.uint64).view(np.int64)}
+
+        return work
+
+    # Copies and near-copies mostly share two least word hashes; one of them speaks for all, or a copied text's own
+    # words would look like evidence. The map side keeps one text of each key already.
+    keyed = map_texts(rows, {"toxic": "toxic", "tune": "tune", "text": "text"}, "a long, b long", make)
+    return keyed.groupBy("a", "b", "toxic").agg(F.min("tune").alias("tune"), F.first("text").alias("text")).select("text", "toxic", "tune")
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """(bucket, toxic, n) over the pieces of all words of the rows."""
+    """(bucket, toxic, n) over the pieces of all words of the rows, each once for a row."""
     source = rows.select(F.col("text").cast("string").cast("binary").alias("text"), "toxic")
 
     def run(batches):
@@ -117,14 +133,13 @@ def _count(rows: DataFrame) -> DataFrame:
 
         def pour(t: int) -> None:
             for w, n in words[t].items():
-                for b in pieces(w):
-                    sums[t, b] += n
+                np.add.at(sums[t], pieces(w).ravel(), n)
             words[t].clear()
 
         for batch in batches:
             for part, texts in slices(batch):
                 for text, toxic in zip(texts, part.column(1).to_pylist()):
-                    words[toxic != 0].update(plain_words(text))
+                    words[toxic != 0].update(set(plain_words(text)))
                 for t in (0, 1):
                     if len(words[t]) > DISTINCT:
                         pour(t)
@@ -169,9 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The fourth part, crc32(doc_id) mod 4 = 2, is never read. Without labels all scores are low.
     """
-    rows = _labelled(docs, labels, id_col, text_col)
+    rows = materialize(_labelled(docs, labels, id_col, text_col), "labelled")
     counts = np.zeros((2, BUCKETS))
-    for r in _count(rows.where("not tune")).toArrow().to_batches():
+    # Passages that many documents share would count once for each; every distinct line speaks once for each label.
+    lines = rows.where("not tune").select("toxic", F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.groupBy(F.xxhash64("text"), "toxic").agg(F.first("text").alias("text"))
+    for r in _count(lines).toArrow().to_batches():
         counts[r.column(1).to_numpy(), r.column(0).to_numpy()] = r.column(2).to_numpy()
     model = Model(log_odds(counts[1], counts[0]).astype(np.float32))
     tune = materialize(_segment_scores(rows.where("tune"), model), "tune")
@@ -191,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in tune.groupBy(F.least(F.floor(total / BIN), F.lit(BINS - 1)).alias("x"), "toxic").count().collect():
         hist[int(r[1] != 0), r[0]] += r[2]
     discard(tune)
+    discard(rows)
     model.slope, model.bias = logistic(hist)
     return model
 
