@@ -21,7 +21,8 @@ BUCKETS = 2 * HALF
 STEMS = (5, 6)
 #: The word statistics and the calibration are fitted on at most about this many labelled rows.
 LABELLED_ROWS = 1 << 18
-PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in counts
+PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in counts, spread as all words are
+FLOOR = 0.5  # and the least that every bucket gets
 SIGMAS = 3.0  # a piece counts by as much as its log-odds surely exceed zero
 DRIFT = 0.25  # taken from every word's log-odds: neutral text then runs downhill
 BIN, BINS = 0.25, 400
@@ -155,9 +156,9 @@ def _count(rows: DataFrame) -> DataFrame:
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Log-odds with an informative Dirichlet prior, shrunk by SIGMAS deviations towards 0."""
     both = toxic + clean
-    prior = PRIOR_WORDS * (both + 0.5) / (both.sum() + 0.5 * len(both))
+    prior = FLOOR + PRIOR_WORDS * both / max(both.sum(), 1)
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
+    delta = np.log(a / (toxic.sum() + PRIOR_WORDS)) - np.log(b / (clean.sum() + PRIOR_WORDS))
     sigma = np.sqrt(1 / a + 1 / b)
     return np.sign(delta) * np.maximum(0, np.abs(delta) - SIGMAS * sigma)
 
