@@ -21,6 +21,7 @@ BUCKETS = 2 * HALF
 STEMS = (5, 6)
 #: The word statistics and the calibration are fitted on at most about this many labelled rows.
 LABELLED_ROWS = 1 << 18
+SHINGLE = 5  # words of the runs that tell near-copies among the labelled rows
 PRIOR_WORDS = 2000.0  # weight of the Dirichlet prior, in counts, spread as all words are
 FLOOR = 0.5  # and the least that every bucket gets
 SIGMAS = 3.0  # a piece counts by as much as its log-odds surely exceed zero
@@ -98,6 +99,18 @@ def statistic(found: list[tuple[int, int, float]], n_words: int, model: Model) -
     return sum(max(0.0, model.lam * s - base) for _, _, s in found)
 
 
+def least_shingles(hashes: np.ndarray) -> tuple[int, int]:
+    """The least value of two hashes over the runs of SHINGLE words (fewer words: the whole text; none: zeros)."""
+    n = min(SHINGLE, len(hashes))
+    if not n:
+        return 0, 0
+    runs = np.zeros(len(hashes) - n + 1, np.uint64)
+    for i in range(n):
+        runs = (runs ^ hashes[i : i + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return int(runs.min()), int((runs * np.uint64(0xC2B2AE3D27D4EB4F)).min())
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts with their label; the labels are cut to LABELLED_ROWS by a hash of the id, so they may be broadcast."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic is not null")
@@ -112,13 +125,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
         cache = HashCache(hash64)
 
         def work(texts, _):
-            words = [cache.array(plain_words(t), np.uint64) for t in texts]
-            least = [(int(w.min()), int((w * np.uint64(0x9E3779B97F4A7C15)).min())) if len(w) else (0, 0) for w in words]
+            least = [least_shingles(cache.array(plain_words(t), np.uint64)) for t in texts]
             return {"a": np.array([x for x, _ in least], np.uint64).view(np.int64), "b": np.array([y for _, y in least], np.uint64).view(np.int64)}
 
         return work
 
-    # Copies and near-copies mostly share two least word hashes; one of them speaks for all, or a copied text's own
+    # Copies and near-copies mostly share two least shingle hashes; one of them speaks for all, or a copied text's own
     # words would look like evidence. The map side keeps one text of each key already.
     keyed = map_texts(rows, {"toxic": "toxic", "tune": "tune", "text": "text"}, "a long, b long", make)
     return keyed.groupBy("a", "b", "toxic").agg(F.min("tune").alias("tune"), F.first("text").alias("text")).select("text", "toxic", "tune")
