@@ -41,16 +41,38 @@ class Model:
     bias: float = -2.0
 
 
-def pieces(word: bytes) -> np.ndarray:
-    """Buckets, a column for the word and each of its stems; inflected and compound forms share stems."""
-    hashes = np.array([hash64(b"^" + word + b"$"), *(hash64(b"^" + word[:n]) for n in STEMS if n <= len(word))], dtype=np.uint64)
-    return np.stack([hashes % np.uint64(HALF), np.uint64(HALF) + (hashes >> np.uint64(32)) % np.uint64(HALF)]).astype(np.int64)
+def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, buckets in both tables) of the pieces of all words: each word and its stems.
 
-
-def word_scores(model: Model) -> HashCache:
-    """word -> the log-odds of its most toxic form, less the drift."""
-    weights = model.weights
-    return HashCache(lambda w: float(weights[pieces(w)].min(axis=0).max()) - DRIFT)
+    Inflected and compound forms share stems.
+    """
+    named, owner = [b"^%b$" % w for w in words], list(range(len(words)))
+    for n in STEMS:
+        long = [i for i, w in enumerate(words) if len(w) >= n]
+        owner += long
+        named += [b"^" + words[i][:n] for i in long]
+    hashes = np.fromiter(map(hash64, named), np.uint64, len(named))
+    return np.array(owner, np.int64), np.stack([hashes % np.uint64(HALF), np.uint64(HALF) + (hashes >> np.uint64(32)) % np.uint64(HALF)]).astype(np.int64)
+
+
+class WordScores(dict):
+    """word -> the log-odds of its most toxic form, less the drift; forgotten as a whole when grown to ``limit`` words."""
+
+    def __init__(self, weights: np.ndarray, limit: int = 400_000):
+        super().__init__()
+        self.weights, self.limit = weights, limit
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self]
+        if new:
+            if len(self) >= self.limit:
+                self.clear()
+                new = list(set(words))
+            owner, buckets = pieces(new)
+            best = np.full(len(new), -np.inf, np.float32)
+            np.maximum.at(best, owner, self.weights[buckets].min(axis=0))
+            self.update(zip(new, (best.astype(np.float64) - DRIFT).tolist()))
+        return np.fromiter(map(self.__getitem__, words), np.float32, len(words))
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -145,8 +167,10 @@ def _count(rows: DataFrame) -> DataFrame:
         words = (Counter(), Counter())
 
         def pour(t: int) -> None:
-            for w, n in words[t].items():
-                np.add.at(sums[t], pieces(w).ravel(), n)
+            owner, buckets = pieces(list(words[t]))
+            times = np.fromiter(words[t].values(), np.int64, len(words[t]))[owner]
+            for own in buckets:
+                np.add.at(sums[t], own, times)
             words[t].clear()
 
         for batch in batches:
@@ -250,10 +274,10 @@ def _segment_scores(rows: DataFrame, model: Model) -> DataFrame:
     """(toxic, n_words, scores, hist): the scores of all maximal segments, and a histogram of the word scores."""
 
     def make():
-        cache = word_scores(model)
+        cache = WordScores(model.weights)
 
         def work(texts, _):
-            values = [cache.array(plain_words(t), np.float32) for t in texts]
+            values = [cache.array(plain_words(t)) for t in texts]
             bins = [np.bincount(np.clip((v - LOW) / STEP, 0, STEPS - 1).astype(np.int64), minlength=STEPS) for v in values]
             scores = [[s for _, _, s in segments(v)] for v in values]
             return {"n_words": [len(v) for v in values], "scores": pa.array(scores, type=pa.list_(pa.float64())), "hist": pa.array(bins, type=pa.list_(pa.int64()))}
@@ -270,12 +294,12 @@ def _passages(docs: DataFrame, keep: dict[str, str], model: Model, text_col: str
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def make():
-        cache = word_scores(model)
+        cache = WordScores(model.weights)
 
         def work(texts, _):
             n_words, tops, stats, told = [], [], [], []
             for t in texts:
-                scores = cache.array(plain_words(t), np.float32)
+                scores = cache.array(plain_words(t))
                 found = segments(scores)
                 n = max(1, len(scores))
                 n_words.append(len(scores))
