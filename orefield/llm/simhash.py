@@ -37,8 +37,11 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long), one row for each row of docs; a null text counts as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_key: bool = False) -> DataFrame:
+    """(doc_id, fp long), one row for each row of docs; a null text counts as empty, whose fingerprint is zero.
+
+    With ``row_key`` also that key of the row's id and text.
+    """
 
     def make():
         def work(texts, _):
@@ -50,7 +53,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return map_texts(docs, {"doc_id": f"`{id_col}`"}, "fp long", make, text_col)
+    keep = {"doc_id": f"`{id_col}`"} | ({"row_key": _row_key(id_col, text_col)} if row_key else {})
+    return map_texts(docs, keep, "fp long", make, text_col)
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -117,6 +121,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _row_key(id_col: str, text_col: str) -> str:
+    """SQL of a key of the row's id and text; a null id is none of the ids, a null text is empty."""
+    return f"concat(if(`{id_col}` is null, '-', '+'), coalesce(cast(`{id_col}` as string), ''), ' ', md5(coalesce(cast(`{text_col}` as string), '')))"
+
+
+def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of distinct, one for each fp, with the root of their component in the graph of edges (u, v)."""
+    roots = materialize(connected_components(edges), "roots")
+    named = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root")).distinct()
+    return materialize(distinct.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for each row of docs.
 
@@ -150,15 +166,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller id; rows that repeat an id count once.
-
-    Of rows without an id one stays, if their group has no id at all.
+    """One row of docs for each group of near-duplicates: that of the smallest id, nulls last, then of the smallest
+    fingerprint and text hash. Rows that share an id, or have none, go only if they repeat a text or a group.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    named = docs.where(F.col(id_col).isNotNull())
-    # The join and the removal of repeated ids share one shuffle by id.
-    kept = named.join(stay.where("_stay is not null").hint("merge"), F.col(id_col) == F.col("_stay"), "left_semi").dropDuplicates([id_col])
-    if stay.where("_stay is null").isEmpty():
-        return kept
-    return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([id_col]))
+    rows = materialize(fingerprints(docs, id_col, text_col, row_key=True), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row_key")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(rank).alias("first")), "distinct")
+    classes = _classes(distinct, materialize(links(distinct.select("fp")), "links"))
+    stay = materialize(classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_stay")), "stay")
+    keyed = docs.withColumn("_row", F.expr(_row_key(id_col, text_col)))
+    # The join and the removal of repeated rows share one shuffle by key.
+    return keyed.join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -123,6 +123,15 @@ def test_keep_one_and_empty_table(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_keep_one_of_rows_without_or_with_the_same_id(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c), (4, c), (4, c), (4, d), (4, e), (2, e), (9, None), (None, "")]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(None, a), (None, b), (4, c), (4, d), (2, e), (9, None)], key=repr)
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 
