@@ -1,15 +1,21 @@
-"""SimHash near-duplicates: pigeonring filtering of segment chains, then the full Hamming check."""
+"""SimHash near-duplicates: pigeonring filtering of segment chains, then the full Hamming check.
+
+For whole similarity classes, min-hash bands find candidate texts, whose shingle sets are then compared exactly.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import map_texts
+from orefield.llm.arrow import HashCache, hash64, map_texts
 from orefield.llm.components import connected_components
 from orefield.session import materialize
 
@@ -19,6 +25,9 @@ STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
 #: Buckets of more distinct fingerprints than this are linked through Hamming-ball centres instead of pairs.
 CROWDED = 64
 SLAB = 1 << 15
+#: Min-hashes that a band joins, and the odds that a pair of just the similarity asked for shares no band.
+BAND_ROWS = 3
+MISS = 1e-5
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -165,14 +174,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grams(numbers: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run."""
+    width = min(width, len(numbers))
+    if not width:
+        return np.zeros(0, np.uint64)
+    n = len(numbers) - width + 1
+    out = numbers[:n].copy()
+    for k in range(1, width):
+        out = ((out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) + numbers[k : k + n]
+    return np.unique((out ^ (out >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def bands(found: np.ndarray, similarity: float, seed: int = 42) -> np.ndarray:
+    """Keys of which two sets of at least the similarity share one, but for odds of MISS at most; an empty set has none."""
+    n = max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND_ROWS)))) if similarity < 1 else 1
+    if not len(found):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 1 << 64, (n * BAND_ROWS, 1), dtype=np.uint64) for _ in range(2))
+    least = np.full(n * BAND_ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(found), 1 << 12):
+        np.minimum(least, (found[i : i + (1 << 12)] * (a | np.uint64(1)) + b).min(axis=1), out=least)
+    key = np.arange(n, dtype=np.uint64)
+    for part in least.reshape(n, BAND_ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(doc_id, row_key, fp, sid, size, keys) for each row of docs: sid names its set of ``width``-word shingles."""
+
+    def make():
+        cache = HashCache(hash64)
+
+        def work(texts, _):
+            seen: dict[bytes, tuple] = {}
+            for t in texts:
+                if t not in seen:
+                    found = grams(cache.array(t.lower().split(), np.uint64), width)
+                    seen[t] = fingerprint(t), hash64(found.tobytes()), len(found), bands(found, similarity)
+            fps, sids, sizes, keys = zip(*(seen[t] for t in texts))
+            as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            return {"fp": as_long(fps), "sid": as_long(sids), "size": np.array(sizes, np.int64), "keys": pa.array(keys, pa.list_(pa.int64()))}
+
+        return work
+
+    keep = {"doc_id": f"`{id_col}`", "row_key": _row_key(id_col, text_col)}
+    return map_texts(docs, keep, "fp long, sid long, size long, keys array<long>", make, text_col)
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sids whose sets have at least the similarity (Jaccard), compared in full."""
+    asked = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    one = materialize(rows.groupBy("sid").agg(F.min("row_key").alias("_key")).join(asked, "sid").select("_key"), "asked")
+    texts = docs.select(F.expr(_row_key(id_col, text_col)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(one, F.col("_row") == F.col("_key"), "left_semi").dropDuplicates(["_row"])
+
+    def make():
+        cache = HashCache(hash64)
+
+        def work(batch, _):
+            sets = [grams(cache.array(t.lower().split(), np.uint64), width).tobytes() for t in batch]
+            return {"sid": np.array([hash64(x) for x in sets], dtype=np.uint64).view(np.int64), "grams": pa.array(sets, pa.binary())}
+
+        return work
+
+    sets = materialize(map_texts(texts, {}, "sid long, grams binary", make), "grams")
+    u, v = (sets.select(F.col("sid").alias(n), F.col("grams").alias(f"g{n}")) for n in "uv")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(u, "u").join(v, "v").select("u", "v", "gu", "gv")
+    return materialize(both.mapInArrow(compare, "u long, v long"), "similar")
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(u, v) links of fp and sid of ``sketches`` rows: texts that share either, or whose shingle sets are similar enough.
+
+    Sharing a band, each set is first compared with the smallest of it. Where that leaves the members of a band in more
+    than one component, all pairs from different components are compared, so no pair that shares a band is passed over.
+    """
+    units = materialize(rows.groupBy("fp", "sid").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "units")
+    same = units.select(F.col("fp").alias("u"), F.col("sid").alias("v")).unionByName(links(units.select("fp").distinct()))
+    same = materialize(same, "same")
+    banded = units.dropDuplicates(["sid"]).select("sid", "size", F.explode("keys").alias("key"))
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+    banded = materialize(banded, "bands")
+    first = banded.groupBy("key").agg(F.min(F.struct("sid", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    banded = materialize(banded.join(first, "key"), "shared")
+    stars = banded.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
+    stars = materialize(stars.select(F.col("sid").alias("u"), F.col("c.sid").alias("v")).distinct(), "stars")
+    args = (rows, docs, id_col, text_col, width, similarity)
+    same = materialize(same.unionByName(_similar(stars, *args)), "same")
+    roots = materialize(connected_components(same), "roots")
+    named = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
+    rooted = materialize(banded.select("sid", "size", "key").join(named, "sid"), "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = materialize(rooted.join(split, "key"), "rest")
+    a, b = (rest.select("key", F.col("sid").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}")) for n in "uv")
+    pairs = a.join(b, "key").where("u > v and ru <> rv").where(near(F.col("su"), F.col("sv"))).select("u", "v").distinct()
+    pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
+    return materialize(same.unionByName(_similar(pairs, *args)), "same")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, width: int = 5) -> DataFrame:
     """One row of docs for each group of near-duplicates: that of the smallest id, nulls last, then of the smallest
     fingerprint and text hash. Rows that share an id, or have none, go only if they repeat a text or a group.
+
+    Near-duplicates are linked as by ``near_duplicates`` and, given a similarity, also where the sets of ``width``-word
+    shingles have at least that Jaccard similarity.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, row_key=True), "fingerprints")
+    if similarity is None:
+        rows = materialize(fingerprints(docs, id_col, text_col, row_key=True), "fingerprints")
+    else:
+        rows = materialize(sketches(docs, id_col, text_col, width, similarity), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row_key")
     distinct = materialize(rows.groupBy("fp").agg(F.min(rank).alias("first")), "distinct")
-    classes = _classes(distinct, materialize(links(distinct.select("fp")), "links"))
+    if similarity is None:
+        edges = materialize(links(distinct.select("fp")), "links")
+    else:
+        edges = similar_links(rows, docs, id_col, text_col, width, similarity)
+    classes = _classes(distinct, edges)
     stay = materialize(classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_stay")), "stay")
     keyed = docs.withColumn("_row", F.expr(_row_key(id_col, text_col)))
     # The join and the removal of repeated rows share one shuffle by key.

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -132,6 +133,34 @@ def test_keep_one_of_rows_without_or_with_the_same_id(spark):
     assert got == sorted([(None, a), (None, b), (4, c), (4, d), (2, e), (9, None)], key=repr)
 
 
+def test_pipeline_drops_all_near_copies_by_shingle_similarity(spark):
+    rng = random.Random(8)
+    texts, sets = [None, "", "one two", "ONE  two"], []
+    for _ in range(12):
+        base = sentence(rng, rng.randint(30, 250)).split()
+        for k in range(12):
+            texts.append(" ".join(edited(rng, base, k // 2 if k % 3 else 0)))
+    hub = sentence(rng, 300).split()
+    texts += [" ".join(hub[:k] + ["swap%d" % k] + hub[k + 1 :]) for k in range(5, 295, 3)]
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(texts))})
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "").collect())
+    assert got == want
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 
