@@ -9,6 +9,7 @@ steps find them. What they find is aligned exactly, word by word, against the wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -32,7 +33,7 @@ class Settings:
     samplings: int = 4  # tables for each walk and length class
     sampled: int = 4  # steps that a table samples
     anchor_mask: int = 3  # one word in anchor_mask + 1 is an anchor
-    min_words: int = 4  # shorter items name nothing and are left out
+    min_words: int = 4  # shorter items allow no edit and are looked up word by word
     seed: int = 20240
 
 
@@ -57,14 +58,15 @@ class Index:
     items: list[tuple[int, np.ndarray]]
     extra: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     classes: dict[int, list[tuple]] = field(default_factory=dict)
+    short: dict[int, dict[tuple[int, ...], list[int]]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, rows: list[tuple[int, bytes]], s: Settings) -> Index:
-        items = []
+        items, short = [], []
         for item_id, text in rows:
             words = plain_words(text)
-            if len(words) >= s.min_words:
-                items.append((item_id, np.array([hash64(w) for w in words], dtype=np.uint64)))
+            if words:
+                (items if len(words) >= s.min_words else short).append((item_id, np.array([hash64(w) for w in words], dtype=np.uint64)))
         index = cls(s, items)
         # Items with few anchors lend their first words as further anchors.
         extra = [t[:3] for _, t in items if index.anchors(t)[: max(1, len(t) // 2)].sum() < 3]
@@ -91,6 +93,9 @@ class Index:
                         bitmap[np.fromiter(table, np.uint64, len(table)) >> np.uint64(64 - BITMAP_BITS)] = True
                     tables.append((r, sample, table, bitmap))
             index.classes[steps] = tables
+        for k, (_, t) in enumerate(short, len(items)):
+            index.short.setdefault(len(t), {}).setdefault(tuple(t.tolist()), []).append(k)
+        items += short
         return index
 
     def anchors(self, tokens: np.ndarray) -> np.ndarray:
@@ -118,6 +123,15 @@ class Index:
         return out
 
 
+    def short_hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, item number) of every place where an item of under ``min_words`` words stands as it is."""
+        for width, table in self.short.items():
+            heads = np.array(sorted({t[0] for t in table}), dtype=np.uint64)
+            for at in np.flatnonzero(np.isin(tokens, heads)).tolist():
+                for k in table.get(tuple(tokens[at : at + width].tolist()), ()):
+                    yield at, k
+
+
 def walk_bits(tokens: np.ndarray, walk: int, s: Settings) -> np.ndarray:
     """The random function of a walk: bit j of a word's number says whether the walk moves on at step j."""
     return mix(tokens, s.seed * 31 + walk)
@@ -222,6 +236,13 @@ def _found(docs: DataFrame, index: Index, keep: dict[str, str], text_col: str) -
             for hit in index.hits(tokens, np.flatnonzero(picked)):
                 found.setdefault(int(np.searchsorted(lows, hit[0], side="right")) - 1, []).append(hit)
             told = [[] for _ in texts]
+            brief: set[tuple[int, int]] = set()
+            for at, k in index.short_hits(tokens):
+                d = int(np.searchsorted(lows, at, side="right")) - 1
+                if (d, k) not in brief:
+                    brief.add((d, k))
+                    n = len(index.items[k][1])
+                    told[d].append({"item_id": index.items[k][0], "edits": 0, "item_words": n, "similarity": 1.0, "first_word": at - bounds[d][0], "end_word": at - bounds[d][0] + n})
             for d, hits in found.items():
                 for k, (edits, first, end) in sorted(verify(index, tokens, *bounds[d], sorted(hits)).items()):
                     n = len(index.items[k][1])
@@ -239,8 +260,8 @@ def leaks(
     """(doc_id, item_id, edits, item_words, similarity, first_word, end_word): one row for each item found in a row of docs.
 
     An item is found where some stretch of the text is within floor((1 - similarity) * item_words) word edits; its best
-    alignment is told, the earliest on ties. Null and empty texts hold nothing; null item ids or texts and items of under
-    ``min_words`` words are left out; repeated rows are told again. The texts are read once for each block of items and
+    alignment is told, the earliest on ties. Items of under ``min_words`` words are found where they stand word for word.
+    Null and empty texts hold nothing; null item ids or texts and items without words are left out; repeated rows are told again. The texts are read once for each block of items and
     never shuffled.
     """
     blocks = [_found(docs, Index.build(rows, settings), {"doc_id": f"`{id_col}`"}, text_col) for rows in _blocks(benchmark, item_col, item_text)]

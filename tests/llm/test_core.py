@@ -234,6 +234,15 @@ def test_clean_drops_leaking_ids(spark):
     assert decontaminate.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = ["Two words", "solo", "three short words", "not here", ", !", "more than four words here"]
+    texts = ["a two, WORDS b two words", "two", "words two", "solo", "x three short words", "three words short", None, "say more than four words here solo", ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.end_word) for r in decontaminate.leaks(frame(spark, texts), bench).collect())
+    assert got == [(0, 0, 0, 1, 3), (3, 1, 0, 0, 1), (4, 2, 0, 1, 4), (7, 1, 0, 6, 7), (7, 5, 0, 1, 6)]
+    assert sorted(r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()) == [1, 2, 5, 6, 8]
+
+
 # -- toxicity --------------------------------------------------------------------------------------------------------
 
 
