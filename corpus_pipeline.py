@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.llm import decontaminate, linededup, piece, simhash, toxicity
-from orefield.session import load, materialize
+from orefield.session import discard, load, scratch, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is at least 0.3 go."""
+    """Documents whose toxicity score is at least 0.3 go. Null and empty texts have the lowest score and stay; rows that
+    repeat score alike; an empty table stays empty; other columns are kept as they are."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 or more words go, and documents of which no word is left by that."""
+    """Later copies of line runs of 50 or more words go, and documents of which no word is left by that.
+
+    n_chars is counted again where lines went. Null and empty texts lose nothing and stay; rows that repeat both id and
+    text are one document, cut alike; an empty table stays empty; other columns are kept as they are.
+    """
     done = linededup.dedup_lines(docs)
     changed = F.size("dropped_lines") > 0
     done = done.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -28,18 +33,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, also by five-word shingles of similarity 0.8, the document of the smallest id stays."""
+    """Of each group of near-duplicates, also by five-word shingles of similarity 0.8, the document of the smallest id stays.
+
+    Texts without a word, null ones too, are one group. Null ids come last; of rows that repeat, one stays; an empty table
+    stays empty; other columns are kept as they are.
+    """
     return simhash.keep_one(docs, similarity=0.8, width=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly so, go."""
+    """Documents that hold a benchmark item, or nearly so, go. Null and empty texts hold none; rows that repeat are judged
+    alike; without items, all stay; an empty table stays empty; other columns are kept as they are."""
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document that is left."""
-    return piece.encode(docs, with_ids=False)
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of each document that is left; null and empty texts have no ids."""
+    return piece.encode(docs)
 
 
 STAGES = [
@@ -55,7 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages wrote on their way is deleted as soon as the next result is written."""
     docs = load(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
