@@ -13,11 +13,12 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (node, root) for every node that has an edge; root is the component's smallest node.
 
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. The minima are
     written before they are joined back: a hub's edges then sit in a plain shuffle, which adaptive execution splits.
+    Rounds go on until the edges no longer change; a node's neighbour only ever gets smaller, so that comes.
     """
     current = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(current)
     if not before[0]:
         return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -33,10 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = materialize(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = _state(after)
-        for x in (current, low, large, low2):
-            discard(x)
+        discard(current, low, large, low2)
         current = after
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -11,12 +10,16 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from orefield.llm.arrow import map_texts
+from orefield.llm.arrow import begin_task, held, map_texts
+from orefield.session import ship
 
 SPACE = "▁"
 #: A unit is spaces and then other characters; no piece of the vocabulary reaches over its end (checked on loading).
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 300_000
+#: Two generations of remembered units take at most about twice this; a unit of over LONG_UNIT characters isn't kept.
+CACHE_BYTES = 12 << 20
+ENTRY_BYTES = 450
+LONG_UNIT = 64
 
 
 def default_model() -> str:
@@ -103,43 +106,46 @@ class PieceModel:
                 raise ValueError(f"the agenda gives {x} for {u!r}, the library {y}")
 
 
-@functools.lru_cache(maxsize=2)
 def load_model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 class Units(dict):
-    """unit -> (ids as text, their number, decoded bytes); two generations bound its size."""
+    """unit -> (ids as text, their number, decoded bytes); two generations, bounded in bytes."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, limit: int = CACHE_BYTES):
         super().__init__()
-        self.model, self.old = model, {}
-
-    def learn(self, units: set[str]) -> None:
-        """Encode the units that are new, checked against the library in one call."""
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-        fresh = []
+        self.model, self.limit, self.used, self.old = model, limit, 0, {}
+
+    def known(self, units: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """All these units; new ones are encoded, checked against the library in one call."""
+        out, fresh = {}, []
         for u in units:
-            if u not in self:
-                known = self.old.get(u)
-                if known is None:
-                    fresh.append(u)
-                else:
-                    self[u] = known
+            x = self.get(u) or self.old.get(u)
+            if x is None:
+                fresh.append(u)
+            else:
+                out[u] = x
         if fresh:
             m = self.model
             ids = [m.encode_unit(u) for u in fresh]
             m.check(fresh, ids)
             for u, x in zip(fresh, ids):
-                self[u] = (",".join(map(str, x)), len(x), b"".join([m.bytes_of[i] for i in x]))
+                out[u] = (",".join(map(str, x)), len(x), b"".join([m.bytes_of[i] for i in x]))
+        for u, x in out.items():
+            if u not in self and len(u) <= LONG_UNIT:
+                self[u] = x
+                self.used += ENTRY_BYTES
+                if self.used > self.limit:
+                    self.old = dict(self)
+                    self.clear()
+                    self.used = 0
+        return out
 
 
-@functools.lru_cache(maxsize=2)
 def load_units(path: str) -> Units:
-    """One for each worker process, so tasks find what earlier ones have learnt."""
-    return Units(load_model(path))
+    """One for each worker process while it runs this operator, so tasks find what earlier ones have learnt."""
+    return held(("units", path), lambda: Units(load_model(path)))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -158,9 +164,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         def work(texts, _):
             n_tokens, shas, decoded, lists = [], [], [], []
             split = [m.units(t.decode("utf-8", "replace")) for t in texts]
-            cache.learn({u for units in split for u in units})
+            known = cache.known({u for units in split for u in units})
             for units in split:
-                made = [cache[u] for u in units]
+                made = [known[u] for u in units]
                 joined = ",".join([x[0] for x in made])
                 data = b"".join([x[2] for x in made])
                 n_tokens.append(sum([x[1] for x in made]))
@@ -181,10 +187,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", mod
     import pyarrow as pa
 
     path = model or default_model()
+    ship(encoded.sparkSession)
     rows = encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids")
 
     def run(batches):
-        m = load_model(path)
+        m = begin_task(lambda: load_model(path))
         for batch in batches:
             texts = [m.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orefield.llm.arrow import HashCache, hash64, map_texts
 from orefield.llm.components import connected_components
-from orefield.session import materialize
+from orefield.session import discard, materialize
 
 #: A ring of five segments covers the 64 bits.
 WIDTHS = (13, 13, 13, 13, 12)
@@ -115,6 +115,7 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = materialize(distinct.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key")), "chains")
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = materialize(rows.join(sizes, "key"), "shared")
+    discard(rows, sizes)
     few = shared.where(F.col("n") <= CROWDED).select("key", "fp")
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     pairs = a.join(b, (a.key == b.key) & (a.u > b.v) & _chain_holds(a.u, b.v, a.key)).select("u", "v")
@@ -137,9 +138,11 @@ def _row_key(id_col: str, text_col: str) -> str:
 
 def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of distinct, one for each fp, with the root of their component in the graph of edges (u, v)."""
-    roots = materialize(connected_components(edges), "roots")
+    roots = connected_components(edges)
     named = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root")).distinct()
-    return materialize(distinct.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    classes = materialize(distinct.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    discard(roots)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,22 +153,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part and are never a component_id unless the whole component lacks ids. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_docs")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     edges = materialize(links(distinct.select("fp")), "links")
-    roots = materialize(connected_components(edges), "roots")
-    members = materialize(
-        roots.select(F.col("node").alias("fp"), "root")
-        .unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-        .join(distinct, "fp"),
-        "members",
-    )
-    lows = materialize(members.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    named = materialize(members.join(lows, "root").select("fp", "component_id"), "named")
-    classes = materialize(
-        distinct.join(named, "fp", "left")
-        .select("fp", F.coalesce("component_id", "low").alias("component_id")),
-        "classes",
-    )
+    rooted = _classes(distinct, edges)
+    lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    classes = materialize(rooted.join(lows, "root").select("fp", "component_id"), "named")
+    discard(distinct, edges, rooted, lows)
     return rows.join(classes, "fp").select(
         "doc_id",
         "fp",
@@ -242,6 +235,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
         return work
 
     sets = materialize(map_texts(texts, {}, "sid long, grams binary", make), "grams")
+    discard(one)
     u, v = (sets.select(F.col("sid").alias(n), F.col("grams").alias(f"g{n}")) for n in "uv")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +248,9 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(u, "u").join(v, "v").select("u", "v", "gu", "gv")
-    return materialize(both.mapInArrow(compare, "u long, v long"), "similar")
+    found = materialize(both.mapInArrow(compare, "u long, v long"), "similar")
+    discard(sets)
+    return found
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -270,20 +266,27 @@ def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
     banded = materialize(banded, "bands")
     first = banded.groupBy("key").agg(F.min(F.struct("sid", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    banded = materialize(banded.join(first, "key"), "shared")
-    stars = banded.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
+    shared = materialize(banded.join(first, "key"), "shared")
+    discard(units, banded)
+    stars = shared.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
     stars = materialize(stars.select(F.col("sid").alias("u"), F.col("c.sid").alias("v")).distinct(), "stars")
     args = (rows, docs, id_col, text_col, width, similarity)
-    same = materialize(same.unionByName(_similar(stars, *args)), "same")
-    roots = materialize(connected_components(same), "roots")
+    found = _similar(stars, *args)
+    both = materialize(same.unionByName(found), "same")
+    discard(same, found)
+    roots = connected_components(both)
     named = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
-    rooted = materialize(banded.select("sid", "size", "key").join(named, "sid"), "rooted")
+    rooted = materialize(shared.select("sid", "size", "key").join(named, "sid"), "rooted")
+    discard(shared, roots)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rest = materialize(rooted.join(split, "key"), "rest")
     a, b = (rest.select("key", F.col("sid").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}")) for n in "uv")
     pairs = a.join(b, "key").where("u > v and ru <> rv").where(near(F.col("su"), F.col("sv"))).select("u", "v").distinct()
     pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    return materialize(same.unionByName(_similar(pairs, *args)), "same")
+    found = _similar(pairs, *args)
+    every = materialize(both.unionByName(found), "same")
+    discard(stars, both, rooted, rest, pairs, found)
+    return every
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, width: int = 5) -> DataFrame:
@@ -304,7 +307,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     else:
         edges = similar_links(rows, docs, id_col, text_col, width, similarity)
     classes = _classes(distinct, edges)
-    stay = materialize(classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_stay")), "stay")
-    keyed = docs.withColumn("_row", F.expr(_row_key(id_col, text_col)))
-    # The join and the removal of repeated rows share one shuffle by key.
-    return keyed.join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    stay = materialize(classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("stay")), "stay")
+    discard(rows, distinct, edges, classes)
+    # Columns go by number here, so none of docs clashes. The join and the removal of repeated rows share one shuffle.
+    names = docs.columns
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.expr(_row_key(id_col, text_col)).alias("row"))
+    kept = keyed.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi").dropDuplicates(["row"])
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -9,7 +9,6 @@ boundary behind it that is an old leaf boundary as well.
 from __future__ import annotations
 
 import base64
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +17,9 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import map_texts
+from orefield.llm.arrow import CACHE_BYTES, ENTRY_BYTES, held, map_texts
 
 LEAF = 32
-CACHE = 300_000
 
 
 def default_ranks() -> str:
@@ -31,17 +29,21 @@ def default_ranks() -> str:
 
 
 class Counter_(dict):
-    """pre-token -> number of tokens."""
+    """pre-token -> number of tokens, forgotten as a whole when it has grown to CACHE_BYTES."""
 
     def __init__(self, piece):
         super().__init__()
-        self.piece = piece
+        self.piece, self.used = piece, 0
 
     def __missing__(self, token: str) -> int:
         n = len(self.piece(token))
-        if len(self) >= CACHE:
+        cost = 4 * len(token) + ENTRY_BYTES
+        if self.used + cost > CACHE_BYTES:
             self.clear()
-        self[token] = n
+            self.used = 0
+        if cost <= CACHE_BYTES:
+            self[token] = n
+            self.used += cost
         return n
 
 
@@ -62,9 +64,8 @@ class Tokenizer:
         return np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))
 
 
-@functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return held(("tokenizer", path), lambda: Tokenizer(path))
 
 
 class Tree:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import HashCache, hash64, map_texts, plain_words, slices
+from orefield.llm.arrow import CACHE_BYTES, ENTRY_BYTES, HashCache, begin_task, hash64, map_texts, plain_words, slices
 from orefield.session import discard, materialize
 
 #: Words and their first five and six bytes are counted in two tables of this many hash buckets, which bounds the model at any size
@@ -28,7 +28,8 @@ SIGMAS = 3.0  # a piece counts by as much as its log-odds surely exceed zero
 DRIFT = 0.25  # taken from every word's log-odds: neutral text then runs downhill
 BIN, BINS = 0.25, 400
 LOW, STEP, STEPS = -8.0, 0.125, 192  # the histogram of word scores
-DISTINCT = 200_000  # words counted by a task before they go into its buckets
+DISTINCT = 50_000  # words counted by a task before they go into its buckets
+SCORED = 50_000  # new words that are scored at once
 THRESHOLD = 0.3
 
 
@@ -56,22 +57,25 @@ def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordScores(dict):
-    """word -> the log-odds of its most toxic form, less the drift; forgotten as a whole when grown to ``limit`` words."""
+    """word -> the log-odds of its most toxic form, less the drift; forgotten as a whole when grown to ``limit`` bytes."""
 
-    def __init__(self, weights: np.ndarray, limit: int = 400_000):
+    def __init__(self, weights: np.ndarray, limit: int = CACHE_BYTES):
         super().__init__()
-        self.weights, self.limit = weights, limit
+        self.weights, self.limit, self.used = weights, limit, 0
 
     def array(self, words: list[bytes]) -> np.ndarray:
+        """The scores of the words of one text; words new to a long text are scored SCORED at a time."""
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
         new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) >= self.limit:
-                self.clear()
-                new = list(set(words))
-            owner, buckets = pieces(new)
-            best = np.full(len(new), -np.inf, np.float32)
+        for i in range(0, len(new), SCORED):
+            part = new[i : i + SCORED]
+            owner, buckets = pieces(part)
+            best = np.full(len(part), -np.inf, np.float32)
             np.maximum.at(best, owner, self.weights[buckets].min(axis=0))
-            self.update(zip(new, (best.astype(np.float64) - DRIFT).tolist()))
+            self.update(zip(part, (best.astype(np.float64) - DRIFT).tolist()))
+        self.used += sum(map(len, new)) + ENTRY_BYTES * len(new)
         return np.fromiter(map(self.__getitem__, words), np.float32, len(words))
 
 
@@ -153,9 +157,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
         return work
 
     # Copies and near-copies mostly share two least shingle hashes; one of them speaks for all, or a copied text's own
-    # words would look like evidence. The map side keeps one text of each key already.
+    # words would look like evidence. The map side keeps one text of each key already, that of the least hash, so the
+    # model doesn't depend on the order of rows.
     keyed = map_texts(rows, {"toxic": "toxic", "tune": "tune", "text": "text"}, "a long, b long", make)
-    return keyed.groupBy("a", "b", "toxic").agg(F.min("tune").alias("tune"), F.first("text").alias("text")).select("text", "toxic", "tune")
+    return keyed.groupBy("a", "b", "toxic").agg(F.min("tune").alias("tune"), F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "tune")
 
 
 def _count(rows: DataFrame) -> DataFrame:
@@ -163,12 +168,12 @@ def _count(rows: DataFrame) -> DataFrame:
     source = rows.select(F.col("text").cast("string").cast("binary").alias("text"), "toxic")
 
     def run(batches):
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = begin_task(lambda: np.zeros((2, BUCKETS), np.int32))  # a task has fewer rows than that holds
         words = (Counter(), Counter())
 
         def pour(t: int) -> None:
             owner, buckets = pieces(list(words[t]))
-            times = np.fromiter(words[t].values(), np.int64, len(words[t]))[owner]
+            times = np.fromiter(words[t].values(), np.int32, len(words[t]))[owner]
             for own in buckets:
                 np.add.at(sums[t], own, times)
             words[t].clear()
@@ -177,16 +182,17 @@ def _count(rows: DataFrame) -> DataFrame:
             for part, texts in slices(batch):
                 for text, toxic in zip(texts, part.column(1).to_pylist()):
                     words[toxic != 0].update(set(plain_words(text)))
-                for t in (0, 1):
-                    if len(words[t]) > DISTINCT:
-                        pour(t)
+                    if len(words[toxic != 0]) > DISTINCT:
+                        pour(int(toxic != 0))
         for t in (0, 1):
             pour(t)
             some = np.flatnonzero(sums[t])
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), t)), pa.array(sums[t][some])], names=["bucket", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), t, np.int8)), pa.array(sums[t][some])], names=["bucket", "toxic", "n"]
+            )
 
-    counted = source.mapInArrow(run, "bucket long, toxic long, n long")
-    return counted.groupBy("bucket", "toxic").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "bucket int, toxic byte, n int")
+    return counted.groupBy("bucket", "toxic").agg(F.sum("n").cast("int").alias("n"))
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -219,13 +225,15 @@ def karlin_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Word statistics from two of four parts of the labels, extreme values and the final curve from a third.
 
-    The fourth part, crc32(doc_id) mod 4 = 2, is never read. Without labels all scores are low.
+    The fourth part, crc32(doc_id) mod 4 = 2, is never read. Without labels all scores are low. The model depends on the
+    rows alone, not on their order or partitions.
     """
     rows = materialize(_labelled(docs, labels, id_col, text_col), "labelled")
     counts = np.zeros((2, BUCKETS))
     # Passages that many documents share would count once for each; every distinct line speaks once for each label.
     lines = rows.where("not tune").select("toxic", F.explode(F.split("text", "\n")).alias("text"))
-    lines = lines.groupBy(F.xxhash64("text"), "toxic").agg(F.first("text").alias("text"))
+    lines = lines.groupBy(F.xxhash64("text"), "toxic").agg(F.min("text").alias("text"))
+    # At most 2 * BUCKETS rows of 9 bytes, 38 MB, come to the driver at any size of the corpus.
     for r in _count(lines).toArrow().to_batches():
         counts[r.column(1).to_numpy(), r.column(0).to_numpy()] = r.column(2).to_numpy()
     model = Model(log_odds(counts[1], counts[0]).astype(np.float32))
@@ -239,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = F.coalesce(F.array_max("scores"), F.lit(0.0))
     clean = tune.where("toxic = 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-F.lit(model.lam) * top))).first()
     if clean[0]:
-        model.k = min(max(clean[0] / max(clean[1] or 0.0, 1e-9), 1e-6), 1e3)
+        # Nine digits: the sum's last ones depend on the order of its terms.
+        model.k = float(f"{min(max(clean[0] / max(clean[1] or 0.0, 1e-9), 1e-6), 1e3):.9g}")
     base = F.log(F.greatest(F.lit(model.k) * F.greatest("n_words", F.lit(1)), F.lit(1e-12)))
     total = F.aggregate("scores", F.lit(0.0), lambda x, s: x + F.greatest(F.lit(0.0), F.lit(model.lam) * s - base))
     hist = np.zeros((2, BINS))
