@@ -27,22 +27,27 @@ SUB = 4  # 2 ** SUB buckets for each power of two
 
 @dataclass(frozen=True)
 class Rule:
-    """A text fails if its rate is over both the floor and the fence q3 + spread * (q3 - q1) of its group."""
+    """A text fails if its rate is surely over the fence of its group.
+
+    The fence is high + (high - median), from the group's sketch; ``high`` is a quantile that is taken to be sound, in
+    percent: symbols, stutter and word length may be junk in a tenth of the texts, repeats are ordinary in long ones.
+    "Surely" means by DEVIATIONS of the count that the fence expects of a text of that length, or of a count of 1.
+    """
 
     metric: str
     top: str
     bottom: str
-    floor: int
-    spread: int = 3
+    high: int
 
 
 RULES = (
-    Rule("symbol_rate", "n_symbols", "n_words", 300_000),
-    Rule("dup_line_rate", "n_dup_lines", "n_lines", 300_000),
-    Rule("repeat_rate", "n_repeat_words", "n_words", 200_000),
-    Rule("stutter_rate", "n_stutter", "n_words", 200_000),
-    Rule("word_length", "word_chars", "n_words", 12_000_000),
+    Rule("symbol_rate", "n_symbols", "n_words", 90),
+    Rule("dup_line_rate", "n_dup_lines", "n_lines", 99),
+    Rule("repeat_rate", "n_repeat_words", "n_words", 99),
+    Rule("stutter_rate", "n_stutter", "n_words", 90),
+    Rule("word_length", "word_chars", "n_words", 90),
 )
+DEVIATIONS = 3
 #: Groups of fewer texts than this take the thresholds of their language, or else of all texts.
 LEAST_GROUP = 200
 
@@ -128,8 +133,9 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(g0, g1, metric, q1, q3) for each group of the sketch, taken from a wider one where it is small."""
+    """(g0, g1, metric, middle, high) for each group of the sketch, taken from a wider one where it is small."""
     levels = [["g0", "g1"], ["g0"], []]
+    percent = F.create_map(*(F.lit(x) for r in RULES for x in (r.metric, r.high)))
     tables = []
     for keys in levels:
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -139,24 +145,31 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         tables.append(
             ranked.groupBy(*keys, "metric").agg(
                 F.max("total").alias("total"),
-                F.min(F.when(F.col("up") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-                F.min(F.when(F.col("up") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
+                F.min(F.when(F.col("up") * 2 >= F.col("total"), F.col("bucket"))).alias("middle"),
+                F.min(F.when(F.col("up") * 100 >= F.col("total") * percent[F.col("metric")], F.col("bucket"))).alias("high"),
             )
         )
     groups = sketch.select("g0", "g1", "metric").distinct()
-    own, lang, whole = (t.withColumnsRenamed({"total": f"t{i}", "q1": f"q1_{i}", "q3": f"q3_{i}"}) for i, t in enumerate(tables))
+    own, lang, whole = (t.withColumnsRenamed({"total": f"t{i}", "middle": f"middle_{i}", "high": f"high_{i}"}) for i, t in enumerate(tables))
     joined = groups.join(own, ["g0", "g1", "metric"], "left").join(lang, ["g0", "metric"], "left").join(whole, ["metric"], "left")
 
     def pick(q: str) -> Column:
         return F.when(F.col("t0") >= LEAST_GROUP, F.col(f"{q}_0")).when(F.col("t1") >= LEAST_GROUP, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
 
-    return joined.select("g0", "g1", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    return joined.select("g0", "g1", "metric", pick("middle").alias("middle"), pick("high").alias("high"))
 
 
 def fences(limits: DataFrame) -> DataFrame:
-    """(g0, g1, then for each rule its threshold): one row for each group."""
-    fence = {r.metric: F.greatest(F.lit(r.floor), F.col("q3") + r.spread * (F.col("q3") - F.col("q1"))) for r in RULES}
-    return limits.groupBy("g0", "g1").agg(*(F.max(F.when(F.col("metric") == m, e)).alias(f"max_{m}") for m, e in fence.items()))
+    """(g0, g1, then for each rule its fence): one row for each group."""
+    fence = 2 * F.col("high") - F.col("middle")
+    return limits.groupBy("g0", "g1").agg(*(F.max(F.when(F.col("metric") == r.metric, fence)).alias(f"max_{r.metric}") for r in RULES))
+
+
+def over(rule: Rule) -> Column:
+    """Whether the count is over what the fence expects by DEVIATIONS; both sides times a million, so in whole numbers."""
+    expected = (F.col(f"max_{rule.metric}") * F.greatest(rule.bottom, F.lit(1))).cast("double")
+    beyond = F.col(rule.top).cast("double") * MILLION - expected
+    return (beyond > 0) & (beyond * beyond > DEVIATIONS**2 * float(MILLION) * F.greatest(expected, F.lit(float(MILLION))))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -168,8 +181,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     measured = materialize(metrics(docs, id_col, text_col, groups), "metrics")
     sketch = materialize(sketches(measured), "sketch")
     limits = materialize(fences(thresholds(sketch)), "fences")
-    broken = F.filter(
-        F.array(*(F.when(rate(r) > F.coalesce(F.col(f"max_{r.metric}"), F.lit(1 << 62)), F.lit(r.metric)) for r in RULES)), lambda x: x.isNotNull()
-    )
+    broken = F.array_compact(F.array(*(F.when(over(r), F.lit(r.metric)) for r in RULES)))
     judged = measured.join(limits, ["g0", "g1"], "left").withColumn("reasons", broken)
     return judged.select("doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons")

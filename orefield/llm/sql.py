@@ -39,36 +39,39 @@ WITH d AS (
     greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl FROM m
 ), r AS (
   SELECT doc_id, g0, g1, base_failed, unnest([
-    {'metric': 'symbol_rate', 'v': n_symbols * 1000000 // nw},
-    {'metric': 'dup_line_rate', 'v': n_dup_lines * 1000000 // nl},
-    {'metric': 'repeat_rate', 'v': n_repeat_words * 1000000 // nw},
-    {'metric': 'stutter_rate', 'v': n_stutter * 1000000 // nw},
-    {'metric': 'word_length', 'v': word_chars * 1000000 // nw}], recursive := true) FROM b
+    {'metric': 'symbol_rate', 'v': n_symbols * 1000000 // nw, 'nt': n_symbols, 'nb': nw},
+    {'metric': 'dup_line_rate', 'v': n_dup_lines * 1000000 // nl, 'nt': n_dup_lines, 'nb': nl},
+    {'metric': 'repeat_rate', 'v': n_repeat_words * 1000000 // nw, 'nt': n_repeat_words, 'nb': nw},
+    {'metric': 'stutter_rate', 'v': n_stutter * 1000000 // nw, 'nt': n_stutter, 'nb': nw},
+    {'metric': 'word_length', 'v': word_chars * 1000000 // nw, 'nt': word_chars, 'nb': nw}], recursive := true) FROM b
 ), k AS (
   SELECT *, (v >> greatest(length(ltrim(bin(v), '0')) - 5, 0)) << greatest(length(ltrim(bin(v), '0')) - 5, 0) AS bucket FROM r
 ), s AS (
   SELECT g0, g1, metric, bucket, count(*) AS n FROM k WHERE NOT base_failed GROUP BY ALL
 ), s0 AS (
-  SELECT g0, g1, metric, max(total) AS t, min(bucket) FILTER (up * 4 >= total) AS q1, min(bucket) FILTER (up * 4 >= total * 3) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY g0, g1, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, g1, metric) AS total FROM s)
-  GROUP BY ALL
+  SELECT g0, g1, metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+    min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
+  FROM (SELECT *, sum(n) OVER (PARTITION BY g0, g1, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, g1, metric) AS total
+        FROM s) GROUP BY ALL
 ), s1 AS (
-  SELECT g0, metric, max(total) AS t, min(bucket) FILTER (up * 4 >= total) AS q1, min(bucket) FILTER (up * 4 >= total * 3) AS q3
+  SELECT g0, metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+    min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY g0, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, metric) AS total
         FROM (SELECT g0, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
 ), s2 AS (
-  SELECT metric, min(bucket) FILTER (up * 4 >= total) AS q1, min(bucket) FILTER (up * 4 >= total * 3) AS q3
+  SELECT metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+    min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY metric) AS total
         FROM (SELECT metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
 ), f AS (
-  SELECT s0.g0, s0.g1, s0.metric,
-    CASE WHEN s0.t >= 200 THEN s0.q1 WHEN s1.t >= 200 THEN s1.q1 ELSE s2.q1 END AS q1,
-    CASE WHEN s0.t >= 200 THEN s0.q3 WHEN s1.t >= 200 THEN s1.q3 ELSE s2.q3 END AS q3
+  SELECT s0.g0, s0.g1, s0.metric, CASE WHEN s0.t >= 200 THEN 2 * s0.high - s0.middle
+    WHEN s1.t >= 200 THEN 2 * s1.high - s1.middle ELSE 2 * s2.high - s2.middle END AS fence
   FROM s0 LEFT JOIN s1 USING (g0, metric) LEFT JOIN s2 USING (metric)
+), e AS (
+  SELECT doc_id, CAST(fence * nb AS DOUBLE) AS expected, CAST(nt AS DOUBLE) * 1000000 - CAST(fence * nb AS DOUBLE) AS beyond
+  FROM r JOIN f USING (g0, g1, metric)
 ), bad AS (
-  SELECT DISTINCT r.doc_id FROM r JOIN f USING (g0, g1, metric)
-  WHERE v > greatest(q3 + 3 * (q3 - q1), CASE metric WHEN 'symbol_rate' THEN 300000 WHEN 'dup_line_rate' THEN 300000
-    WHEN 'repeat_rate' THEN 200000 WHEN 'stutter_rate' THEN 200000 ELSE 12000000 END)
+  SELECT DISTINCT doc_id FROM e WHERE beyond > 0 AND beyond * beyond > 9 * 1000000.0::DOUBLE * greatest(expected, 1000000.0::DOUBLE)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept

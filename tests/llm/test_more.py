@@ -254,3 +254,26 @@ def test_sketch_merges_and_bounds(spark):
     values = sorted(int(10 ** np.random.default_rng(1).uniform(0, 6)) for _ in range(3000))
     table = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bucket(F.col("v")).alias("b")).collect()
     assert all(r.b <= r.v < r.b * (1 + 1 / 16) + 1 for r in table)
+
+
+def test_a_groups_own_distribution_decides(spark):
+    rng = random.Random(12)
+    noun = lambda: rng.choice(["red", "green", "blue", "grey"]) + str(rng.randrange(5000))
+
+    def group(first, source, marked):
+        """300 texts, of which a share has a sign at every fourth word."""
+        return [
+            (first + i, " ".join(noun() + ("#" if k % 4 == 0 and i < 300 * marked else "") for k in range(60)), "en", source)
+            for i in range(300)
+        ]
+
+    text = " ".join(f"word{k}" + ("#" if k % 4 == 0 else "") for k in range(60))
+    probes = [(1, text, "en", "plain"), (2, text, "en", "code")]
+
+    def kept(rows):
+        return {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("doc_id < 10").collect()}
+
+    plain, code = group(1000, "plain", 0.0), group(2000, "code", 0.4)
+    assert kept(probes + plain + code) == {1: False, 2: True}
+    assert kept(probes + group(1000, "plain", 0.4) + code) == {1: True, 2: True}
+    assert kept(probes + plain + group(2000, "code", 0.0)) == {1: False, 2: False}
