@@ -23,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import slices
-from orefield.session import materialize, scratch_path
+from orefield.llm.arrow import begin_task, slices
+from orefield.session import discard, materialize, scratch_path, ship
 
 LEAST_DEDUP_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 BLOCK_ENTRIES = 512
-MAX_INDEX_FILES = 20_000
+#: An index file gets about this many captures, so the files stay few at any size.
+FILE_ENTRIES = 500_000
 READ_BYTES = 4 << 20
+#: A reading task gets about this many bytes of archives.
+TASK_BYTES = 64 << 20
 LEVEL = 4
 NO_ID = -(1 << 63)
 TRAILER = ">QQ"
@@ -112,6 +115,12 @@ class Appender:
             self.out.close()
 
 
+def tasks(spark: SparkSession, amount: int, each: int) -> int:
+    """How many tasks of about ``each`` the amount takes; a small amount is spread over the cluster, but in no less than
+    64ths of that. Being explicit, the number isn't lowered for rows that are small themselves but lead to large reads."""
+    return max(1, -(-amount // each), min(spark.sparkContext.defaultParallelism, -(-amount * 64 // each)))
+
+
 ENTRY = "key string, page_id long, file string, offset long, length long"
 
 
@@ -121,6 +130,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     Of equal payloads of LEAST_DEDUP_BYTES or more, that with the largest page_id is a response and the others revisit
     it; rows that repeat this id are all responses, as are rows without id if none has one. Null payloads are empty.
     """
+    ship(pages.sparkSession)
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), url_key(F.col(url_col).cast("string")).alias("key"), payload.alias("text"), F.sha1(payload).alias("digest")
@@ -133,7 +143,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     told = told.select("key", "page_id", "url", "digest", refers.alias("refers_to"), "text")
 
     def run(batches):
-        out = Appender(folder, "archive", ARCHIVE_BYTES)
+        out = begin_task(lambda: Appender(folder, "archive", ARCHIVE_BYTES))
         for batch in batches:
             for part, texts in slices(batch):
                 key, page_id, url, digest, refers_to = (part.column(i).to_pylist() for i in range(5))
@@ -148,16 +158,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((key, pa.string()), (page_id, pa.int64()), (files, pa.string()), (offsets, pa.int64()), (lengths, pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
         out.close()
 
-    return materialize(told.mapInArrow(run, ENTRY), "captures")
+    captures = materialize(told.mapInArrow(run, ENTRY), "captures")
+    discard(equal)
+    return captures
 
 
 def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, int, str]]:
-    """Sort the captures into index files; returns their first captures and names, one for each range partition."""
+    """Sort the captures into index files; returns their first captures and names, one for each FILE_ENTRIES captures."""
+    n = tasks(captures.sparkSession, captures.count(), FILE_ENTRIES)
     rows = captures.select(F.col("key").cast("binary").alias("key"), F.coalesce("page_id", F.lit(NO_ID)).alias("page_id"), "file", "offset", "length")
-    ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = rows.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
 
     def run(batches):
-        out, directory, block = Appender(folder, "index", 1 << 62), [], []
+        out, directory, block = begin_task(lambda: Appender(folder, "index", 1 << 62)), [], []
 
         def flush():
             data = zlib.compress("\n".join(json.dumps([k.decode("latin-1"), *rest]) for k, *rest in block).encode(), LEVEL)
@@ -180,9 +193,9 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, int, str]
             yield pa.RecordBatch.from_pydict({"first_key": [first[0].encode("latin-1")], "first_id": [first[1]], "file": [name]})
 
     files = materialize(ordered.mapInArrow(run, "first_key binary, first_id long, file string"), "index")
-    if files.count() > MAX_INDEX_FILES:
-        raise ValueError(f"over {MAX_INDEX_FILES} index files: use fewer shuffle partitions")
-    return sorted((bytes(r[0]), r[1], r[2]) for r in files.collect())
+    firsts = sorted((bytes(r[0]), r[1], r[2]) for r in files.collect())
+    discard(files)
+    return firsts
 
 
 class Index:
@@ -234,10 +247,11 @@ class Index:
 def lookup(wanted: DataFrame, folder: str, files: list[tuple[bytes, int, str]]) -> DataFrame:
     """(page_id, file, offset, length) of the captures of each distinct (key, page_id) of ``wanted``."""
     rows = wanted.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")).distinct()
-    rows = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    n = tasks(wanted.sparkSession, wanted.count(), FILE_ENTRIES)
+    rows = rows.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches):
-        index = Index(folder, files)
+        index = begin_task(lambda: Index(folder, files))
         for batch in batches:
             found = [(i, *place) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for place in index.find(k, i)]
             columns = list(zip(*found)) or [[], [], [], []]
@@ -255,12 +269,13 @@ def read(places: DataFrame, folder: str, with_payload: bool = True) -> DataFrame
     (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload binary: null for revisits). The digest
     of every payload is computed again and must be that of its header.
     """
-    rows = places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    n = tasks(places.sparkSession, places.agg(F.sum("length")).first()[0] or 0, TASK_BYTES)
+    rows = places.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_payload
 
     def run(batches):
-        fs, path = store(folder)
+        fs, path = begin_task(lambda: store(folder))
         name = source = None
         for batch in batches:
             todo = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
@@ -290,10 +305,15 @@ def read(places: DataFrame, folder: str, with_payload: bool = True) -> DataFrame
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, with_payload: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write, index, look up every page by its key and id, and read its record back: one row for each row of pages."""
+    """Write, index, look up every page by its key and id, and read its record back: one row for each row of pages.
+
+    An empty table gives no rows. Rows that repeat key and id are each written and told, each as often as they stand
+    there; null payloads and URLs count as empty, and rows without id are found as such.
+    """
     folder = folder or scratch_path(spark, "warc")
     captures = write(pages, folder, id_col, url_col, html_col)
     files = build_index(captures, folder)
+    discard(captures)
     wanted = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.col(id_col).alias("page_id"))
     places = materialize(lookup(wanted, folder, files), "places")
     return read(places, folder, with_payload)
