@@ -265,9 +265,9 @@ def train(table: dict[tuple[int, ...], tuple[float, float]], ridge: float = 1.0)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, found array<struct<kind,start,end,p>>, spans).
+    """(doc_id, n_spans, n_email, ..., n_number, base_sha256, found array<struct<kind,start,end,p>>, spans).
 
-    A row for each row of docs. Null and empty texts have no spans. Repeated rows are told alike and count as often in
+    n_spans counts all spans, the n_ of each kind its own. A row for each row of docs. Null and empty texts have no spans. Repeated rows are told alike and count as often in
     the estimates. Base spans are always found, further candidates where the classifier gives p >= ``threshold``.
     """
     seen = materialize(candidates(docs, id_col, text_col), "spans")
@@ -290,4 +290,5 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     rows = seen.select("doc_id", "base_sha256", found.alias("found"))
     count = lambda k: F.size(F.filter("found", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
     listed = F.array_join(F.transform("found", lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"])), ",")
-    return rows.select("doc_id", *map(count, BASE_KINDS), "base_sha256", "found", listed.alias("spans"))
+    total = F.size("found").cast("long").alias("n_spans")
+    return rows.select("doc_id", total, *map(count, KINDS), "base_sha256", "found", listed.alias("spans"))
