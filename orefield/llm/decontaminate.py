@@ -1,10 +1,11 @@
 """Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification.
 
-Texts and items are sequences of plain words (lower-cased letters and digits). A window starts at every anchor, a
-word that a hash of its content picks, in texts and items alike, so an edit elsewhere doesn't move it. From there a
-CGK walk reads symbols: at step j it emits the current word and moves on if bit j of a random function of the word
-is set. Windows within a small edit distance then emit words that agree at most steps, and tables that sample a few
-steps find them. What they find is aligned exactly, word by word, against the whole item.
+Texts and items are sequences of plain words (lower-cased letters and digits). Windows start at anchors, which a hash of
+the word picks, so an edit elsewhere doesn't move them; a text's windows start at words that are anchors of some item.
+From there a CGK walk reads symbols: at step j it emits the current word and moves on if bit j of a random function of
+the word is set. Windows within a small edit distance then emit words that agree at most steps, and tables that sample a
+few steps find them. A walk is as long as its item needs, up to MAX_STEPS, about 32 words; longer items have windows of
+that size at all their anchors. What they find is aligned exactly, word by word, against the whole item.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from orefield.llm.arrow import HashCache, hash64, map_texts, plain_words
 
-#: Items are broadcast in blocks of at most about this many bytes of text.
-BLOCK_BYTES = 16 << 20
+#: Items go to every task in blocks whose index takes at most about this much memory; INDEX_RATIO is index by text.
+INDEX_BYTES = 32 << 20
+INDEX_RATIO = 20
 MAX_STEPS = 64
 CHUNK = 1 << 14  # windows that walk together; their state fits a core's cache
 BITMAP_BITS = 17
@@ -50,14 +52,43 @@ def steps_of(n_words: int) -> int:
     return max(4, min(MAX_STEPS, 3 << (n_words.bit_length() - 2)))
 
 
+@dataclass
+class Table:
+    """One sample of steps: the items' signatures in order, and the item and place that each comes from."""
+
+    walk: int
+    sample: np.ndarray
+    sigs: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    bitmap: np.ndarray  # of the signatures' first bits, which turns most lookups away
+
+    @classmethod
+    def build(cls, walk: int, sample: np.ndarray, sigs: np.ndarray, items: np.ndarray, places: np.ndarray) -> Table:
+        order = np.argsort(sigs, kind="stable")
+        bitmap = np.zeros(1 << BITMAP_BITS, bool)
+        bitmap[sigs >> np.uint64(64 - BITMAP_BITS)] = True
+        return cls(walk, sample, sigs[order], items[order], places[order], bitmap)
+
+    def find(self, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the signature asked, row of the table) of all that meet."""
+        asked = np.flatnonzero(self.bitmap[sig >> np.uint64(64 - BITMAP_BITS)])
+        low = np.searchsorted(self.sigs, sig[asked], "left")
+        n = np.searchsorted(self.sigs, sig[asked], "right") - low
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.repeat(asked, n), rows
+
+
 @dataclass
 class Index:
-    """Signatures of a block of items; small enough to go to every task (see BLOCK_BYTES)."""
+    """Signatures of a block of items as sorted arrays; small enough to go to every task (see INDEX_BYTES)."""
 
     settings: Settings
-    items: list[tuple[int, np.ndarray]]
-    extra: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    classes: dict[int, list[tuple]] = field(default_factory=dict)
+    ids: list[int]
+    words: np.ndarray  # all items' words, one after the other
+    ends: np.ndarray
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # anchors of the items
+    tables: list[Table] = field(default_factory=list)
     short: dict[int, dict[tuple[int, ...], list[int]]] = field(default_factory=dict)
 
     @classmethod
@@ -67,61 +98,66 @@ class Index:
             words = plain_words(text)
             if words:
                 (items if len(words) >= s.min_words else short).append((item_id, np.array([hash64(w) for w in words], dtype=np.uint64)))
-        index = cls(s, items)
+        every = items + short
+        lengths = np.array([len(t) for _, t in every], dtype=np.int64)
+        index = cls(s, [i for i, _ in every], np.concatenate([t for _, t in every]) if every else np.zeros(0, np.uint64), np.cumsum(lengths))
+        picked = [np.flatnonzero((mix(t, 7) & np.uint64(s.anchor_mask)) == 0) for _, t in items]
         # Items with few anchors lend their first words as further anchors.
-        extra = [t[:3] for _, t in items if index.anchors(t)[: max(1, len(t) // 2)].sum() < 3]
-        index.extra = np.unique(np.concatenate(extra)) if extra else index.extra
+        extra = [t[:3] for (_, t), at in zip(items, picked) if (at < max(1, len(t) // 2)).sum() < 3]
+        if extra:
+            extra = np.unique(np.concatenate(extra))
+            picked = [np.union1d(at, np.flatnonzero(np.isin(t, extra))) for (_, t), at in zip(items, picked)]
         rng = np.random.default_rng(s.seed)
+        heads = []
         for steps in sorted({steps_of(len(t)) for _, t in items}):
             samples = [np.sort(rng.choice(steps, min(s.sampled, steps), replace=False)) for _ in range(s.walks * s.samplings)]
-            tables = []
+            parts, starts, owners, places, at = [], [], [], [], 0
+            pad = np.zeros(MAX_STEPS + 1, np.uint64)
+            for k, (_, t) in enumerate(items):
+                if steps_of(len(t)) == steps:
+                    own = picked[k][picked[k] + max(1, min(len(t), steps // 2)) <= len(t)]
+                    parts += [t, pad]
+                    starts.append(own + at)
+                    owners.append(np.full(len(own), k, np.int32))
+                    places.append(own.astype(np.int32))
+                    heads.append(t[own])
+                    at += len(t) + len(pad)
+            tokens, starts, owners, places = map(np.concatenate, (parts, starts, owners, places))
             for r in range(s.walks):
                 own = samples[r * s.samplings : (r + 1) * s.samplings]
-                found: list[dict[int, list[tuple[int, int]]]] = [{} for _ in own]
-                for k, (_, t) in enumerate(items):
-                    if steps_of(len(t)) != steps:
-                        continue
-                    starts = np.flatnonzero(index.anchors(t))
-                    starts = starts[starts + max(1, min(len(t), steps // 2)) <= len(t)]
-                    padded = np.concatenate([t, np.zeros(MAX_STEPS + 1, np.uint64)])
-                    for table, sig in zip(found, signatures(padded, walk_bits(padded, r, s), starts, own)):
-                        for at, value in zip(starts.tolist(), sig.tolist()):
-                            table.setdefault(value, []).append((k, at))
-                for sample, table in zip(own, found):
-                    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-                    if table:
-                        bitmap[np.fromiter(table, np.uint64, len(table)) >> np.uint64(64 - BITMAP_BITS)] = True
-                    tables.append((r, sample, table, bitmap))
-            index.classes[steps] = tables
+                bits = walk_bits(tokens, r, s)
+                made = [signatures(tokens, bits, starts[i : i + CHUNK], own) for i in range(0, len(starts), CHUNK)]
+                index.tables += [Table.build(r, sample, np.concatenate([m[j] for m in made]), owners, places) for j, sample in enumerate(own) if made]
+        index.heads = np.unique(np.concatenate(heads)) if heads else index.heads
         for k, (_, t) in enumerate(short, len(items)):
             index.short.setdefault(len(t), {}).setdefault(tuple(t.tolist()), []).append(k)
-        items += short
         return index
 
-    def anchors(self, tokens: np.ndarray) -> np.ndarray:
-        picked = (mix(tokens, 7) & np.uint64(self.settings.anchor_mask)) == 0
-        if len(self.extra):
-            few = np.zeros(1 << 16, bool)
-            few[self.extra & np.uint64(0xFFFF)] = True
-            near = np.flatnonzero(few[tokens & np.uint64(0xFFFF)])
-            picked[near] |= np.isin(tokens[near], self.extra)
-        return picked
-
-    def hits(self, tokens: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
-        """(window start, item number, start within the item) of every signature that meets an item's."""
-        out: set[tuple[int, int, int]] = set()
+    def item(self, k: int) -> np.ndarray:
+        return self.words[self.ends[k - 1] if k else 0 : self.ends[k]]
+
+    def starts(self, tokens: np.ndarray) -> np.ndarray:
+        """Where windows start: at words that are an anchor of some item."""
+        few = np.zeros(1 << 16, bool)
+        few[self.heads & np.uint64(0xFFFF)] = True
+        near = np.flatnonzero(few[tokens & np.uint64(0xFFFF)])
+        return near[np.isin(tokens[near], self.heads)]
+
+    def hits(self, tokens: np.ndarray) -> list[tuple[int, int, int]]:
+        """(window start, item number, start within the item) of every signature that meets an item's, in order."""
+        starts = self.starts(tokens)
+        out = [np.zeros((0, 3), np.int64)]
         for r in range(self.settings.walks):
-            tables = [x for c in self.classes.values() for x in c if x[0] == r]
+            tables = [t for t in self.tables if t.walk == r]
             bits = walk_bits(tokens, r, self.settings)
-            samples = [x[1] for x in tables]
+            samples = [t.sample for t in tables]
             for i in range(0, len(starts), CHUNK):
                 part = starts[i : i + CHUNK]
-                for (_, _, table, bitmap), sig in zip(tables, signatures(tokens, bits, part, samples)):
-                    for j in np.flatnonzero(bitmap[sig >> np.uint64(64 - BITMAP_BITS)]).tolist():
-                        for k, at in table.get(int(sig[j]), ()):
-                            out.add((int(part[j]), k, at))
-        return out
-
+                for table, sig in zip(tables, signatures(tokens, bits, part, samples)):
+                    asked, rows = table.find(sig)
+                    if len(rows):
+                        out.append(np.stack([part[asked], table.items[rows], table.places[rows]], axis=1))
+        return list(map(tuple, np.unique(np.concatenate(out), axis=0).tolist()))
 
     def short_hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, item number) of every place where an item of under ``min_words`` words stands as it is."""
@@ -188,7 +224,7 @@ def verify(index: Index, tokens: np.ndarray, low: int, high: int, found: list[tu
     best: dict[int, tuple[int, int, int]] = {}
     tried: set[tuple[int, int]] = set()
     for start, k, at in found:
-        item = index.items[k][1]
+        item = index.item(k)
         allowed = int((1 - index.settings.similarity) * len(item) + 1e-9)
         begin = start - at
         if (k, begin) in tried:
@@ -204,11 +240,11 @@ def verify(index: Index, tokens: np.ndarray, low: int, high: int, found: list[tu
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of bounded size, so each block may go to every task."""
+    """The items in blocks of bounded size, so each block's index may go to every task."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // (BLOCK_BYTES // 2)
+    n = 1 + total * INDEX_RATIO // INDEX_BYTES
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield sorted((r[0], bytes(r[1])) for r in part.collect())
@@ -229,11 +265,9 @@ def _found(docs: DataFrame, index: Index, keep: dict[str, str], text_col: str) -
                 bounds.append((at, at + len(t)))
                 at += len(t) + len(pad)
             tokens = np.concatenate(parts)
-            picked = index.anchors(tokens)
-            picked &= tokens != 0
             found: dict[int, list] = {}
             lows = np.array([b[0] for b in bounds])
-            for hit in index.hits(tokens, np.flatnonzero(picked)):
+            for hit in index.hits(tokens):
                 found.setdefault(int(np.searchsorted(lows, hit[0], side="right")) - 1, []).append(hit)
             told = [[] for _ in texts]
             brief: set[tuple[int, int]] = set()
@@ -241,12 +275,12 @@ def _found(docs: DataFrame, index: Index, keep: dict[str, str], text_col: str) -
                 d = int(np.searchsorted(lows, at, side="right")) - 1
                 if (d, k) not in brief:
                     brief.add((d, k))
-                    n = len(index.items[k][1])
-                    told[d].append({"item_id": index.items[k][0], "edits": 0, "item_words": n, "similarity": 1.0, "first_word": at - bounds[d][0], "end_word": at - bounds[d][0] + n})
+                    n = len(index.item(k))
+                    told[d].append({"item_id": index.ids[k], "edits": 0, "item_words": n, "similarity": 1.0, "first_word": at - bounds[d][0], "end_word": at - bounds[d][0] + n})
             for d, hits in found.items():
-                for k, (edits, first, end) in sorted(verify(index, tokens, *bounds[d], sorted(hits)).items()):
-                    n = len(index.items[k][1])
-                    told[d].append({"item_id": index.items[k][0], "edits": edits, "item_words": n, "similarity": 1 - edits / n, "first_word": first, "end_word": end})
+                for k, (edits, first, end) in sorted(verify(index, tokens, *bounds[d], hits).items()):
+                    n = len(index.item(k))
+                    told[d].append({"item_id": index.ids[k], "edits": edits, "item_words": n, "similarity": 1 - edits / n, "first_word": first, "end_word": end})
             return {"found": pa_list(told)}
 
         return work

@@ -224,6 +224,24 @@ def test_leaks_recall_and_precision(spark):
     assert all(got[x] == want[x] for x in got)
 
 
+@pytest.mark.parametrize("low,high", [(4, 7), (8, 15), (16, 40), (60, 150), (300, 400)])
+def test_recall_by_item_length_at_all_allowed_edits(low, high):
+    rng = random.Random(low)
+    items = [sentence(rng, rng.randint(low, high)) for _ in range(60)]
+    index = decontaminate.Index.build([(i, t.encode()) for i, t in enumerate(items)], decontaminate.Settings())
+    caught = 0
+    for n in range(600):
+        k = rng.randrange(60)
+        words = items[k].split()
+        words = sentence(rng, 40).split() + edited(rng, words, n % (1 + int(0.2 * len(words)))) + sentence(rng, 40).split()
+        tokens = np.array([decontaminate.hash64(w.encode()) for w in words] + [0] * (decontaminate.MAX_STEPS + 1), dtype=np.uint64)
+        found = decontaminate.verify(index, tokens, 0, len(words), index.hits(tokens))
+        caught += k in found
+        assert all(slow_edits(items[j].split(), words) == e for j, (e, _, _) in found.items()) if high < 20 else True
+    print(low, high, caught / 600)
+    assert caught >= 0.9 * 600
+
+
 def test_clean_drops_leaking_ids(spark):
     rng = random.Random(2)
     items = [sentence(rng, 30), sentence(rng, 12)]
