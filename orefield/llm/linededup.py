@@ -140,20 +140,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """All columns of docs, the text without later copies of runs, and dropped_lines array<struct<first,last>>, n_lines.
 
     Null texts stay null and empty ones empty; a text of which every line goes becomes empty. Rows that repeat both id
-    and text get the same result. Rows of an empty table: none.
+    and text get the same result. Rows of an empty table: none. Columns of docs that are named like the two new ones give
+    way to them; no other name clashes.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    runs = runs.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("dropped_lines"))
-    runs = materialize(runs.withColumnsRenamed({"doc_id": "_id", "rev": "_rev"}), "dropped")
-    text = F.col(text_col).cast("string")
+    runs = materialize(runs.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("dropped")), "dropped")
+    names = [c for c in docs.columns if c not in ("dropped_lines", "n_lines")]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    own, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}").cast("string")
     # Merged at every size: the texts move once, and no table of runs is sent whole to every executor.
-    joined = docs.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_rev")), "left")
+    joined = rows.join(runs.hint("merge"), own.eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("rev")), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("dropped_lines", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    return joined.drop("_id", "_rev").withColumns(
-        {
-            text_col: F.when(F.col("dropped_lines").isNull(), text).otherwise(F.array_join(kept, "\n")),
-            "n_lines": F.size(F.coalesce(lines, F.array(F.lit("")))),
-            "dropped_lines": F.coalesce("dropped_lines", F.array().cast("array<struct<first:int,last:int>>")),
-        }
+    kept = F.filter(lines, lambda _, i: ~F.exists("dropped", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    cut = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(
+        *((cut if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)),
+        F.coalesce("dropped", F.array().cast("array<struct<first:int,last:int>>")).alias("dropped_lines"),
+        F.size(F.coalesce(lines, F.array(F.lit("")))).alias("n_lines"),
     )

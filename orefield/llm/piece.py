@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -16,10 +19,12 @@ from orefield.session import ship
 SPACE = "▁"
 #: A unit is spaces and then other characters; no piece of the vocabulary reaches over its end (checked on loading).
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Two generations of remembered units take at most about twice this; a unit of over LONG_UNIT characters isn't kept.
-CACHE_BYTES = 12 << 20
-ENTRY_BYTES = 450
-LONG_UNIT = 64
+#: Two generations of remembered units take at most about twice this and a slice of text.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 200
+#: A longer unit has an agenda of its own, as its merges would hold up the others.
+LONG_UNIT = 40
+NONE = np.iinfo(np.int32).max
 
 
 def default_model() -> str:
@@ -43,10 +48,27 @@ class PieceModel:
         self.rank = {self.pieces[i]: rank[sp.get_score(i)] for i in plain}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.bytes_of = [b""] * n
+        self.names = list(map(str, range(n)))
         for i in plain:
             self.bytes_of[i] = self.pieces[i].replace(SPACE, " ").encode()
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
+        # Symbols are numbered: the pieces, then characters that are none. A pair of symbols that make a piece has a row here.
+        self.symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
+            self.symbols[c] = n + len(self.symbols)
+        made = {(self.symbols[p[:i]], self.symbols[p[i:]]): p for p in self.ids for i in range(1, len(p)) if p[:i] in self.symbols and p[i:] in self.symbols}
+        pairs = sorted(made)
+        self.pair_keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        self.piece_at = np.zeros(len(order), np.int32)
+        merged = set(made.values())
+        for p in merged:
+            self.piece_at[self.rank[p]] = self.ids[p]
+        # Pieces of equal score, of which none holds another: units that hold one have to look at where pairs stand.
+        times = Counter(self.rank[p] for p in merged)
+        tied = {p for p in merged if times[self.rank[p]] > 1}
+        self.tied = [p for p in tied if not any(q != p and q in p for q in tied)]
+        self.pair_ranks = np.array([self.rank[made[x]] for x in pairs], np.int32)
         if len(self.byte_ids) != 256 or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the vocabulary needs 256 byte pieces and spaces only at the start of a piece")
 
@@ -87,6 +109,67 @@ class PieceModel:
             i = end[i]
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NONE where they make no piece."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """As ``encode_unit`` for each, packed; the agendas of units of equal length are worked off side by side."""
+        out: list[bytes] = [b""] * len(units)
+        by_length: dict[int, list[int]] = {}
+        known = self.symbols.keys()
+        for i, u in enumerate(units):
+            if len(u) <= LONG_UNIT and known >= set(u) and not any(p in u for p in self.tied):
+                by_length.setdefault(len(u), []).append(i)
+            else:
+                out[i] = array("i", self.encode_unit(u)).tobytes()
+        for length, owners in by_length.items():
+            symbols = np.fromiter(map(self.symbols.__getitem__, "".join([units[i] for i in owners])), np.int32).reshape(-1, length)
+            ids = self._merge(symbols)
+            some = ids >= 0
+            data, ends = ids[some].tobytes(), np.cumsum(some.sum(axis=1) * 4).tolist()
+            for i, a, b in zip(owners, [0] + ends, ends):
+                out[i] = data[a:b]
+            for k in np.flatnonzero((ids >= len(self.pieces)).any(axis=1)).tolist():  # a character that is no piece: its bytes
+                out[owners[k]] = array("i", self.encode_unit(units[owners[k]])).tobytes()
+        return out
+
+    def _merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Each row's symbols after all merges, -1 where one has been swallowed. Changes ``symbols``.
+
+        ``rank`` is the agenda: an entry for each symbol and its next one. Every step takes each row's best entry, the
+        leftmost on ties, merges that pair and renews the two entries that it touches.
+        """
+        n, width = symbols.shape
+        rank = np.full((n, width), NONE, np.int32)
+        rank[:, :-1] = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        follow = np.tile(np.arange(1, width + 1), (n, 1)).ravel()  # where the next symbol starts
+        before = np.tile(np.arange(-1, width - 1), (n, 1)).ravel()
+        symbol, entry = symbols.ravel(), rank.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            best = rank[rows].argmin(axis=1)
+            at = rows * width + best
+            found = entry[at]
+            some = found != NONE
+            rows, at, best, found = rows[some], at[some], best[some], found[some]
+            base = rows * width
+            swallowed = base + follow[at]
+            after = follow[swallowed]
+            symbol[at], symbol[swallowed], entry[swallowed] = self.piece_at[found], -1, NONE
+            follow[at] = after
+            entry[at] = NONE
+            i = np.flatnonzero(after < width)
+            behind = base[i] + after[i]
+            before[behind] = best[i]
+            entry[at[i]] = self._ranks(symbol[at[i]], symbol[behind])
+            i = np.flatnonzero(before[at] >= 0)
+            ahead = base[i] + before[at[i]]
+            entry[ahead] = self._ranks(symbol[ahead], symbol[at[i]])
+        return symbols
+
     def units(self, text: str) -> list[str]:
         """The library's view of a text: a space put before it, spaces escaped; nothing for an empty text."""
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -95,15 +178,17 @@ class PieceModel:
         return [i for u in self.units(text) for i in self.encode_unit(u)]
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(self.bytes_of[i] for i in ids)
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
-    def check(self, units: list[str], ids: list[list[int]]) -> None:
+    def check(self, units: list[str], ids: list[bytes]) -> None:
         """Compare with the library, which puts a space of its own before a unit: so give it units without theirs."""
-        asked = [(u[1:], x) for u, x in zip(units, ids) if u[0] == SPACE and len(u) > 1]
-        for (u, x), y in zip(asked, self.library.encode([u for u, _ in asked], num_threads=1)):
-            if x != y:
-                raise ValueError(f"the agenda gives {x} for {u!r}, the library {y}")
+        asked = [i for i, u in enumerate(units) if u[0] == SPACE and len(u) > 1]
+        told = self.library.encode([units[i][1:] for i in asked], num_threads=1)
+        same = list(map(len, told)) == [len(ids[i]) // 4 for i in asked]
+        if not same or array("i", chain.from_iterable(told)).tobytes() != b"".join([ids[i] for i in asked]):
+            wrong = next(units[i] for i, x in zip(asked, told) if array("i", x).tobytes() != ids[i])
+            raise ValueError(f"the agenda and the library encode {wrong!r} differently")
 
 
 def load_model(path: str) -> PieceModel:
@@ -111,36 +196,30 @@ def load_model(path: str) -> PieceModel:
 
 
 class Units(dict):
-    """unit -> (ids as text, their number, decoded bytes); two generations, bounded in bytes."""
+    """unit -> its ids as packed int32; two generations, bounded in bytes."""
 
     def __init__(self, model: PieceModel, limit: int = CACHE_BYTES):
         super().__init__()
         self.model, self.limit, self.used, self.old = model, limit, 0, {}
 
-    def known(self, units: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """All these units; new ones are encoded, checked against the library in one call."""
-        out, fresh = {}, []
-        for u in units:
-            x = self.get(u) or self.old.get(u)
+    def learn(self, units: set[str]) -> None:
+        """Hold all these units, at least until the next call; new ones are encoded and checked against the library."""
+        if self.used > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.used = 0
+        fresh = []
+        for u in units.difference(self):
+            x = self.old.get(u)
             if x is None:
                 fresh.append(u)
             else:
-                out[u] = x
-        if fresh:
-            m = self.model
-            ids = [m.encode_unit(u) for u in fresh]
-            m.check(fresh, ids)
-            for u, x in zip(fresh, ids):
-                out[u] = (",".join(map(str, x)), len(x), b"".join([m.bytes_of[i] for i in x]))
-        for u, x in out.items():
-            if u not in self and len(u) <= LONG_UNIT:
                 self[u] = x
-                self.used += ENTRY_BYTES
-                if self.used > self.limit:
-                    self.old = dict(self)
-                    self.clear()
-                    self.used = 0
-        return out
+                self.used += ENTRY_BYTES + 4 * len(u)
+        ids = self.model.encode_units(fresh)
+        self.model.check(fresh, ids)
+        self.update(zip(fresh, ids))
+        self.used += ENTRY_BYTES * len(fresh) + 6 * sum(map(len, fresh))
 
 
 def load_units(path: str) -> Units:
@@ -164,16 +243,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         def work(texts, _):
             n_tokens, shas, decoded, lists = [], [], [], []
             split = [m.units(t.decode("utf-8", "replace")) for t in texts]
-            known = cache.known({u for units in split for u in units})
+            cache.learn(set(chain.from_iterable(split)))
             for units in split:
-                made = [known[u] for u in units]
-                joined = ",".join([x[0] for x in made])
-                data = b"".join([x[2] for x in made])
-                n_tokens.append(sum([x[1] for x in made]))
-                shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256((data[1:] if data[:1] == b" " else data)).hexdigest())
+                ids = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
+                numbers = ids.tolist()
+                n_tokens.append(len(numbers))
+                shas.append(hashlib.sha256(",".join(map(m.names.__getitem__, numbers)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(m.decode(numbers).encode()).hexdigest())
                 if with_ids:
-                    lists.append(np.array(joined.split(","), dtype=np.int32) if joined else np.zeros(0, np.int32))
+                    lists.append(ids)
             return ({"ids": lists} if with_ids else {}) | {"n_tokens": np.array(n_tokens, np.int64), "ids_sha256": shas, "decoded_sha256": decoded}
 
         return work

@@ -12,7 +12,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.llm.arrow import HashCache, hash64, map_texts
@@ -25,9 +25,12 @@ STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
 #: Buckets of more distinct fingerprints than this are linked through Hamming-ball centres instead of pairs.
 CROWDED = 64
 SLAB = 1 << 15
-#: Min-hashes that a band joins, and the odds that a pair of just the similarity asked for shares no band.
+#: Min-hashes that a band joins, and the odds that a pair of just the similarity asked for is missed: that it shares fewer
+#: than two bands, or that fewer of its min-hashes agree than the full comparison asks for.
 BAND_ROWS = 3
 MISS = 1e-5
+#: Members of a crowded bucket that each of them is compared with before all pairs left apart are.
+NEIGHBOURS = 2
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -179,11 +182,30 @@ def grams(numbers: np.ndarray, width: int) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53))
 
 
-def bands(found: np.ndarray, similarity: float, seed: int = 42) -> np.ndarray:
-    """Keys of which two sets of at least the similarity share one, but for odds of MISS at most; an empty set has none."""
-    n = max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND_ROWS)))) if similarity < 1 else 1
+def n_bands(similarity: float) -> int:
+    """The fewest bands of which a pair of this similarity shares at least two, but for odds of MISS."""
+    p, n = similarity**BAND_ROWS, 2
+    while p < 1 and (1 - p) ** n + n * p * (1 - p) ** (n - 1) > MISS:
+        n += 1
+    return n
+
+
+def least_agreement(similarity: float, n: int) -> int:
+    """Of n min-hashes, as many agree in a pair of this similarity, but for odds of MISS."""
+    odds, k = 0.0, 0
+    while similarity < 1:
+        odds += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if odds > MISS:
+            return k
+        k += 1
+    return n
+
+
+def bands(found: np.ndarray, similarity: float, seed: int = 42) -> tuple[np.ndarray, bytes]:
+    """(a key of each band, a byte of each min-hash) of a set; an empty set has neither."""
+    n = n_bands(similarity)
     if not len(found):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), b""
     rng = np.random.default_rng(seed)
     a, b = (rng.integers(0, 1 << 64, (n * BAND_ROWS, 1), dtype=np.uint64) for _ in range(2))
     least = np.full(n * BAND_ROWS, np.iinfo(np.uint64).max)
@@ -193,11 +215,12 @@ def bands(found: np.ndarray, similarity: float, seed: int = 42) -> np.ndarray:
     for part in least.reshape(n, BAND_ROWS).T:
         key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    # The least values are all small numbers, so a byte of each is taken from its mixture.
+    return key.view(np.int64), ((least * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(doc_id, row_key, fp, sid, size, keys) for each row of docs: sid names its set of ``width``-word shingles."""
+    """(doc_id, row_key, fp, sid, size, keys, sig) for each row of docs: sid names its set of ``width``-word shingles."""
 
     def make():
         cache = HashCache(hash64)
@@ -207,15 +230,30 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
             for t in texts:
                 if t not in seen:
                     found = grams(cache.array(t.lower().split(), np.uint64), width)
-                    seen[t] = fingerprint(t), hash64(found.tobytes()), len(found), bands(found, similarity)
-            fps, sids, sizes, keys = zip(*(seen[t] for t in texts))
+                    seen[t] = fingerprint(t), hash64(found.tobytes()), len(found), *bands(found, similarity)
+            fps, sids, sizes, keys, sigs = zip(*(seen[t] for t in texts))
             as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            return {"fp": as_long(fps), "sid": as_long(sids), "size": np.array(sizes, np.int64), "keys": pa.array(keys, pa.list_(pa.int64()))}
+            return {"fp": as_long(fps), "sid": as_long(sids), "size": np.array(sizes, np.int64), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())}
 
         return work
 
     keep = {"doc_id": f"`{id_col}`", "row_key": _row_key(id_col, text_col)}
-    return map_texts(docs, keep, "fp long, sid long, size long, keys array<long>", make, text_col)
+    return map_texts(docs, keep, "fp long, sid long, size long, keys array<long>, sig binary", make, text_col)
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of which enough min-hashes agree; sigs (sid, sig) has a row for each of theirs."""
+    n = n_bands(similarity) * BAND_ROWS
+    least = least_agreement(similarity, n)
+    u, v = (sigs.select(F.col("sid").alias(x), F.col("sig").alias(f"s{x}")) for x in "uv")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, n) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least, pa.bool_()))
+
+    both = pairs.join(u, "u").join(v, "v").select("u", "v", "su", "sv")
+    return materialize(both.mapInArrow(compare, "u long, v long"), "agreeing")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -256,37 +294,62 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
 def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(u, v) links of fp and sid of ``sketches`` rows: texts that share either, or whose shingle sets are similar enough.
 
-    Sharing a band, each set is first compared with the smallest of it. Where that leaves the members of a band in more
-    than one component, all pairs from different components are compared, so no pair that shares a band is passed over.
+    Each set is first compared with the smallest of every band that it shares. Where that leaves the members of a band in
+    more than one component, those that share two such bands are looked at: first each with NEIGHBOURS others of every
+    pair of bands, in an order of its own, which joins most of a large group of near-copies; then all pairs that are still
+    in different components. A line that many texts share puts them into one band, but seldom into a second one too.
+    Pairs of which too few min-hashes agree are left out before the full comparison.
     """
-    units = materialize(rows.groupBy("fp", "sid").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "units")
+    units = materialize(rows.groupBy("fp", "sid").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "units")
     same = units.select(F.col("fp").alias("u"), F.col("sid").alias("v")).unionByName(links(units.select("fp").distinct()))
     same = materialize(same, "same")
-    banded = units.dropDuplicates(["sid"]).select("sid", "size", F.explode("keys").alias("key"))
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-    banded = materialize(banded, "bands")
+    sets = units.dropDuplicates(["sid"])
+    sigs = materialize(sets.where("size > 0").select("sid", "sig"), "sigs")
+    banded = materialize(sets.select("sid", "size", F.explode("keys").alias("key")), "bands")
     first = banded.groupBy("key").agg(F.min(F.struct("sid", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(banded.join(first, "key"), "shared")
     discard(units, banded)
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+    tried = shared.sparkSession.createDataFrame([], "u long, v long")
+
+    def compare(pairs: DataFrame) -> None:
+        """Adds what of these pairs is similar to the links; no pair is compared twice."""
+        nonlocal same, tried
+        fresh = materialize(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        agreed = _agreeing(fresh, sigs, similarity)
+        found = _similar(agreed, rows, docs, id_col, text_col, width, similarity)
+        both, seen = materialize(same.unionByName(found), "same"), materialize(tried.unionByName(fresh), "tried")
+        discard(same, tried, fresh, agreed, found)
+        same, tried = both, seen
+
+    def split(table: DataFrame) -> DataFrame:
+        """Its rows, with their component and the key's largest one, of keys whose members are in more than one."""
+        roots = connected_components(same)
+        named = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
+        rooted = materialize(table.select("sid", "size", "key").join(named, "sid"), "rooted")
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        apart = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        rest = materialize(rooted.join(apart, "key"), "rest")
+        discard(roots, rooted)
+        return rest
+
     stars = shared.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
-    stars = materialize(stars.select(F.col("sid").alias("u"), F.col("c.sid").alias("v")).distinct(), "stars")
-    args = (rows, docs, id_col, text_col, width, similarity)
-    found = _similar(stars, *args)
-    both = materialize(same.unionByName(found), "same")
-    discard(same, found)
-    roots = connected_components(both)
-    named = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
-    rooted = materialize(shared.select("sid", "size", "key").join(named, "sid"), "rooted")
-    discard(shared, roots)
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = materialize(rooted.join(split, "key"), "rest")
-    a, b = (rest.select("key", F.col("sid").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}")) for n in "uv")
-    pairs = a.join(b, "key").where("u > v and ru <> rv").where(near(F.col("su"), F.col("sv"))).select("u", "v").distinct()
-    pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    found = _similar(pairs, *args)
-    every = materialize(both.unionByName(found), "same")
-    discard(stars, both, rooted, rest, pairs, found)
-    return every
+    compare(stars.select(F.greatest("sid", "c.sid").alias("u"), F.least("sid", "c.sid").alias("v")))
+    ones = split(shared)
+    grouped = ones.groupBy("sid", "size").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
+    twos = materialize(grouped.select("sid", "size", F.explode(twos).alias("key")), "twos")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "sid")
+    ahead = F.array(*(F.struct(F.lead("sid", k).over(order).alias("sid"), F.lead("size", k).over(order).alias("size")) for k in range(1, NEIGHBOURS + 1)))
+    around = twos.withColumn("ahead", ahead).select("sid", "size", F.explode("ahead").alias("x")).where(F.col("x.sid").isNotNull() & near(F.col("size"), F.col("x.size")))
+    compare(around.select(F.greatest("sid", "x.sid").alias("u"), F.least("sid", "x.sid").alias("v")))
+    rest = split(twos)
+    # Every pair from two components has a member outside the largest: those few meet all.
+    a, b = (rest.select("key", "main", F.col("sid").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}")) for n in "uv")
+    pairs = a.where("ru <> main").join(b.drop("main"), "key").where("ru <> rv").where(near(F.col("su"), F.col("sv")))
+    compare(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    discard(sigs, shared, ones, twos, rest, tried)
+    return same
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, width: int = 5) -> DataFrame:

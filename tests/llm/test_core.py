@@ -161,6 +161,66 @@ def test_pipeline_drops_all_near_copies_by_shingle_similarity(spark):
     assert got == want
 
 
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    """Every stage on nulls, empties, repeats and clashing names, each against what it should leave; then the whole run."""
+    rng = random.Random(21)
+    shared = "\n".join(sentence(rng, 12) for _ in range(6))
+    item = sentence(rng, 30)
+    bad = ["grrk", "blarg", "snarl", "hiss", "spit"]
+    rows = [(None, None), (1, None), (2, ""), (2, ""), (3, shared), (4, f"own words here\n{shared}\nand an end"), (5, "before " + item + " after")]
+    rows += [(6, sentence(rng, 90)), (7, sentence(rng, 90))]
+    rows += [(8, rows[-1][1]), (7, rows[-1][1])]
+    toxic = {}
+    for d in range(100, 400):
+        words = sentence(rng, 60).split()
+        if d % 5 == 0:
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        toxic[d] = int(d % 5 == 0)
+        rows.append((d, " ".join(words)))
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    docs = docs.withColumn("n_lines", F.lit("mine")).withColumn("_row", F.lit("mine")).withColumn("found", F.lit("mine")).withColumn("own", F.lit("mine"))
+    labels = spark.createDataFrame([(d, 1, t) for d, t in toxic.items()], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    sf = f"file://{tmp_path}"
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{sf}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+
+    calm = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert calm.columns == docs.columns and {tuple(r) for r in calm.select("n_lines", "_row", "found", "own").collect()} == {("mine",) * 4}
+    left = {i for i, _ in told(calm)}
+    assert left >= {None, 1, 2, 3, 4, 5, 6, 7, 8} and len(left & set(toxic)) == pytest.approx(240, abs=12)
+    assert sum(toxic[d] for d in left & set(toxic)) <= 3
+
+    cut = corpus_pipeline.drop_repeated_lines(spark, docs, sf)
+    assert cut.columns == docs.columns
+    want = [(i, "own words here\nand an end" if i == 4 else t) for i, t in rows]
+    got = told(cut)
+    gone = [x for x in sorted(want, key=repr) if x not in got]
+    assert gone == [(8, rows[8][1])] and {(r.n_chars, r.n_lines) for r in cut.where("doc_id = 4").collect()} == {(25, "mine")}
+
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert one.columns == docs.columns
+    assert sorted(i or 0 for i, _ in told(one) if (i or 0) < 100) == [1, 3, 5, 6, 7] or sorted(i or 0 for i, _ in told(one) if (i or 0) < 100) == [1, 3, 4, 5, 6, 7]
+
+    clean = corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert clean.columns == docs.columns and told(clean) == sorted((x for x in rows if x[0] != 5), key=repr)
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    coded = sorted(((r.doc_id, list(r.ids)) for r in corpus_pipeline.encode(spark, docs, sf).collect()), key=repr)
+    assert coded == sorted(((i, sp.encode(t or "")) for i, t in rows), key=repr)
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    ids = [r.doc_id for r in out.collect()]
+    assert len(ids) == len(set(ids)) and 5 not in ids and 8 not in ids and {3, 6, 7} <= set(ids)
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 
