@@ -26,10 +26,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     n_chars is counted again where lines went. Null and empty texts lose nothing and stay; rows that repeat both id and
     text are one document, cut alike; an empty table stays empty; other columns are kept as they are.
     """
-    done = linededup.dedup_lines(docs)
+    plain = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+    done = linededup.dedup_lines(plain)
     changed = F.size("dropped_lines") > 0
     done = done.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))}
+    return done.select(*((new[c] if c in new else F.col("own")[c]).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
