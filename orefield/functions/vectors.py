@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _double(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -31,14 +38,14 @@ def l2_distance(a: Column | str, b: Column | str) -> Column:
 
 def l2_normalize(a: Column | str) -> Column:
     """A zero vector stays zero."""
-    n = norm(a)
-    return F.when(n == 0, _double(a)).otherwise(F.transform(_double(a), lambda x: x / n))
+    scale = lambda x: F.when(x["n"] == 0, x["v"]).otherwise(F.transform(x["v"], lambda y: y / x["n"]))
+    return _bound(_bound(_double(a), lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), scale)
 
 
 def check_dimensions(a: Column | str, dims: int) -> Column:
     """The vector, or an error if it doesn't have this many numbers."""
-    c = F.col(a) if isinstance(a, str) else a
-    return F.when(F.size(c) == dims, c).otherwise(F.raise_error(F.concat(F.lit(f"expected {dims} dimensions, got "), F.size(c).cast("string"))))
+    wrong = lambda v: F.raise_error(F.concat(F.lit(f"expected {dims} dimensions, got "), F.size(v).cast("string")))
+    return _bound(F.col(a) if isinstance(a, str) else a, lambda v: F.when(F.size(v) == dims, v).otherwise(wrong(v)))
 
 
 def hash_vector(text: Column | str, dims: int, prefix: str = "") -> Column:

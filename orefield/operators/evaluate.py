@@ -61,24 +61,29 @@ def answer_ratios(items: DataFrame, supported: float = 0.4) -> DataFrame:
     Words of four or more letters count, and a text holds a word if it contains it as a substring.
     """
     long_words = lambda c: F.filter(T.tokens(c), lambda w: F.length(w) >= 4)
-    joined = F.lower(F.array_join("contexts", " "))
-    q = long_words(F.col("question"))
     sentences = lambda c: F.filter(F.transform(F.split(c, r"[.!?]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 10)
-    share = lambda xs, test: F.size(F.filter(xs, test)) / F.size(xs)
-    precision = F.when(F.size("contexts") == 0, 0.0).when(F.size(q) == 0, 1.0).otherwise(share(F.col("contexts"), lambda c: F.exists(q, lambda w: F.contains(F.lower(c), w))))
-    wanted = sentences(F.coalesce("expected", F.lit("")))
-    recall = F.when((F.size("contexts") == 0) | (F.size(wanted) == 0), 1.0).otherwise(
-        share(wanted, lambda s: (F.size(long_words(s)) == 0) | F.exists(long_words(s), lambda w: F.contains(joined, w)))
+    # Columns of their own, so that the lambdas below name them and don't compute them for every word.
+    rows = items.select(
+        "id",
+        F.transform("contexts", F.lower).alias("low"),
+        F.lower(F.array_join("contexts", " ")).alias("joined"),
+        long_words(F.col("question")).alias("q"),
+        F.transform(sentences(F.coalesce("expected", F.lit(""))), long_words).alias("wanted"),
+        F.transform(sentences(F.col("answer")), long_words).alias("claims"),
+        F.coalesce("question", F.lit("")).alias("question"),
+        F.lower(F.coalesce("answer", F.lit(""))).alias("answer"),
     )
-    claims = sentences(F.col("answer"))
+    joined, none = F.col("joined"), F.size("low") == 0
+    share = lambda xs, test: F.size(F.filter(xs, test)) / F.size(xs)
+    precision = F.when(none, 0.0).when(F.size("q") == 0, 1.0).otherwise(share("low", lambda c: F.exists("q", lambda w: F.contains(c, w))))
+    recall = F.when(none | (F.size("wanted") == 0), 1.0).otherwise(share("wanted", lambda s: (F.size(s) == 0) | F.exists(s, lambda w: F.contains(joined, w))))
 
-    def held(s: Column) -> Column:
-        words = long_words(s)
+    def held(words: Column) -> Column:
         return (F.size(words) == 0) | (F.size(F.filter(words, lambda w: F.contains(joined, w))) / F.greatest(F.size(words), F.lit(1)) >= supported)
 
-    faithful = F.when(F.coalesce("answer", F.lit("")) == "", 1.0).when(F.size("contexts") == 0, 0.0).when(F.size(claims) == 0, 1.0).otherwise(share(claims, held))
-    relevance = F.when((F.coalesce("question", F.lit("")) == "") | (F.coalesce("answer", F.lit("")) == ""), 0.0).when(F.size(q) == 0, 1.0).otherwise(share(q, lambda w: F.contains(F.lower("answer"), w)))
-    out = items.select("id", precision.alias("context_precision"), recall.alias("context_recall"), faithful.alias("faithfulness"), relevance.alias("answer_relevance"))
+    faithful = F.when(F.col("answer") == "", 1.0).when(none, 0.0).when(F.size("claims") == 0, 1.0).otherwise(share("claims", held))
+    relevance = F.when((F.col("question") == "") | (F.col("answer") == ""), 0.0).when(F.size("q") == 0, 1.0).otherwise(share("q", lambda w: F.contains(F.col("answer"), w)))
+    out = rows.select("id", precision.alias("context_precision"), recall.alias("context_recall"), faithful.alias("faithfulness"), relevance.alias("answer_relevance"))
     mean = (F.col("context_precision") + F.col("context_recall") + F.col("faithfulness") + F.col("answer_relevance")) / 4
     return out.withColumn("overall", mean)
 

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
+from orefield.session import ship
 
 #: Query vectors go to every task in blocks of at most this many numbers.
 BLOCK_NUMBERS = 4 << 20
+#: Scores are computed for so many vectors and queries at a time.
+TILE_ROWS, TILE_QUERIES = 4096, 256
 METRICS = ("cosine", "l2", "ip")
 
 
@@ -23,17 +26,19 @@ def rank(df: DataFrame, *order: Column, by: str = "query_id", name: str = "rank"
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors of each query; larger scores are nearer, ties go by id.
 
-    Each task multiplies its vectors with a bounded block of queries and passes on k candidates for each query and
-    batch; one window over these few rows ranks them. Unknown metrics mean cosine, zero vectors score 0 under it, and a
+    Each task multiplies its vectors with a bounded block of queries, tile by tile, and passes on its k best for each
+    query; one window over these few rows ranks them. Vectors that differ in length from the block's queries are an
+    error; null and empty vectors and those with a null number are left out. Unknown metrics mean cosine, zero vectors score 0 under it, and a
     query whose vector is zero has no result under it. Filter ``corpus`` first: that is pre-filtering, with full recall.
     """
     metric = metric if metric in METRICS else "cosine"
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
     shape = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = 1 + (shape[0] * (shape[1] or 0)) // BLOCK_NUMBERS
     kind = asked.schema["query_id"].dataType.simpleString()
     out = None
+    ship(corpus.sparkSession)
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         found = part.toArrow()
@@ -42,26 +47,42 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
 
         def run(batches: Iterable[pa.RecordBatch], q=q, ids=ids):
             norms = np.sqrt((q * q).sum(axis=1))
+            # The k best so far of each query, by its number: (query, id, score), and the least of its scores once it has k.
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            least = np.full(len(q), -np.inf)
             for batch in batches:
-                if not len(batch) or not len(q):
-                    continue
-                own = np.asarray(batch.column(0))
-                v = np.asarray(batch.column(1).flatten()).reshape(len(batch), -1)
-                score = v @ q.T
-                if metric == "cosine":
-                    length = np.sqrt((v * v).sum(axis=1))[:, None] * norms[None, :]
-                    score = np.divide(score, length, out=np.zeros_like(score), where=length != 0)
-                elif metric == "l2":
-                    score = -np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in q], axis=1)
-                order = np.lexsort((np.broadcast_to(own[:, None], score.shape), -score), axis=0)[:k]
-                which = np.broadcast_to(np.arange(len(q)), order.shape)
-                keep = (norms[which] > 0) | (metric != "cosine")
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(which[keep])), pa.array(own[order[keep]]), pa.array(score[order, which][keep])], names=["query_id", "id", "score"]
-                )
-
-        best = rows.mapInArrow(run, f"query_id {kind}, id long, score double")
-        out = best if out is None else out.unionByName(best)
+                lists = batch.column(1)
+                if len(q) and len(batch) and (np.diff(np.asarray(lists.offsets)) != q.shape[1]).any():
+                    raise ValueError(f"every vector needs the {q.shape[1]} numbers of the queries")
+                for r in range(0, len(batch), TILE_ROWS):
+                    own = np.asarray(batch.column(0).slice(r, TILE_ROWS))
+                    v = np.asarray(lists.slice(r, TILE_ROWS).flatten()).reshape(len(own), -1)
+                    for c in range(0, len(q), TILE_QUERIES):
+                        part = q[c : c + TILE_QUERIES]
+                        if metric == "l2":
+                            score = -np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in part])
+                        else:
+                            score = part @ v.T
+                        if metric == "cosine":
+                            length = norms[c : c + TILE_QUERIES, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+                            score = np.divide(score, length, out=np.zeros_like(score), where=length != 0)
+                        a, b = np.nonzero(score >= least[c : c + TILE_QUERIES, None])
+                        if len(a):
+                            new = (a + c, own[b], score[a, b])
+                            which, where, value = (np.concatenate(x) for x in zip(best, new))
+                            order = np.lexsort((where, -value, which))
+                            which, where, value = which[order], where[order], value[order]
+                            first = np.searchsorted(which, which, side="left")
+                            top = np.arange(len(which)) - first < k
+                            best = which[top], where[top], value[top]
+                            full = np.arange(len(which)) - first == k - 1
+                            least[which[full]] = value[full]
+            keep = (norms[best[0]] > 0) | (metric != "cosine")
+            which, where, value = (x[keep] for x in best)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(where), pa.array(value)], names=["query_id", "id", "score"])
+
+        found = rows.mapInArrow(run, f"query_id {kind}, id long, score double")
+        out = found if out is None else out.unionByName(found)
     return rank(out, F.desc("score"), F.col("id")).where(F.col("rank") <= k)
 
 

@@ -19,15 +19,15 @@ _NORMS = "(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
 SCORES = {"cosine": f"{_DOT} / {_NORMS}", "ip": _DOT, "l2": "-list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"}
 
 
-def _vector_sql(metric: str, k: int, where: str = "true", asked: str = "q.vec_id < 10") -> str:
+def _vector_sql(metric: str, k: int, where: str = "true", asked: str = "q.vec_id % 20 = 0") -> str:
     return f"""
       SELECT q.vec_id AS query_id, e.vec_id AS id, round({SCORES[metric]}, 6) AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORES[metric]} DESC, e.vec_id) AS rank
       FROM embeddings q, embeddings e WHERE {asked} AND {where} QUALIFY rank <= {k}"""
 
 
-def _asked(vectors: DataFrame, n: int = 10) -> DataFrame:
-    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("tag"))
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("tag"))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -63,7 +63,7 @@ def filtered_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
       1.0::DOUBLE AS pre_recall,
       (SELECT count(*) FROM post JOIN exact USING (query_id, id) WHERE post.query_id = q.vec_id)::DOUBLE
         / (SELECT count(*) FROM exact WHERE query_id = q.vec_id) AS post_recall
-    FROM embeddings q WHERE q.vec_id < 10"""
+    FROM embeddings q WHERE q.vec_id % 20 = 0"""
 )
 def ann_filter_recall(spark: SparkSession, sf: str) -> DataFrame:
     (e,) = views(spark, sf, "embeddings")
@@ -157,7 +157,7 @@ def _split(exprs: str) -> list[str]:
 
 
 RERANKED = f"""{FUSED},
-  pool AS (SELECT r.query_id, r.id, r.rrf AS retrieval_score, r.rank AS pre_rank, b.text AS query, left(d.text, 600) AS text
+  pool AS (SELECT r.query_id, r.id, r.rrf AS retrieval_score, r.rank AS pre_rank, b.text AS query, d.text
     FROM rrf r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 50),
   toks AS (SELECT *, {WORDS.format("query")} AS qw, {WORDS.format("text")} AS tw FROM pool),
   x AS (SELECT *, len(list_intersect(qw, tw)) AS n, len(list_distinct(qw || tw)) AS u FROM toks),
@@ -172,7 +172,7 @@ def _reranked(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = views(spark, sf, "documents", "benchmark")
     fused = fusion.rrf_fuse(_lists(spark, sf), top=50)
     pool = fused.join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    pool = pool.join(docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 600).alias("text"), "source"), "id")
+    pool = pool.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
     return rerank.rerank(pool.withColumnRenamed("rrf", "retrieval_score"))
 
 
@@ -195,7 +195,7 @@ def context_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 PACK_SQL = """
 WITH RECURSIVE c AS (
-  SELECT doc_id % 40 AS query_id, doc_id AS id, n_chars, left(text, 900) AS text, source AS title, lang AS section, CAST(n_chars % 9 AS INTEGER) AS page,
+  SELECT doc_id % 40 AS query_id, doc_id AS id, n_chars, text, source AS title, lang AS section, CAST(n_chars % 9 AS INTEGER) AS page,
     row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id) AS pos FROM documents
 ), fold AS (
   SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS id, 0 AS n, 0 AS total, false AS used, 0 AS tokens FROM (SELECT DISTINCT query_id FROM c)
@@ -217,7 +217,7 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("doc_id") % 40).alias("query_id"),
         F.col("doc_id").alias("id"),
         F.col("n_chars").alias("score"),
-        F.substring("text", 1, 900).alias("text"),
+        "text",
         F.col("source").alias("title"),
         F.col("lang").alias("section"),
         (F.col("n_chars") % 9).cast("int").alias("page"),
@@ -326,14 +326,14 @@ def ragas_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT doc_id, k, sha256(CASE WHEN t = '' THEN '__EMPTY__' ELSE t END || ':salt_' || k) AS h FROM (SELECT doc_id, left(text, 200) AS t, unnest([0, 1]) AS k FROM documents)),
+    """WITH h AS (SELECT doc_id, k, sha256(CASE WHEN t = '' THEN '__EMPTY__' ELSE t END || ':salt_' || k) AS h FROM (SELECT doc_id, coalesce(text, '') AS t, unnest([0, 1]) AS k FROM documents)),
     n AS (SELECT doc_id, k * 8 + j AS i, CAST('0x' || h[j * 8 + 1:j * 8 + 8] AS BIGINT)::DOUBLE AS u FROM (SELECT *, unnest(range(8)) AS j FROM h)),
     v AS (SELECT doc_id, i, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) / 2147483648 AS x FROM n)
     SELECT doc_id, CAST(i AS INTEGER) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM v"""
 )
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     (docs,) = views(spark, sf, "documents")
-    v = V.check_dimensions(V.hash_vector(F.substring("text", 1, 200), 16), 16)
+    v = V.check_dimensions(V.hash_vector(F.coalesce("text", F.lit("")), 16), 16)
     return docs.select("doc_id", F.posexplode(v).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
