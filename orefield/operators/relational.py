@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
@@ -44,10 +44,16 @@ def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def _first(df: DataFrame, keys: dict[str, Column], rank: Column, largest: bool = False) -> DataFrame:
+    """One whole row of df for each key, that of the least rank; partial results merge, so no key is sorted in one task."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    pick = (F.max_by if largest else F.min_by)(row, rank)
+    return df.groupBy(*(c.alias(f"_{n}") for n, c in keys.items())).agg(pick.alias("r")).select("r.*")
+
+
 def latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
-    """The whole latest row of each key; ``tie`` settles equal order values."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(tie))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The whole latest row of each key; ``tie`` settles equal order values, nulls are oldest."""
+    return _first(df, {k: F.col(k) for k in keys}, F.struct(order, tie), largest=True)
 
 
 def with_child_counts(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -170,14 +176,13 @@ def bare_title(title: Column) -> Column:
 
 def first_by_title(records: DataFrame, order: str = "provider_order") -> DataFrame:
     """One record for each lower-cased and trimmed title, from the first provider."""
-    w = Window.partitionBy(bare_title(F.col("title"))).orderBy(order, "title")
-    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _first(records, {"title": bare_title(F.col("title"))}, F.struct(order, "title"))
 
 
 def first_hit(keys: DataFrame, providers: list[DataFrame], key: str, value: str) -> DataFrame:
-    """keys plus the value of the first provider that has one."""
+    """keys plus the value of the first provider that has one; of several rows of a provider its least value counts."""
     out, found = keys, []
     for i, p in enumerate(providers):
-        out = out.join(p.select(key, F.col(value).alias(f"_v{i}")), key, "left")
+        out = out.join(p.groupBy(key).agg(F.min(value).alias(f"_v{i}")), key, "left")
         found.append(F.col(f"_v{i}"))
     return out.withColumn(value, F.coalesce(*found)).drop(*(f"_v{i}" for i in range(len(providers))))

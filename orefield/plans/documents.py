@@ -16,7 +16,7 @@ HEAD = """CASE doc_id % 8 WHEN 0 THEN 'Safety Data Sheet. First-aid measures. CA
   WHEN 3 THEN 'Abstract. Results and discussion. Conclusion. References. doi: 10.1234/x ' WHEN 4 THEN 'Chapter 1 Chapter 2 Chapter 3 Chapter 4 Exercises. ISBN ' WHEN 5 THEN 'Technical report. Executive summary. ' WHEN 6 THEN 'Abstract. Index. ' ELSE '' END"""
 NAME = "CASE doc_id % 5 WHEN 0 THEN 'my_SDS.pdf' WHEN 1 THEN 'sop-7.pdf' WHEN 2 THEN 'report.pdf' ELSE '' END"
 N_PAGES = "CAST(doc_id % 150 AS INT)"
-GENRE_TEXT = f"{HEAD} || left(text, 300)"
+GENRE_TEXT = f"{HEAD} || text"
 
 
 def _genre_sql() -> str:
@@ -52,7 +52,7 @@ def image_captions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUESTION = """CASE (conv_id + turn * 3) % 9 WHEN 0 THEN 'What is the paper about' WHEN 1 THEN 'Calculate the yield in %' WHEN 2 THEN 'SMILES of x' WHEN 3 THEN 'Boiling point here' WHEN 4 THEN 'reaction mechanism'
-  WHEN 5 THEN 'compare both' WHEN 6 THEN 'tabun facts' WHEN 7 THEN 'Who wrote this study' ELSE left(text, 80) END"""
+  WHEN 5 THEN 'compare both' WHEN 6 THEN 'tabun facts' WHEN 7 THEN 'Who wrote this study' ELSE text END"""
 
 
 def _has(c: str, words: tuple[str, ...]) -> str:
@@ -138,7 +138,7 @@ def equation_detect(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """SELECT l_orderkey, l_linenumber, 'Table 1' AS x, '[Table 1: Line ' || l_linenumber || ']' || chr(10) || 'Row 1: Qty (kg): ' || CAST(l_quantity AS INT) || ' | Flag: ' || l_returnflag || ' | Col 3: ' || l_linestatus || chr(10) || 'Notes: * per order' AS text,
       '<table><caption>c</caption><thead><tr><th>Qty (kg)</th><th>Flag</th></tr></thead><tbody><tr><td>' || CAST(l_quantity AS INT) || '</td><td>' || l_returnflag || '</td><td>' || l_linestatus || '</td></tr></tbody></table>' AS html, 'kg' AS unit
-    FROM lineitem WHERE l_orderkey < 2000"""
+    FROM lineitem"""
 )
 def table_row_context(spark: SparkSession, sf: str) -> DataFrame:
     (li,) = views(spark, sf, "lineitem")
@@ -146,7 +146,7 @@ def table_row_context(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array(F.array(F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus"))
     text = extract.table_text(F.lit(1), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")), headers, rows, F.array(F.lit("* per order")))
     html = extract.table_html(F.lit("c"), headers, rows)
-    return li.where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.lit("Table 1").alias("x"), text.alias("text"), html.alias("html"), extract.header_unit(F.lit("Qty (kg)")).alias("unit"))
+    return li.select("l_orderkey", "l_linenumber", F.lit("Table 1").alias("x"), text.alias("text"), html.alias("html"), extract.header_unit(F.lit("Qty (kg)")).alias("unit"))
 
 
 TABLE = "'Intro ' || p_name || chr(10) || 'Table ' || CAST(p_size AS STRING) || ': yields' || chr(10) || '| Run | Yield (%) |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || CAST(p_size AS STRING) || ' |' || chr(10) || '* measured once' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '2  77' END || chr(10) || 'tail | x'"
@@ -180,7 +180,7 @@ def yield_contradiction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PACK_SQL = """WITH RECURSIVE b AS (SELECT doc_id, n, t, greatest(len(regexp_extract_all(t, '\\S+')), CAST(floor(length(t) / 4) AS INT)) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos
-  FROM (SELECT doc_id, unnest(range(len(ls))) AS n, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id < 400)) WHERE t <> ''),
+  FROM (SELECT doc_id, unnest(range(len(ls))) AS n, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE t <> ''),
 f AS (SELECT doc_id, pos, n, t, k, 0 AS c, k AS total FROM b WHERE pos = 1
   UNION ALL SELECT b.doc_id, b.pos, b.n, b.t, b.k, CASE WHEN f.total > 0 AND f.total + b.k > 300 THEN f.c + 1 ELSE f.c END, CASE WHEN f.total > 0 AND f.total + b.k > 300 THEN b.k ELSE f.total + b.k END
   FROM f JOIN b ON b.doc_id = f.doc_id AND b.pos = f.pos + 1)
@@ -190,17 +190,20 @@ SELECT doc_id, c AS chunk_index, sha256(string_agg(t, chr(10) || chr(10) ORDER B
 @query(PACK_SQL)
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     (docs,) = views(spark, sf, "documents")
-    blocks = docs.where("doc_id < 400").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    blocks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return chunking.pack_blocks(blocks, 300, "doc_id").withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256")
 
 
 @query(
-    f"""SELECT p_partkey, '[Document: ' || p_brand || '] [Page: ' || p_size || '] [Chemicals: palladium on carbon, toluene, H2SO' || p_size || ']' || chr(10) || chr(10) || {SENTENCE} AS retrieval_text
-    FROM part WHERE p_partkey % 4 = 1"""
+    f"""SELECT p_partkey, '[Document: ' || p_brand || '] [Page: ' || p_size || '] [Chemicals: ' || CASE p_partkey % 4
+      WHEN 0 THEN regexp_extract({SENTENCE}, '\\d+-\\d+-\\d') || ', tetrahydrofuran, THF' WHEN 1 THEN 'palladium on carbon, toluene, H2SO' || p_size
+      WHEN 2 THEN 'ABCDEFGHIJKLMN-ABCDEFGHIJ-K, -' || p_size || 'bar, 3.5hours, ABCDEFGHIJKLMN, ABCDEFGHIJ'
+      ELSE 'InChI=1S/C2H' || p_size || '/c1-2, 5min, InChI, C2H' || p_size END || ']' || chr(10) || chr(10) || {SENTENCE} AS retrieval_text
+    FROM part"""
 )
 def chunk_enrich(spark: SparkSession, sf: str) -> DataFrame:
     (part,) = views(spark, sf, "part")
-    rows = part.where("p_partkey % 4 = 1").select("p_partkey", chunking.enrich(F.expr(SENTENCE), F.col("p_brand"), F.col("p_size")).alias("e"))
+    rows = part.select("p_partkey", chunking.enrich(F.expr(SENTENCE), F.col("p_brand"), F.col("p_size")).alias("e"))
     return rows.select("p_partkey", "e.retrieval_text")
 
 
@@ -263,7 +266,7 @@ def nearest_caption(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT {BOX} FROM lineitem WHERE l_orderkey < 1500), c AS (SELECT page_id, block_id, (page_id % 4) * 90 AS rot, greatest(0, least(612, x0)) AS x0, greatest(0, least(792, y0)) AS y0, x1, y1 FROM b),
+    f"""WITH b AS (SELECT {BOX} FROM lineitem), c AS (SELECT page_id, block_id, (page_id % 4) * 90 AS rot, greatest(0, least(612, x0)) AS x0, greatest(0, least(792, y0)) AS y0, x1, y1 FROM b),
     d AS (SELECT page_id, block_id, rot, x0, y0, greatest(x0, least(612, x1)) AS x1, greatest(y0, least(792, y1)) AS y1 FROM c),
     r AS (SELECT page_id, block_id, CASE rot WHEN 90 THEN 792 - y1 WHEN 180 THEN 612 - x1 WHEN 270 THEN y0 ELSE x0 END AS a0, CASE rot WHEN 90 THEN x0 WHEN 180 THEN 792 - y1 WHEN 270 THEN 612 - x1 ELSE y0 END AS b0,
       CASE rot WHEN 90 THEN 792 - y0 WHEN 180 THEN 612 - x0 WHEN 270 THEN y1 ELSE x1 END AS a1, CASE rot WHEN 90 THEN x1 WHEN 180 THEN 792 - y0 WHEN 270 THEN 612 - x0 ELSE y1 END AS b1,
@@ -272,7 +275,7 @@ def nearest_caption(spark: SparkSession, sf: str) -> DataFrame:
       round(a0 / pw * 1200, 2) AS x0, round(b0 / ph * 1650, 2) AS y0, round(a1 / pw * 1200, 2) AS x1, round(b1 / ph * 1650, 2) AS y1 FROM r"""
 )
 def viewport_map(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = _boxes(spark, sf).where("page_id < 1500")
+    boxes = _boxes(spark, sf)
     v = citations.viewport({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}, (F.col("page_id") % 4 * 90).cast("int"), 1.5)
     return boxes.select("page_id", "block_id", v.alias("v")).select("page_id", "block_id", "v.*")
 
@@ -286,7 +289,7 @@ def citation_ids(spark: SparkSession, sf: str) -> DataFrame:
     return citations.assign(rows).select("query_id", "l_linenumber", "citation_id")
 
 
-ANSWER = "replace(left(text, 400), chr(10), ' ') || CASE turn % 4 WHEN 0 THEN ' [CIT-001] The yield was 5 % here' WHEN 1 THEN ' [CIT-999, cit-002].' WHEN 2 THEN ' See doi 10.1234/ab.c of it.' ELSE '' END"
+ANSWER = "replace(text, chr(10), ' ') || CASE turn % 4 WHEN 0 THEN ' [CIT-001] The yield was 5 % here' WHEN 1 THEN ' [CIT-999, cit-002].' WHEN 2 THEN ' See doi 10.1234/ab.c of it.' ELSE '' END"
 CITED = "SELECT conv_id * 1000 + turn AS id, 'CIT-00' || k AS citation_id, CASE WHEN k = 1 THEN text ELSE reverse(text) END AS text FROM conversations, (SELECT unnest([1, 2]) AS k)"
 CLAIM_SQL = f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, {ANSWER} AS text FROM conversations), cit AS ({CITED}),
   s AS (SELECT id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ss FROM a),

@@ -193,13 +193,14 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", props["k"].alias("k"), R.map_lines(m).alias("line"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')) AS abstract, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1900 + doc_id % 100 END AS year FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1900 + doc_id % 100 END AS year FROM documents")
 def inverted_abstract(spark: SparkSession, sf: str) -> DataFrame:
     (d,) = views(spark, sf, "documents")
-    words = F.split(F.trim(F.regexp_replace(F.substring("text", 1, 120), r"\s+", " ")), " ")
-    places = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
+    words = F.split(F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")), " ")
+    placed = d.select("doc_id", F.posexplode(words).alias("p", "key")).groupBy("doc_id", "key").agg(F.collect_list("p").alias("value"))
+    index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("index"))
     date = F.when(F.col("doc_id") % 3 == 0, F.lit("n.d.")).otherwise(F.concat((F.col("doc_id") % 100 + 1900).cast("string"), F.lit("-01-02")))
-    return d.select("doc_id", R.inverted_abstract(F.map_from_entries(places)).alias("abstract"), F.coalesce(R.year_of(date), F.lit(0)).cast("long").alias("year"))
+    return index.select("doc_id", R.inverted_abstract(F.col("index")).alias("abstract"), F.coalesce(R.year_of(date), F.lit(0)).cast("long").alias("year"))
 
 
 @query("SELECT p_partkey % 40 AS provider_order, p_partkey, p_name AS title FROM part QUALIFY row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) = 1")
