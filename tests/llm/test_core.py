@@ -377,6 +377,21 @@ def test_toxicity_held_out(spark):
     assert all(r.score < 0.3 for r in toxicity.score(docs, empty).collect())
 
 
+def test_toxicity_model_does_not_depend_on_row_order(spark):
+    rng = random.Random(13)
+    texts, labels = [], []
+    for d in range(200):
+        text = sentence(rng, 60) + (" grrk blarg snarl" * 2 if d % 5 == 0 else "")
+        texts += [text, text.replace(" ", "  ", 3).upper() if d % 3 else text]  # near-copies under one label
+        labels += [(2 * d, int(d % 5 == 0)), (2 * d + 1, int(d % 5 == 0))]
+    docs, marks = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    for rows in (docs.coalesce(1), docs.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))):
+        model = toxicity.fit(rows, marks)
+        seen.append(sorted((r.doc_id, r.score) for r in toxicity.score(docs, model).collect()))
+    assert seen[0] == seen[1]
+
+
 # -- pieces ----------------------------------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
