@@ -228,3 +228,20 @@ def test_stages_resume_from_written_tables(spark, tmp_path):
         jobs.run_stages(spark, start, [stage("a"), stage("b", True)], str(tmp_path))
     out = jobs.run_stages(spark, start, [stage("a"), stage("b")], str(tmp_path))
     assert ran == ["a", "b", "b"] and out.columns == ["id", "a", "b"] and out.count() == 3
+
+
+def test_first_hit_keeps_one_row_for_each_key(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "doi string")
+    one = spark.createDataFrame([("a", None), ("b", "x"), ("b", "y")], "doi string, title string")
+    two = spark.createDataFrame([("a", "z"), ("a", "w"), ("b", "v")], "doi string, title string")
+    got = sorted(tuple(r) for r in relational.first_hit(keys, [one, two], "doi", "title").collect())
+    assert got == [("a", "w"), ("b", "x"), ("c", None)]
+
+
+def test_vectors_of_other_lengths_are_an_error_and_nulls_are_left_out(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    own = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, None]), (3, None), (4, [0.0, 1.0]), (5, [])], "id long, embedding array<double>")
+    got = [(r.id, r.score) for r in retrieval.vector_topk(asked, own, 5).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (4, 0.0)]
+    with pytest.raises(Exception, match="2 numbers"):
+        retrieval.vector_topk(asked, own.unionByName(spark.createDataFrame([(9, [1.0])], own.schema)), 5).collect()
