@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.arrow import HashCache, hash64, map_texts, plain_words
+from orefield.llm.arrow import WORD_TABLE, map_texts
 
 #: Items go to every task in blocks whose index takes at most about this much memory; INDEX_RATIO is index by text.
 INDEX_BYTES = 32 << 20
@@ -47,6 +47,46 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+#: A word's number is the sum of its bytes' numbers times powers of an odd base by place (round after 2^16 places), mixed.
+WORD_BYTES = 1 << 20  # bytes numbered at once
+BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE[32] = 0
+POWER = np.cumprod(np.append(np.uint64(1), np.full((1 << 16) - 1, np.uint64(0x9E3779B97F4A7C15))))
+
+
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the plain words of all texts in order, words of each text): lower-cased runs of ASCII letters, digits and
+    non-ASCII characters. Bytes are numbered in parts of about WORD_BYTES, so long texts need little more than themselves."""
+    rows = [(t if t.isascii() else t.decode("utf-8", "replace").lower().encode()).translate(WORD_TABLE) for t in texts]
+    data = np.frombuffer(b" ".join(rows) + b" ", np.uint8)
+    inside = data != 32
+    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + WORD_BYTES)))
+        stop = int(starts[j]) if j < len(starts) else len(data)
+        own = starts[i:j] - starts[i]
+        place = np.arange(stop - starts[i]) - np.repeat(own, np.diff(own, append=stop - starts[i]))
+        out[i:j] = np.add.reduceat(BYTE[data[starts[i] : stop]] * POWER[place & 0xFFFF], own)
+        i = j
+    ends = np.cumsum([len(r) + 1 for r in rows])
+    return mix(out, 11), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def hash64(word: bytes) -> int:
+    """The number of one plain word."""
+    return int(word_numbers([word])[0][0])
+
+
+def padded(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts' words, each text's followed by MAX_STEPS + 1 padding words; first word of each text; end of each)."""
+    lows = np.cumsum(counts + MAX_STEPS + 1) - counts - MAX_STEPS - 1
+    tokens = np.zeros(len(numbers) + len(counts) * (MAX_STEPS + 1), np.uint64)
+    tokens[np.arange(len(numbers)) + np.repeat(np.arange(len(counts)) * (MAX_STEPS + 1), counts)] = numbers
+    return tokens, lows, lows + counts
+
+
 def steps_of(n_words: int) -> int:
     """Steps of the walk for the length class of an item; a walk of t steps reads about t / 2 words."""
     return max(4, min(MAX_STEPS, 3 << (n_words.bit_length() - 2)))
@@ -94,10 +134,10 @@ class Index:
     @classmethod
     def build(cls, rows: list[tuple[int, bytes]], s: Settings) -> Index:
         items, short = [], []
-        for item_id, text in rows:
-            words = plain_words(text)
-            if words:
-                (items if len(words) >= s.min_words else short).append((item_id, np.array([hash64(w) for w in words], dtype=np.uint64)))
+        numbers, counts = word_numbers([text for _, text in rows])
+        for (item_id, _), words in zip(rows, np.split(numbers, np.cumsum(counts)[:-1])):
+            if len(words):
+                (items if len(words) >= s.min_words else short).append((item_id, words))
         every = items + short
         lengths = np.array([len(t) for _, t in every], dtype=np.int64)
         index = cls(s, [i for i, _ in every], np.concatenate([t for _, t in every]) if every else np.zeros(0, np.uint64), np.cumsum(lengths))
@@ -220,17 +260,25 @@ def best_alignment(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def verify(index: Index, tokens: np.ndarray, low: int, high: int, found: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
-    """item number -> (edits, first word, end) of the best alignment within tokens[low:high], where few enough."""
+    """item number -> (edits, first word, end) of the best alignment within tokens[low:high], where few enough.
+
+    A word of the item that the stretch lacks costs an edit at least, so stretches that lack too many are not aligned.
+    """
     best: dict[int, tuple[int, int, int]] = {}
     tried: set[tuple[int, int]] = set()
+    items: dict[int, tuple[np.ndarray, set[int]]] = {}
     for start, k, at in found:
-        item = index.item(k)
+        if k not in items:
+            items[k] = (index.item(k), set(index.item(k).tolist()))
+        item, different = items[k]
         allowed = int((1 - index.settings.similarity) * len(item) + 1e-9)
         begin = start - at
         if (k, begin) in tried:
             continue
         tried.add((k, begin))
         a, b = max(low, begin - allowed), min(high, begin + len(item) + 2 * allowed)
+        if len(different.difference(tokens[a:b].tolist())) > allowed:
+            continue
         edits, end = best_alignment(item, tokens[a:b])
         if edits <= allowed:
             _, back = best_alignment(item[::-1], tokens[a : a + end][::-1])
@@ -254,19 +302,10 @@ def _found(docs: DataFrame, index: Index, keep: dict[str, str], text_col: str) -
     """The columns ``keep`` and found, the items of one block that each row holds."""
 
     def make():
-        words = HashCache(hash64)
-        pad = np.zeros(MAX_STEPS + 1, np.uint64)
-
         def work(texts, _):
-            docs_tokens = [words.array(plain_words(t), np.uint64) for t in texts]
-            parts, bounds, at = [], [], 0
-            for t in docs_tokens:
-                parts += [t, pad]
-                bounds.append((at, at + len(t)))
-                at += len(t) + len(pad)
-            tokens = np.concatenate(parts)
+            tokens, lows, ends = padded(*word_numbers(texts))
+            bounds = list(zip(lows.tolist(), ends.tolist()))
             found: dict[int, list] = {}
-            lows = np.array([b[0] for b in bounds])
             for hit in index.hits(tokens):
                 found.setdefault(int(np.searchsorted(lows, hit[0], side="right")) - 1, []).append(hit)
             told = [[] for _ in texts]

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orefield.llm import licenses, pii, quality, queries, sql, tokencount, warc
+from orefield.llm import decontaminate, licenses, pii, quality, queries, sql, tokencount, warc
+from orefield.llm.arrow import plain_words
 from orefield.session import load, scratch_path
 
 # -- token counts ----------------------------------------------------------------------------------------------------
@@ -277,3 +278,17 @@ def test_a_groups_own_distribution_decides(spark):
     assert kept(probes + plain + code) == {1: False, 2: True}
     assert kept(probes + group(1000, "plain", 0.4) + code) == {1: True, 2: True}
     assert kept(probes + plain + group(2000, "code", 0.0)) == {1: False, 2: False}
+
+
+def test_word_numbers_are_those_of_plain_words():
+    texts = [b"", b" ", b"a b  a", "É é ab-ba 7".encode(), b"x" * 2_100_000 + b" y", b"\xff\xfe z", b"9" * 70_000, b""]
+    numbers, counts = decontaminate.word_numbers(texts)
+    words = [plain_words(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    known = {}
+    for word, number in zip((w for ws in words for w in ws), numbers.tolist()):
+        assert known.setdefault(word, number) == number
+    assert len(set(known.values())) == len(known)
+    tokens, lows, ends = decontaminate.padded(numbers, counts)
+    assert all((tokens[a:b] == part).all() for a, b, part in zip(lows, ends, np.split(numbers, np.cumsum(counts)[:-1])))
+    assert np.count_nonzero(tokens) == len(numbers)
