@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, toxicity, warc
+from orefield.llm import decontaminate, infill, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, toxicity, warc
 from orefield.session import load
 
 
@@ -80,6 +80,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -92,8 +106,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_piece_encoding": op9_piece_encoding,
         "op10_line_dedup": op10_line_dedup,
+        "op11_infill": op11_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": sql.OP3_SQL, "op7_license_scan": licenses.sql(), "op8_quality_rules": sql.OP8_SQL, "op10_line_dedup": sql.OP10_SQL}
+    return {
+        "op3_warc_index": sql.OP3_SQL,
+        "op7_license_scan": licenses.sql(),
+        "op8_quality_rules": sql.OP8_SQL,
+        "op10_line_dedup": sql.OP10_SQL,
+        "op11_infill": sql.OP11_SQL,
+    }
