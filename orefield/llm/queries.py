@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, infill, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, toxicity, warc
+from orefield.llm import decontaminate, infill, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, topk, toxicity, warc
 from orefield.session import load
 
 
@@ -94,6 +94,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_piece_encoding": op9_piece_encoding,
         "op10_line_dedup": op10_line_dedup,
         "op11_infill": op11_infill,
+        "op12_topk_search": op12_topk_search,
     }
 
 
@@ -117,4 +122,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": sql.OP8_SQL,
         "op10_line_dedup": sql.OP10_SQL,
         "op11_infill": sql.OP11_SQL,
+        "op12_topk_search": sql.OP12_SQL,
     }
