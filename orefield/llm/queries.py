@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import decontaminate, infill, licenses, linededup, pii, piece, quality, simhash, sql, tokencount, topk, toxicity, warc
+from orefield.llm import decontaminate, infill, licenses, linededup, merkle, pii, piece, quality, simhash, sql, tokencount, topk, toxicity, warc
 from orefield.session import load
 
 
@@ -98,6 +99,16 @@ def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {c: F.col(c) for c in merkle.COLUMNS}
+    lowered = merkle.leaf(list((values | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}).values()))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered)
+    made = merkle.manifest(load(spark, sf_dir, "documents"), keep={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    made = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -112,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_infill": op11_infill,
         "op12_topk_search": op12_topk_search,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -123,4 +135,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_line_dedup": sql.OP10_SQL,
         "op11_infill": sql.OP11_SQL,
         "op12_topk_search": sql.OP12_SQL,
+        "op13_merkle_manifest": sql.op13_sql(),
     }

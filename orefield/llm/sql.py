@@ -143,3 +143,48 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
+
+
+def _climb_sql(nodes: str, name: str, levels: int) -> str:
+    """Tables of runs and digests level by level over nodes (tree, n, pos, digest), and ``name`` (tree, digest) of the roots."""
+    out = f"{name}_l0 AS (SELECT tree, n, pos, digest FROM {nodes}),"
+    for k in range(levels):
+        out += f"""
+  {name}_r{k} AS (SELECT tree, n, pos // 16 AS pos, list(digest ORDER BY {name}_l{k}.pos) AS run FROM {name}_l{k} WHERE n > {16**k} GROUP BY tree, n, {name}_l{k}.pos // 16),
+  {name}_l{k + 1} AS (SELECT tree, n, pos, sha256(array_to_string(run, '')) AS digest FROM {name}_r{k}),"""
+    ended = (f"SELECT tree, digest FROM {name}_l{k} WHERE n <= {16**k}" + (f" AND n > {16 ** (k - 1)}" if k else "") for k in range(levels + 1))
+    return out + f" {name} AS ({' UNION ALL '.join(ended)})"
+
+
+def _path_sql(nodes: str, name: str, levels: int, start: str) -> str:
+    """``name``_path: nodes with p, their siblings from below, and f, ``start`` folded with them."""
+    out = f"{name}_p0 AS (SELECT *, '' AS p, {start} AS f FROM {nodes})"
+    for k in range(levels):
+        i = f"(x.pos // {16**k}) % 16"
+        before, after = f"array_to_string(run[1:{i}], '')", f"array_to_string(run[{i} + 2:], '')"
+        out += f""",
+  {name}_p{k + 1} AS (SELECT x.* EXCLUDE (p, f), CASE WHEN run IS NULL THEN p ELSE p || {before} || {after} END AS p,
+    CASE WHEN run IS NULL THEN f ELSE sha256({before} || f || {after}) END AS f
+    FROM {name}_p{k} x LEFT JOIN {name}_r{k} r ON r.tree = x.tree AND r.pos = x.pos // {16 ** (k + 1)})"""
+    return out
+
+
+def op13_sql(levels: int = 6, source_levels: int = 4) -> str:
+    """Trees of up to 16 ** levels rows a source and 16 ** source_levels sources."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    crc = f"xor(list_reduce([4294967295] || {bits}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {leaf("text")} AS digest, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} END AS tampered FROM documents
+), x AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), {_climb_sql("x", "sub", levels)}, {_path_sql("x", "sub", levels, "coalesce(tampered, digest)")},
+y AS (SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM sub),
+{_climb_sql("y", "top", source_levels)},
+z AS (SELECT y.*, a.doc_id, a.digest AS leaf, a.p AS below, a.f AS under FROM y JOIN sub_p{levels} a ON a.tree = y.of),
+{_path_sql("z", "top", source_levels, "under")}
+SELECT doc_id, leaf, q.digest AS subroot, top.digest AS root, sha256(below || p) AS proof_sha256, f AS folded_root, f = top.digest AS verified FROM top_p{source_levels} q, top
+"""
