@@ -23,7 +23,40 @@ def rank(df: DataFrame, *order: Column, by: str = "query_id", name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "id", vector: str = "embedding") -> DataFrame:
+class Nearest:
+    """The k best (score, id) of each of n queries so far; free places score -inf. Ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.id = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def offer(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """score (queries q, rows): only what reaches a query's k-th score, and its tile's k-th, is merged."""
+        wanted = (score >= self.score[q, -1][:, None]) & (score > -np.inf)
+        if score.shape[1] > self.k and wanted.sum(axis=1).max(initial=0) > self.k:
+            wanted &= score >= -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1, None]
+        which, at = np.nonzero(wanted)
+        if not len(which):
+            return
+        hit, which = np.unique(which, return_inverse=True)
+        own = q[hit]
+        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), which])
+        s = np.concatenate([self.score[own].ravel(), score[hit[which], at]])
+        i = np.concatenate([self.id[own].ravel(), ids[at]])
+        order = np.lexsort((i, -s, of))
+        of = of[order]
+        order = order[np.arange(len(of)) - np.searchsorted(of, of) < self.k]
+        self.score[own], self.id[own] = s[order].reshape(len(own), self.k), i[order].reshape(len(own), self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, id, score) of all that was found."""
+        q, place = np.nonzero(self.score > -np.inf)
+        return q, self.id[q, place], self.score[q, place]
+
+
+def vector_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "id", vector: str = "embedding", corpus_vector: str | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors of each query; larger scores are nearer, ties go by id.
 
     Each task multiplies its vectors with a bounded block of queries, tile by tile, and passes on its k best for each
@@ -32,8 +65,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
     query whose vector is zero has no result under it. Filter ``corpus`` first: that is pre-filtering, with full recall.
     """
     metric = metric if metric in METRICS else "cosine"
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    held = "v is not null and size(v) > 0 and not exists(v, x -> x is null)"
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where(held)
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(corpus_vector or vector).cast("array<double>").alias("v")).where(held)
     shape = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = 1 + (shape[0] * (shape[1] or 0)) // BLOCK_NUMBERS
     kind = asked.schema["query_id"].dataType.simpleString()
@@ -43,13 +77,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         found = part.toArrow()
         ids = found.column("query_id").combine_chunks()
-        q = np.array(found.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        q = np.array(found.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
 
         def run(batches: Iterable[pa.RecordBatch], q=q, ids=ids):
             norms = np.sqrt((q * q).sum(axis=1))
-            # The k best so far of each query, by its number: (query, id, score), and the least of its scores once it has k.
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            least = np.full(len(q), -np.inf)
+            best = Nearest(len(q), k)
             for batch in batches:
                 lists = batch.column(1)
                 if len(q) and len(batch) and (np.diff(np.asarray(lists.offsets)) != q.shape[1]).any():
@@ -66,20 +98,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
                         if metric == "cosine":
                             length = norms[c : c + TILE_QUERIES, None] * np.sqrt((v * v).sum(axis=1))[None, :]
                             score = np.divide(score, length, out=np.zeros_like(score), where=length != 0)
-                        a, b = np.nonzero(score >= least[c : c + TILE_QUERIES, None])
-                        if len(a):
-                            new = (a + c, own[b], score[a, b])
-                            which, where, value = (np.concatenate(x) for x in zip(best, new))
-                            order = np.lexsort((where, -value, which))
-                            which, where, value = which[order], where[order], value[order]
-                            first = np.searchsorted(which, which, side="left")
-                            top = np.arange(len(which)) - first < k
-                            best = which[top], where[top], value[top]
-                            full = np.arange(len(which)) - first == k - 1
-                            least[which[full]] = value[full]
-            keep = (norms[best[0]] > 0) | (metric != "cosine")
-            which, where, value = (x[keep] for x in best)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(where), pa.array(value)], names=["query_id", "id", "score"])
+                        best.offer(np.arange(c, c + len(part)), score, own)
+            which, where, value = best.rows()
+            keep = (norms[which] > 0) | (metric != "cosine")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which[keep])), pa.array(where[keep]), pa.array(value[keep])], names=["query_id", "id", "score"])
 
         found = rows.mapInArrow(run, f"query_id {kind}, id long, score double")
         out = found if out is None else out.unionByName(found)
@@ -186,30 +208,3 @@ def chemical_union(identity: DataFrame, names: DataFrame, similar: DataFrame, le
     return both.groupBy("query_id", "id").agg(
         F.min_by("score", "p").alias("score"), F.min_by("source", "p").alias("source"), F.max(F.when(F.col("p") == 3, F.col("score"))).alias("similarity")
     )
-
-
-def filtered_ann_recall(queries: DataFrame, corpus: DataFrame, tag: str, k: int, ef: int, query_tag: str = "tag") -> DataFrame:
-    """(query_id, selectivity, pre_recall, post_recall) of filtering after a top-ef search and before a top-k search.
-
-    Both are measured against the exact filtered top-k; the pre-filter search is exact, so its recall tells so.
-    """
-    tags = queries.select("query_id", F.col(query_tag).alias("want"))
-    all_ranked = vector_topk(queries, corpus, ef)
-    tagged = corpus.select("id", F.col(tag).alias("tag"))
-    post = rank(all_ranked.drop("rank").join(tagged, "id").join(tags, "query_id").where("tag = want"), F.desc("score"), F.col("id")).where(F.col("rank") <= k)
-    exact = None
-    # One pre-filtered search for each tag that is asked for; the tags are those of the query set.
-    for t in sorted(r[0] for r in tags.select("want").distinct().collect()):
-        own = vector_topk(queries.where(F.col(query_tag) == t), corpus.where(F.col(tag) == t), k)
-        exact = own if exact is None else exact.unionByName(own)
-    share = corpus.groupBy(F.col(tag).alias("want")).agg(F.count("*").alias("n")).crossJoin(corpus.agg(F.count("*").alias("all")))
-    truth = exact.groupBy("query_id").agg(F.count("*").alias("n_exact"))
-    hits = post.join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n_post"))
-    out = tags.join(share, "want", "left").join(truth, "query_id", "left").join(hits, "query_id", "left")
-    n = F.coalesce("n_exact", F.lit(0))
-    return out.select(
-        "query_id",
-        (100.0 * F.coalesce("n", F.lit(0)) / F.col("all")).alias("selectivity"),
-        F.lit(1.0).alias("pre_recall"),
-        F.when(n == 0, 1.0).otherwise(F.coalesce("n_post", F.lit(0)) / n).alias("post_recall"),
-    )

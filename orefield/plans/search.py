@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import text as T
 from orefield.functions import vectors as V
-from orefield.operators import evaluate, fusion, rerank, retrieval
+from orefield.operators import evaluate, fusion, rerank, retrieval, vector_index
 from orefield.plans.registry import query, views
 
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
@@ -53,22 +53,88 @@ def filtered_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(retrieval.vector_topk(_asked(e), own, 5, id_col="vec_id"), "score")
 
 
+def _index_sql(k: int, share: float, rounds: int = vector_index.ROUNDS) -> str:
+    """The index in whole numbers: v (id, tag, e, x), cells of each row in w, cell orders of the queries in o, probes in p."""
+    near = lambda c: f"list_dot_product({c}.c, {c}.c) - 2 * list_dot_product(v.x, {c}.c), {c}.cell"
+    fit = "".join(
+        f"""
+    a{r} AS MATERIALIZED (SELECT v.id, v.x, c.cell FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY {near("c")}) = 1),
+    s{r} AS (SELECT cell, list(m ORDER BY i) AS c FROM (SELECT cell, i, floor(sum(y) / count(*)) AS m FROM (SELECT cell, unnest(range(len(x))) AS i, unnest(x) AS y FROM a{r}) GROUP BY ALL) GROUP BY cell),
+    c{r + 1} AS MATERIALIZED (SELECT c{r}.cell, coalesce(s{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN s{r} USING (cell)),"""
+        for r in range(rounds)
+    )
+    return f"""
+    v AS MATERIALIZED (SELECT vec_id AS id, label AS tag, embedding::DOUBLE[] AS e, sqrt(list_dot_product(e, e)) AS norm, list_transform(e, lambda y: CASE WHEN norm = 0 THEN 0 ELSE floor(y / norm * {vector_index.GRID}) END) AS x FROM embeddings),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS cell, x AS c FROM v QUALIFY cell < (SELECT greatest(1, floor(sqrt(count(*)))) FROM v)),{fit}
+    w AS MATERIALIZED (SELECT v.id, v.tag, v.e, v.norm, c.cell FROM v, c{rounds} c QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY {near("c")}) = 1),
+    o AS MATERIALIZED (SELECT v.id AS query_id, v.tag AS want, c.cell, row_number() OVER (PARTITION BY v.id ORDER BY {near("c")}) AS place FROM v, c{rounds} c WHERE v.id % 20 = 0),
+    d AS MATERIALIZED (SELECT q.id AS query_id, q.tag AS want, w.id, w.tag, w.cell, list_dot_product(q.e, w.e) / (q.norm * w.norm) AS score FROM v q, w WHERE q.id % 20 = 0),
+    t AS MATERIALIZED (SELECT o.place, count(*) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k}) e JOIN o USING (query_id, cell)
+      WHERE query_id IN (SELECT id FROM v WHERE id % 20 = 0 ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {vector_index.PROBE_QUERIES}) GROUP BY o.place),
+    p AS MATERIALIZED (SELECT min(place) AS probes FROM (SELECT place, sum(n) OVER (ORDER BY place) AS up, sum(n) OVER () AS total FROM t) WHERE up >= {share} * total - 1e-9)"""
+
+
+def _index(spark: SparkSession, sf: str, k: int, share: float) -> tuple[vector_index.VectorIndex, DataFrame, int]:
+    (e,) = views(spark, sf, "embeddings")
+    index = vector_index.build(e, "vec_id", tag_col="label")
+    return index, _asked(e), vector_index.settle_probes(index, _asked(e), k, share)
+
+
+@query(
+    f"""WITH {_index_sql(10, 0.95)}
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d.score DESC, id) AS rank
+    FROM d JOIN o USING (query_id, cell), p WHERE o.place <= probes QUALIFY rank <= 10"""
+)
+def ann_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    index, asked, probes = _index(spark, sf, 10, 0.95)
+    return _rounded(vector_index.search(index, asked, 10, probes), "score")
+
+
 @query(
-    f"""
-    WITH r AS ({_vector_sql("cosine", 30)}), exact AS ({_vector_sql("cosine", 5, "q.label = e.label")}),
-    post AS (SELECT r.query_id, r.id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS n
-      FROM r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings e ON e.vec_id = r.id WHERE q.label = e.label QUALIFY n <= 5)
-    SELECT q.vec_id AS query_id,
-      round(100.0 * (SELECT count(*) FROM embeddings e WHERE e.label = q.label) / (SELECT count(*) FROM embeddings), 6) AS selectivity,
-      1.0::DOUBLE AS pre_recall,
-      (SELECT count(*) FROM post JOIN exact USING (query_id, id) WHERE post.query_id = q.vec_id)::DOUBLE
-        / (SELECT count(*) FROM exact WHERE query_id = q.vec_id) AS post_recall
-    FROM embeddings q WHERE q.vec_id % 20 = 0"""
+    f"""WITH {_index_sql(10, 0.95)},
+    exact AS (SELECT query_id, id, cell FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)
+    SELECT count(DISTINCT query_id) AS n_queries, round(avg(CASE WHEN o.place <= probes THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall,
+      round((SELECT sum(n) FROM (SELECT o.query_id, count(*) AS n FROM o JOIN w USING (cell), p WHERE o.place <= probes GROUP BY o.query_id)) / (SELECT count(*) FROM d), 6) AS rows_read
+    FROM exact JOIN o USING (query_id, cell), p"""
+)
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    index, asked, probes = _index(spark, sf, 10, 0.95)
+    return _rounded(vector_index.recall(index, asked, 10, probes), "recall", "rows_read")
+
+
+_FILTER_SQL = f"""WITH {_index_sql(5, 0.95)},
+    k AS (SELECT o.*, coalesce(n.own, 0) AS own, coalesce(a.n, 0) AS alln, coalesce(sum(n.own) OVER (PARTITION BY o.query_id ORDER BY place), 0) - coalesce(n.own, 0) AS before
+      FROM o LEFT JOIN (SELECT cell, tag, count(*) AS own FROM w GROUP BY ALL) n ON n.cell = o.cell AND n.tag = o.want LEFT JOIN (SELECT cell, count(*) AS n FROM w GROUP BY ALL) a ON a.cell = o.cell),
+    m AS (SELECT query_id, CASE WHEN coalesce(sum(own) FILTER (place <= probes), 0) * 30 >= 10 * sum(alln) FILTER (place <= probes) THEN 'post' ELSE 'pre' END AS mode FROM k, p GROUP BY query_id),
+    post AS (SELECT query_id, id, score FROM (SELECT d.* FROM d JOIN o USING (query_id, cell), p WHERE o.place <= probes QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30)
+      WHERE tag = want QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+    pre AS (SELECT d.query_id, id, score FROM d JOIN k USING (query_id, cell), p WHERE d.tag = d.want AND own > 0 AND (place <= probes OR before < 30)
+      QUALIFY row_number() OVER (PARTITION BY d.query_id ORDER BY score DESC, id) <= 5)"""
+
+
+@query(
+    f"""{_FILTER_SQL},
+    exact AS (SELECT query_id, id FROM d WHERE tag = want QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+    r AS (SELECT q.id AS query_id, round(100.0 * (SELECT count(*) FROM v WHERE tag = q.tag) / (SELECT count(*) FROM v), 6) AS selectivity,
+      (SELECT count(*) FROM pre JOIN exact USING (query_id, id) WHERE pre.query_id = q.id)::DOUBLE / (SELECT count(*) FROM exact WHERE query_id = q.id) AS pre_recall,
+      (SELECT count(*) FROM post JOIN exact USING (query_id, id) WHERE post.query_id = q.id)::DOUBLE / (SELECT count(*) FROM exact WHERE query_id = q.id) AS post_recall
+      FROM v q WHERE q.id % 20 = 0)
+    SELECT query_id, selectivity, mode, pre_recall, post_recall, round(pre_recall - post_recall, 6) AS recall_delta FROM r JOIN m USING (query_id)"""
 )
 def ann_filter_recall(spark: SparkSession, sf: str) -> DataFrame:
-    (e,) = views(spark, sf, "embeddings")
-    corpus = e.select(F.col("vec_id").alias("id"), "embedding", "label")
-    return _rounded(retrieval.filtered_ann_recall(_asked(e), corpus, "label", 5, 30), "selectivity")
+    index, asked, probes = _index(spark, sf, 5, 0.95)
+    return _rounded(vector_index.filter_recall(index, asked, 5, 30, probes), "selectivity", "recall_delta")
+
+
+@query(
+    f"""{_FILTER_SQL}
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY x.score DESC, id) AS rank
+    FROM (SELECT pre.* FROM pre JOIN m USING (query_id) WHERE mode = 'pre' UNION ALL SELECT post.* FROM post JOIN m USING (query_id) WHERE mode = 'post') x"""
+)
+def ann_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    index, asked, probes = _index(spark, sf, 5, 0.95)
+    plan = vector_index.plan_filter(index, asked, 5, 30, probes)
+    return _rounded(vector_index.filtered_search(index, plan, 5, 30), "score")
 
 
 OVERLAP = f"""
