@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
+from orefield.operators import overlap
+from orefield.operators.nearest import Nearest
 from orefield.session import ship
 
 #: Query vectors go to every task in blocks of at most this many numbers.
@@ -23,37 +25,6 @@ def rank(df: DataFrame, *order: Column, by: str = "query_id", name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-class Nearest:
-    """The k best (score, id) of each of n queries so far; free places score -inf. Ties go to the smaller id."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.score, self.id = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
-
-    def offer(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """score (queries q, rows): only what reaches a query's k-th score, and its tile's k-th, is merged."""
-        wanted = (score >= self.score[q, -1][:, None]) & (score > -np.inf)
-        if score.shape[1] > self.k and wanted.sum(axis=1).max(initial=0) > self.k:
-            wanted &= score >= -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1, None]
-        which, at = np.nonzero(wanted)
-        if not len(which):
-            return
-        hit, which = np.unique(which, return_inverse=True)
-        own = q[hit]
-        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), which])
-        s = np.concatenate([self.score[own].ravel(), score[hit[which], at]])
-        i = np.concatenate([self.id[own].ravel(), ids[at]])
-        order = np.lexsort((i, -s, of))
-        of = of[order]
-        order = order[np.arange(len(of)) - np.searchsorted(of, of) < self.k]
-        self.score[own], self.id[own] = s[order].reshape(len(own), self.k), i[order].reshape(len(own), self.k)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, id, score) of all that was found."""
-        q, place = np.nonzero(self.score > -np.inf)
-        return q, self.id[q, place], self.score[q, place]
-
-
 def vector_topk(
     queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "id", vector: str = "embedding", corpus_vector: str | None = None
 ) -> DataFrame:
@@ -108,27 +79,36 @@ def vector_topk(
     return rank(out, F.desc("score"), F.col("id")).where(F.col("rank") <= k)
 
 
-def token_overlap_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", id_col: str = "id", text_col: str = "text", boost: float = 2.0) -> DataFrame:
+def token_overlap_topk(
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    query_text: str = "text",
+    id_col: str = "id",
+    text_col: str = "text",
+    boost: float = 2.0,
+    counters: overlap.Counters | None = None,
+) -> DataFrame:
     """(query_id, id, score, rank) by |q and d| / |q| over distinct words, and ``boost`` if a query identifier is in the text.
 
-    Words meet through an equi-join of the two inverted lists, counted with map-side sums, so pairs without a common
-    word are never made. Identifiers are registry numbers and equipment codes, compared without case; a text holds one
-    from a word's start on.
+    The best overlaps come from ``overlap.topk``. Identifiers are registry numbers and equipment codes, compared without
+    case; a text holds one from a word's start on. Texts that hold one are scored besides.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("q"))
     q = q.select("query_id", T.tokens("q").alias("words"), identifiers(F.col("q")).alias("idents"))
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    asked = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    posted = d.select("id", F.explode(T.tokens("t")).alias("w"))
-    shared = asked.join(posted, "w").groupBy("query_id", "id", "n").agg(F.count("*").alias("hits"))
-    score = shared.select("query_id", "id", (F.col("hits") / F.greatest("n", F.lit(1))).alias("score"))
-    named = q.select("query_id", F.explode("idents").alias("ident"))
-    # Identifiers are words or words joined by dashes; each is looked up through its first word.
-    first = named.withColumn("w", F.regexp_extract(F.lower("ident"), T.WORD, 1))
-    held = first.join(posted, "w").join(d, "id").where(F.lower("t").contains(F.lower("ident"))).select("query_id", "id").distinct()
-    boosted = score.join(held.withColumn("more", F.lit(boost)), ["query_id", "id"], "full")
-    total = boosted.select("query_id", "id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
-    return rank(total.where("score > 0"), F.desc("score"), F.col("id")).where(F.col("rank") <= k)
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    best = overlap.topk(q, d, k, counters)
+    named = q.select("query_id", "words", F.explode("idents").alias("ident"))
+    if not named.isEmpty():
+        # Identifiers are words or words joined by dashes; each is looked up through its first word.
+        posted = d.select("id", F.explode(T.tokens("t")).alias("w"))
+        first = named.withColumn("w", F.regexp_extract(F.lower("ident"), T.WORD, 1))
+        held = first.join(posted, "w").join(d, "id").where(F.lower("t").contains(F.lower("ident")))
+        shared = F.size(F.array_intersect("words", T.tokens("t"))) / F.greatest(F.size("words"), F.lit(1))
+        held = held.select("query_id", "id", (shared + boost).alias("score")).dropDuplicates(["query_id", "id"])
+        best = best.join(held, ["query_id", "id"], "left_anti").unionByName(held)
+    return rank(best, F.desc("score"), F.col("id")).where(F.col("rank") <= k)
 
 
 CAS = r"\b(\d{2,7}-\d{2}-\d)\b"

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefield.operators.retrieval import BLOCK_NUMBERS, TILE_QUERIES, TILE_ROWS, Nearest, rank, vector_topk
+from orefield.operators.nearest import Nearest
+from orefield.operators.retrieval import BLOCK_NUMBERS, TILE_QUERIES, TILE_ROWS, rank, vector_topk
 from orefield.session import materialize, scratch_path, ship
 
 #: Unit vectors times this are cut to integers for the cells' sums and distances; scores are taken from the vectors.
