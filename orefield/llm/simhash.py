@@ -29,8 +29,8 @@ SLAB = 1 << 15
 #: than two bands, or that fewer of its min-hashes agree than the full comparison asks for.
 BAND_ROWS = 3
 MISS = 1e-5
-#: Members of a crowded bucket that each of them is compared with before all pairs left apart are.
-NEIGHBOURS = 2
+#: Classes of set sizes grow by this factor.
+SIZE_STEP = 1.02
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -256,12 +256,16 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame
     return materialize(both.mapInArrow(compare, "u long, v long"), "agreeing")
 
 
+def _texts_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text): one text for each asked sid."""
+    one = materialize(rows.groupBy("sid").agg(F.min("row_key").alias("_key")).join(asked, "sid").select("_key"), "asked")
+    texts = docs.select(F.expr(_row_key(id_col, text_col)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    return texts.join(one, F.col("_row") == F.col("_key"), "left_semi").dropDuplicates(["_row"])
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of sids whose sets have at least the similarity (Jaccard), compared in full."""
     asked = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    one = materialize(rows.groupBy("sid").agg(F.min("row_key").alias("_key")).join(asked, "sid").select("_key"), "asked")
-    texts = docs.select(F.expr(_row_key(id_col, text_col)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.join(one, F.col("_row") == F.col("_key"), "left_semi").dropDuplicates(["_row"])
 
     def make():
         cache = HashCache(hash64)
@@ -272,8 +276,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
 
         return work
 
-    sets = materialize(map_texts(texts, {}, "sid long, grams binary", make), "grams")
-    discard(one)
+    sets = materialize(map_texts(_texts_of(asked, rows, docs, id_col, text_col), {}, "sid long, grams binary", make), "grams")
     u, v = (sets.select(F.col("sid").alias(n), F.col("grams").alias(f"g{n}")) for n in "uv")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +294,62 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
     return found
 
 
+def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(u, v): all pairs of sets (sid, size, root) in different components that can have the similarity, by a prefix filter.
+
+    Two sets of sizes x and y have it if they share at least a = s / (1 + s) * (x + y) shingles. Put in one order, the
+    rarest first, the first shingle that they share is then among the first x - a + 1 of the one and y - a + 1 of the
+    other. So sets meet through their rarest shingles alone, and pages of one template, whose own words are rarer than
+    the template's, never meet unless they are that similar. Sizes are classed finely, as the bound needs both: a set
+    stands under each class that its partner may have, with the shingles that this class leaves. Of the sets that share
+    a shingle, those of its most frequent component aren't paired with each other.
+    """
+
+    def make():
+        cache = HashCache(hash64)
+
+        def work(batch, _):
+            own = [grams(cache.array(t.lower().split(), np.uint64), width) for t in batch]
+            sid = np.array([hash64(x.tobytes()) for x in own], dtype=np.uint64).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+            return {"sid": sid, "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+
+        return work
+
+    texts = _texts_of(sets.select("sid"), rows, docs, id_col, text_col)
+    held = materialize(map_texts(texts, {}, "sid long, grams array<long>", make).select("sid", F.explode("grams").alias("gram")), "grams")
+    often = held.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("n", F.lit(1)), "gram"))
+    placed = held.join(often, "gram", "left").withColumn("place", place).where("n is not null").drop("n").join(sets, "sid")
+    share, step = similarity / (1 + similarity), math.log(SIZE_STEP)
+    reach = math.ceil(-math.log(similarity) / step) + 1
+    own_class = F.floor(F.log("size") / step).cast("int")
+    partner = F.explode(F.sequence(own_class - reach, own_class + reach)).alias("partner")
+    # A little is taken off each bound, so that rounding never loses a pair; the exact test follows the join.
+    least = F.greatest(F.lit(1.0), F.exp(F.col("partner") * step) * (1 - 1e-9))
+    spread = placed.select("*", own_class.alias("class"), partner).where(F.col("place") <= F.floor(F.col("size") + 1 - share * (F.col("size") + least) + 1e-6))
+    key = ["gram", "low", "high"]
+    spread = spread.select("gram", F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), "sid", "size", "root", "place", "class")
+    spread = materialize(spread, "spread")
+    roots = spread.groupBy(*key, "root").agg(F.count("*").alias("n"))
+    main = roots.groupBy(*key).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    rest = materialize(spread.join(main, key), "rest")
+    a, b = (rest.select(*key, "main", *(F.col(c).alias(f"{c}_{n}") for c in ("sid", "size", "root", "place", "class"))) for n in "uv")
+    need = share * (F.col("size_u") + F.col("size_v")) - 1e-6
+    pairs = a.where("root_u <> main").join(b.drop("main"), key).where("root_u <> root_v and (low = high or class_u <> class_v)")
+    pairs = pairs.where((F.col("place_u") <= F.col("size_u") + 1 - need) & (F.col("place_v") <= F.col("size_v") + 1 - need))
+    found = materialize(pairs.select(F.greatest("sid_u", "sid_v").alias("u"), F.least("sid_u", "sid_v").alias("v")).distinct(), "pairs")
+    discard(held, spread, rest)
+    return found
+
+
 def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(u, v) links of fp and sid of ``sketches`` rows: texts that share either, or whose shingle sets are similar enough.
 
-    Each set is first compared with the smallest of every band that it shares. Where that leaves the members of a band in
-    more than one component, those that share two such bands are looked at: first each with NEIGHBOURS others of every
-    pair of bands, in an order of its own, which joins most of a large group of near-copies; then all pairs that are still
-    in different components. A line that many texts share puts them into one band, but seldom into a second one too.
-    Pairs of which too few min-hashes agree are left out before the full comparison.
+    Each set is first compared with the smallest of every band that it shares, which joins most of a large group of
+    near-copies. Sets that share two bands with ones in other components then meet through a prefix filter. Pairs of
+    which too few min-hashes agree are left out before the full comparison.
     """
     units = materialize(rows.groupBy("fp", "sid").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "units")
     same = units.select(F.col("fp").alias("u"), F.col("sid").alias("v")).unionByName(links(units.select("fp").distinct()))
@@ -336,25 +387,17 @@ def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     stars = shared.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
     compare(stars.select(F.greatest("sid", "c.sid").alias("u"), F.least("sid", "c.sid").alias("v")))
     ones = split(shared)
-    grouped = ones.groupBy("sid", "size").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    twos = materialize(grouped.select("sid", "size", F.explode(twos).alias("key")), "twos")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "sid")
-    ahead = F.array(*(F.struct(F.lead("sid", k).over(order).alias("sid"), F.lead("size", k).over(order).alias("size")) for k in range(1, NEIGHBOURS + 1)))
-    around = twos.withColumn("ahead", ahead).select("sid", "size", F.explode("ahead").alias("x")).where(F.col("x.sid").isNotNull() & near(F.col("size"), F.col("x.size")))
-    compare(around.select(F.greatest("sid", "x.sid").alias("u"), F.least("sid", "x.sid").alias("v")))
-    rest = split(twos)
-    # Every pair from two components has a member outside the largest: those few meet all.
-    a, b = (rest.select("key", "main", F.col("sid").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}")) for n in "uv")
-    pairs = a.where("ru <> main").join(b.drop("main"), "key").where("ru <> rv").where(near(F.col("su"), F.col("sv")))
-    compare(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    discard(sigs, shared, ones, twos, rest, tried)
+    left = materialize(ones.groupBy("sid").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"), "left")
+    pairs = _prefix_pairs(left, rows, docs, id_col, text_col, width, similarity)
+    compare(pairs)
+    discard(sigs, shared, ones, left, pairs, tried)
     return same
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, width: int = 5) -> DataFrame:
     """One row of docs for each group of near-duplicates: that of the smallest id, nulls last, then of the smallest
-    fingerprint and text hash. Rows that share an id, or have none, go only if they repeat a text or a group.
+    fingerprint and text hash. Rows that share an id, or have none, go only if they repeat a text or a group. Of rows that
+    repeat both id and text, that with the smallest hash of all columns stays.
 
     Near-duplicates are linked as by ``near_duplicates`` and, given a similarity, also where the sets of ``width``-word
     shingles have at least that Jaccard similarity.
@@ -375,5 +418,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # Columns go by number here, so none of docs clashes. The join and the removal of repeated rows share one shuffle.
     names = docs.columns
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.expr(_row_key(id_col, text_col)).alias("row"))
-    kept = keyed.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi").dropDuplicates(["row"])
+    kept = keyed.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi")
+    # Maps have no hash; rows that differ in nothing else are told apart by no rule.
+    hashed = F.xxhash64(*(f"c{i}" for i, c in enumerate(names) if "map<" not in docs.schema[i].dataType.simpleString()))
+    kept = kept.groupBy("row").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(names)))), hashed).alias("own")).select("own.*")
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -124,6 +124,47 @@ def test_keep_one_and_empty_table(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_pages_of_one_template_do_not_meet(spark):
+    rng = random.Random(21)
+    shared = [rng.choice(WORDS) + str(rng.randint(0, 9999)) for _ in range(300)]
+    pages = [" ".join(shared[:150] + [f"own{p}x{i}" for i in range(60)] + shared[150:]) for p in range(300)]
+    docs = frame(spark, pages)
+    rows = simhash.sketches(docs, "doc_id", "text", 5, 0.8).cache()
+    sets = rows.select("sid", "size", F.col("sid").alias("root"))
+    assert simhash._prefix_pairs(sets, rows, docs, "doc_id", "text", 5, 0.8).count() <= 20 * 300
+    assert simhash.keep_one(docs, similarity=0.8).count() >= 295  # a few fingerprints are within two bits
+    rows.unpersist()
+
+
+def test_prefix_pairs_miss_none_that_is_similar(spark):
+    rng = random.Random(22)
+    texts = []
+    for size in (6, 40, 200, 400):
+        for _ in range(12):
+            base = sentence(rng, size).split()
+            for edits in (0, 0.002, 0.004, 0.006, 0.01):
+                own = [w if rng.random() > edits else f"new{rng.random()}" for w in base]
+                texts.append(" ".join(own[: int(len(own) * rng.choice([1, 1, 0.95, 0.88, 0.82]))]))
+    texts = list(dict.fromkeys(texts))
+    docs = frame(spark, texts)
+    rows = simhash.sketches(docs, "doc_id", "text", 5, 0.8).cache()
+    sid = {r.doc_id: r.sid for r in rows.collect()}
+    sets = rows.select("sid", "size", F.col("sid").alias("root")).where("size > 0").distinct()
+    got = {(r.u, r.v) for r in simhash._prefix_pairs(sets, rows, docs, "doc_id", "text", 5, 0.8).collect()}
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    want = {(max(sid[i], sid[j]), min(sid[i], sid[j])) for i, a in enumerate(shingles) for j, b in enumerate(shingles[:i]) if len(a & b) >= 0.8 * len(a | b) and sid[i] != sid[j]}
+    assert len(want) > 100 and want <= got and len(got) < 4 * len(want)
+    rows.unpersist()
+
+
+def test_rows_that_repeat_id_and_text_keep_the_same_one(spark):
+    rows = [(1, "a b c d e f g h i j", "en", f"s{i}", i) for i in range(20)]
+    kept = {simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(n), similarity=0.8).first().source for n in (1, 3, 7)}
+    assert len(kept) == 1
+    maps = spark.createDataFrame([(1, "a b c")] * 2, "doc_id long, text string").withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    assert simhash.keep_one(maps).count() == 1
+
+
 def test_keep_one_of_rows_without_or_with_the_same_id(spark):
     rng = random.Random(6)
     a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
