@@ -1,8 +1,9 @@
 """Quality rules with thresholds from mergeable quantile sketches for each language and source.
 
 The sketch of a metric is a table of counts over buckets of bounded relative width (1/16): (group, metric, bucket, n).
-Sketches merge by adding counts, so a source's sketch comes from partial sums on every executor, and those of small
-sources fall back to the merged sketch of their language and then of everything.
+Sketches merge by adding counts, so a source's sketch comes from partial sums on every executor. What a source's sketch
+says is mixed with its language's, and that with everything's, by numbers of texts: a small source leans on the wider
+sketch, and no number of texts switches from one to the other.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ SUB = 4  # 2 ** SUB buckets for each power of two
 class Rule:
     """A text fails if its rate is surely over the fence of its group.
 
-    The fence is high + (high - median), from the group's sketch; ``high`` is a quantile that is taken to be sound, in
-    percent: symbols, stutter and word length may be junk in a tenth of the texts, repeats are ordinary in long ones.
+    The fence is the group's median and its spread. The spread is twice the way from the median to a high quantile,
+    ``high`` in percent, that is taken to be sound: symbols, stutter and word length may be junk in a tenth of the texts,
+    repeats are ordinary in long ones. Quantiles are buckets: the upper ends of the median's and the high one's count, the
+    lower end of the median's for the spread, so an even group has a spread of two buckets at least. Nor is the spread
+    less than what one occurrence makes of a text of the group's median length, as rates are no finer than that.
     "Surely" means by DEVIATIONS of the count that the fence expects of a text of that length, or of a count of 1.
     """
 
@@ -48,8 +52,8 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 90),
 )
 DEVIATIONS = 3
-#: Groups of fewer texts than this take the thresholds of their language, or else of all texts.
-LEAST_GROUP = 200
+#: The texts as which the wider sketch counts beside a group's own ones, for the median and for the spread.
+MEDIAN_PRIOR, SPREAD_PRIOR = 20, 200
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -126,43 +130,57 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(g0, g1, metric, bucket, n): texts that fail the base rules are left out of the sketches."""
-    rates = F.explode(F.array(*(F.struct(F.lit(r.metric).alias("metric"), bucket(rate(r)).alias("bucket")) for r in RULES))).alias("x")
+    """(g0, g1, metric, bucket, n) of the rules' rates and of the texts' lengths; texts that fail the base rules are left out."""
+    values = {r.metric: rate(r) for r in RULES} | {r.bottom: F.col(r.bottom) for r in RULES}
+    rates = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(v).alias("bucket")) for m, v in values.items()))).alias("x")
     rows = measured.where("not base_failed").select("g0", "g1", rates)
     return rows.groupBy("g0", "g1", "x.metric", "x.bucket").agg(F.count("*").alias("n"))
 
 
+def top(low: Column) -> Column:
+    """The upper end of the bucket with this lower end."""
+    return low + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(low)) - (SUB + 1), F.lit(0))) - 1
+
+
+def mixed(own: Column, n: Column, wider: Column, prior: int, by_ratio: bool = False) -> Column:
+    """The mean of a group's value over its n texts and of the wider one's over ``prior`` texts, in whole numbers.
+
+    ``by_ratio``: the geometric mean, for spreads, as a group of which much is junk has one many times too large.
+    """
+    n = n.cast("double")
+    if by_ratio:
+        return F.round(F.exp((n * F.ln(own) + float(prior) * F.ln(wider)) / (n + float(prior)))).cast("long")
+    return F.floor((n * own + float(prior) * wider) / (n + float(prior)))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(g0, g1, metric, middle, high) for each group of the sketch, taken from a wider one where it is small."""
-    levels = [["g0", "g1"], ["g0"], []]
+    """(g0, g1, metric, fence) for each group of the sketch and each rule."""
     percent = F.create_map(*(F.lit(x) for r in RULES for x in (r.metric, r.high)))
-    tables = []
-    for keys in levels:
+    length = F.create_map(*(F.lit(x) for r in RULES for x in (r.metric, r.bottom)))
+    found = None
+    for level, keys in enumerate(([], ["g0"], ["g0", "g1"])):
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        up_to = F.sum("n").over(Window.partitionBy(*keys, "metric").orderBy("bucket"))
-        total = F.sum("n").over(Window.partitionBy(*keys, "metric"))
-        ranked = merged.select(*keys, "metric", "bucket", up_to.alias("up"), total.alias("total"))
-        tables.append(
-            ranked.groupBy(*keys, "metric").agg(
-                F.max("total").alias("total"),
-                F.min(F.when(F.col("up") * 2 >= F.col("total"), F.col("bucket"))).alias("middle"),
-                F.min(F.when(F.col("up") * 100 >= F.col("total") * percent[F.col("metric")], F.col("bucket"))).alias("high"),
-            )
-        )
-    groups = sketch.select("g0", "g1", "metric").distinct()
-    own, lang, whole = (t.withColumnsRenamed({"total": f"t{i}", "middle": f"middle_{i}", "high": f"high_{i}"}) for i, t in enumerate(tables))
-    joined = groups.join(own, ["g0", "g1", "metric"], "left").join(lang, ["g0", "metric"], "left").join(whole, ["metric"], "left")
-
-    def pick(q: str) -> Column:
-        return F.when(F.col("t0") >= LEAST_GROUP, F.col(f"{q}_0")).when(F.col("t1") >= LEAST_GROUP, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
-
-    return joined.select("g0", "g1", "metric", pick("middle").alias("middle"), pick("high").alias("high"))
+        each = Window.partitionBy(*keys, "metric")
+        ranked = merged.withColumn("up", F.sum("n").over(each.orderBy("bucket"))).withColumn("total", F.sum("n").over(each))
+        least = lambda share, of: F.min(F.when(F.col("up") * of >= F.col("total") * share, F.col("bucket")))
+        quantiles = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("n"), least(1, 2).alias("middle"), least(F.coalesce(percent[F.col("metric")], F.lit(50)), 100).alias("high"))
+        lengths = quantiles.select(*keys, F.col("metric").alias("length"), F.col("middle").alias("typical"))
+        rules = quantiles.withColumn("length", length[F.col("metric")]).where("length is not null").join(lengths, [*keys, "length"])
+        finest = F.expr(f"greatest({MILLION} div greatest(typical, 1), 1)")
+        own = rules.select(*keys, "metric", "n", top(F.col("middle")).alias("m"), F.greatest(2 * (top(F.col("high")) - F.col("middle")), finest).alias("s"))
+        if level:
+            wider = found.withColumnsRenamed({"m": "wm", "s": "ws"})
+            own = own.join(wider, [*keys[:-1], "metric"])
+            own = own.select(*keys, "metric", mixed(F.col("m"), F.col("n"), F.col("wm"), MEDIAN_PRIOR).alias("m"), mixed(F.col("s"), F.col("n"), F.col("ws"), SPREAD_PRIOR, by_ratio=True).alias("s"))
+        else:
+            own = own.drop("n")
+        found = own
+    return found.select("g0", "g1", "metric", (F.col("m") + F.col("s")).alias("fence"))
 
 
 def fences(limits: DataFrame) -> DataFrame:
     """(g0, g1, then for each rule its fence): one row for each group."""
-    fence = 2 * F.col("high") - F.col("middle")
-    return limits.groupBy("g0", "g1").agg(*(F.max(F.when(F.col("metric") == r.metric, fence)).alias(f"max_{r.metric}") for r in RULES))
+    return limits.groupBy("g0", "g1").agg(*(F.max(F.when(F.col("metric") == r.metric, F.col("fence"))).alias(f"max_{r.metric}") for r in RULES))
 
 
 def over(rule: Rule) -> Column:

@@ -44,29 +44,45 @@ WITH d AS (
     {'metric': 'repeat_rate', 'v': n_repeat_words * 1000000 // nw, 'nt': n_repeat_words, 'nb': nw},
     {'metric': 'stutter_rate', 'v': n_stutter * 1000000 // nw, 'nt': n_stutter, 'nb': nw},
     {'metric': 'word_length', 'v': word_chars * 1000000 // nw, 'nt': word_chars, 'nb': nw}], recursive := true) FROM b
-), k AS (
-  SELECT *, (v >> greatest(length(ltrim(bin(v), '0')) - 5, 0)) << greatest(length(ltrim(bin(v), '0')) - 5, 0) AS bucket FROM r
+), u AS (
+  SELECT g0, g1, metric, v FROM r WHERE NOT base_failed UNION ALL SELECT g0, g1, 'n_words', n_words FROM b WHERE NOT base_failed UNION ALL SELECT g0, g1, 'n_lines', n_lines FROM b WHERE NOT base_failed
 ), s AS (
-  SELECT g0, g1, metric, bucket, count(*) AS n FROM k WHERE NOT base_failed GROUP BY ALL
-), s0 AS (
-  SELECT g0, g1, metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+  SELECT g0, g1, metric, (v >> greatest(length(ltrim(bin(v), '0')) - 5, 0)) << greatest(length(ltrim(bin(v), '0')) - 5, 0) AS bucket, count(*) AS n FROM u GROUP BY ALL
+), q0 AS (
+  SELECT metric, max(total) AS n, min(bucket) FILTER (up * 2 >= total) AS middle,
     min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
-  FROM (SELECT *, sum(n) OVER (PARTITION BY g0, g1, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, g1, metric) AS total
-        FROM s) GROUP BY ALL
-), s1 AS (
-  SELECT g0, metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+  FROM (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY metric) AS total
+        FROM (SELECT metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
+), o0 AS (
+  SELECT x.*, x.middle + (1 << greatest(length(ltrim(bin(x.middle), '0')) - 5, 0)) - 1 AS m,
+    greatest(2 * (x.high + (1 << greatest(length(ltrim(bin(x.high), '0')) - 5, 0)) - 1 - x.middle), 1000000 // greatest(a.middle, 1), 1) AS s
+  FROM q0 x JOIN q0 a ON a.metric = CASE WHEN x.metric = 'dup_line_rate' THEN 'n_lines' ELSE 'n_words' END WHERE x.metric NOT IN ('n_words', 'n_lines')
+), q1 AS (
+  SELECT g0, metric, max(total) AS n, min(bucket) FILTER (up * 2 >= total) AS middle,
     min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY g0, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, metric) AS total
         FROM (SELECT g0, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
-), s2 AS (
-  SELECT metric, max(total) AS t, min(bucket) FILTER (up * 2 >= total) AS middle,
+), o1 AS (
+  SELECT x.*, x.middle + (1 << greatest(length(ltrim(bin(x.middle), '0')) - 5, 0)) - 1 AS m,
+    greatest(2 * (x.high + (1 << greatest(length(ltrim(bin(x.high), '0')) - 5, 0)) - 1 - x.middle), 1000000 // greatest(a.middle, 1), 1) AS s
+  FROM q1 x JOIN q1 a ON a.g0 = x.g0 AND a.metric = CASE WHEN x.metric = 'dup_line_rate' THEN 'n_lines' ELSE 'n_words' END WHERE x.metric NOT IN ('n_words', 'n_lines')
+), f1 AS (
+  SELECT y.g0, y.metric, floor((y.n::DOUBLE * y.m + 20.0::DOUBLE * w.m) / (y.n::DOUBLE + 20)) AS m, CAST(round(exp((y.n::DOUBLE * ln(y.s) + 200.0::DOUBLE * ln(w.s)) / (y.n::DOUBLE + 200))) AS BIGINT) AS s
+  FROM o1 y JOIN o0 w ON w.metric = y.metric
+), q2 AS (
+  SELECT g0, g1, metric, max(total) AS n, min(bucket) FILTER (up * 2 >= total) AS middle,
     min(bucket) FILTER (up * 100 >= total * CASE WHEN metric IN ('dup_line_rate', 'repeat_rate') THEN 99 ELSE 90 END) AS high
-  FROM (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY metric) AS total
-        FROM (SELECT metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
+  FROM (SELECT *, sum(n) OVER (PARTITION BY g0, g1, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY g0, g1, metric) AS total
+        FROM (SELECT g0, g1, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL
+), o2 AS (
+  SELECT x.*, x.middle + (1 << greatest(length(ltrim(bin(x.middle), '0')) - 5, 0)) - 1 AS m,
+    greatest(2 * (x.high + (1 << greatest(length(ltrim(bin(x.high), '0')) - 5, 0)) - 1 - x.middle), 1000000 // greatest(a.middle, 1), 1) AS s
+  FROM q2 x JOIN q2 a ON a.g0 = x.g0 AND a.g1 = x.g1 AND a.metric = CASE WHEN x.metric = 'dup_line_rate' THEN 'n_lines' ELSE 'n_words' END WHERE x.metric NOT IN ('n_words', 'n_lines')
+), f2 AS (
+  SELECT y.g0, y.g1, y.metric, floor((y.n::DOUBLE * y.m + 20.0::DOUBLE * w.m) / (y.n::DOUBLE + 20)) AS m, CAST(round(exp((y.n::DOUBLE * ln(y.s) + 200.0::DOUBLE * ln(w.s)) / (y.n::DOUBLE + 200))) AS BIGINT) AS s
+  FROM o2 y JOIN f1 w ON w.g0 = y.g0 AND w.metric = y.metric
 ), f AS (
-  SELECT s0.g0, s0.g1, s0.metric, CASE WHEN s0.t >= 200 THEN 2 * s0.high - s0.middle
-    WHEN s1.t >= 200 THEN 2 * s1.high - s1.middle ELSE 2 * s2.high - s2.middle END AS fence
-  FROM s0 LEFT JOIN s1 USING (g0, metric) LEFT JOIN s2 USING (metric)
+  SELECT g0, g1, metric, CAST(m + s AS BIGINT) AS fence FROM f2
 ), e AS (
   SELECT doc_id, CAST(fence * nb AS DOUBLE) AS expected, CAST(nt AS DOUBLE) * 1000000 - CAST(fence * nb AS DOUBLE) AS beyond
   FROM r JOIN f USING (g0, g1, metric)

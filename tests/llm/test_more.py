@@ -280,6 +280,46 @@ def test_a_groups_own_distribution_decides(spark):
     assert kept(probes + plain + group(2000, "code", 0.0)) == {1: False, 2: False}
 
 
+def judged(spark, rows):
+    return {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
+@pytest.mark.parametrize("letters", [i / 16 for i in range(17)])
+def test_an_even_source_is_kept(spark, letters):
+    """400 texts of one vocabulary, of a mean word length anywhere in its bucket; other sources have shorter words."""
+    rng = random.Random(int(16 * letters))
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 4, 5, 6, 7]) + (rng.random() < letters))) for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300)), "en", "even") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choice(words)[:3] for _ in range(200)), "en", f"s{i % 7}") for i in range(700)]
+    assert sum(r.kept for d, r in judged(spark, rows).items() if d < 400) >= 396
+
+
+def test_few_symbols_in_a_long_text_are_kept(spark):
+    rng = random.Random(5)
+    plain = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows = [(i, " ".join(plain(rng.randint(100, 300))), "en", "a") for i in range(300)]
+    rows += [(1000, " ".join([*plain(3000), "#", "$", "*", "&"]), "en", "a"), (1001, " ".join([*plain(20), "#", "$", "*", "&"]), "en", "a")]
+    got = judged(spark, rows)
+    assert got[1000].kept and not got[1001].kept and got[1001].reasons == ["symbol_rate"]
+
+
+def test_one_more_text_does_not_switch_a_verdict(spark):
+    """A source's fence moves little with one text more, at whatever size."""
+    rng = random.Random(6)
+    text = lambda share: " ".join(f"w{rng.randrange(9000)}" + ("#" if rng.random() < share else "") for _ in range(100))
+    own = [(text(0.06), "en", "own") for _ in range(402)]
+    other = [(i, text(0.0), "en", f"s{i % 9}") for i in range(10_000, 11_000)]
+
+    def fence(n):
+        docs = spark.createDataFrame([(i, *own[i]) for i in range(n)] + other, "doc_id long, text string, lang string, source string")
+        limits = quality.fences(quality.thresholds(quality.sketches(quality.metrics(docs))))
+        return limits.where("g1 = 'own'").first().max_symbol_rate
+
+    for n in (20, 199, 200, 400):
+        a, b = fence(n), fence(n + 1)
+        assert abs(a - b) <= 0.15 * a
+
+
 def test_word_numbers_are_those_of_plain_words():
     texts = [b"", b" ", b"a b  a", "É é ab-ba 7".encode(), b"x" * 2_100_000 + b" y", b"\xff\xfe z", b"9" * 70_000, b""]
     numbers, counts = decontaminate.word_numbers(texts)
