@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
+from orefield.session import materialize
 
 TARGETS = {"recall_at_5": 0.80, "faithfulness": 0.85, "valency": 0.90}
 
@@ -34,25 +35,86 @@ def suite_means(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*(F.avg(c).alias(f"mean_{c}") for c in ("recall", "precision", "rr", "ndcg")), F.count("*").alias("n_queries"))
 
 
-def floor_percentiles(df: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99), by: str | None = None) -> DataFrame:
-    """sorted[int(p * (n - 1))], without interpolation: the rank is found by counts of distinct values, not by a list.
+#: Intervals that a round divides the range of a rank into, and the rows at which an interval is sorted.
+PARTS, SORTED_ROWS = 4096, 4096
 
-    Each distinct value is one row before the running count, so hot values don't grow a task; without ``by`` the counts
-    are taken over one group of distinct values.
-    """
-    from pyspark.sql import Window
 
+def order_statistics(df: DataFrame, value: str, ranks: Column, by: list[str]) -> DataFrame:
+    """(by, rank, v): the values at the given ranks (an array of numbers from 0, may use the group's size ``n``) of each group.
+
+    Each round counts the values in equal parts of the interval that holds a rank, with sums on the map side, and goes on
+    with the part that holds it; an interval of one value, or of few rows, ends it. So no task ever has a group's values.
+    Null, NaN and infinite values are left out. Groups may be null.
+    """
+    number, names = F.col(value).cast("double"), by
+    by = [f"_g{i}" for i in range(len(names))]
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).select(*(F.col(c).alias(g) for c, g in zip(names, by)), F.col(value).alias("v"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    state = sizes.select(*by, F.explode(F.array_distinct(ranks)).alias("rank"), F.lit(0).cast("long").alias("below"), "n", "low", "high")
+    state = materialize(state.where("rank >= 0 and rank < n"), "ranks")
+    done = state.where("low = high").select(*by, "rank", F.col("low").alias("v"))
+    while True:
+        state = state.where("low < high")
+        wide = state.where(F.col("n") > SORTED_ROWS)
+        if wide.isEmpty():
+            break
+        # Halves, so that no difference overflows; every step is monotone, so parts are intervals, and the first and the
+        # last value are in different ones. Values that differ by less than a double tells are parts of their own.
+        half = lambda c: F.col(c).cast("double") / 2
+        span = half("high") - half("low")
+        part = F.when(span > 0, F.least(F.lit(PARTS - 1), F.floor(F.try_divide(half("v") - half("low"), span) * PARTS)))
+        parts = _within(rows, wide, by).groupBy(*by, "rank", "below", part.alias("part"), F.when(span > 0, None).otherwise(F.col("v")).alias("own"))
+        counts = parts.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        # A row for each part of a rank's interval, so PARTS at most.
+        before = F.sum("n").over(Window.partitionBy(*by, "rank").orderBy("part", "own")) - F.col("n")
+        counts = counts.withColumn("below", F.col("below") + before).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+        few = state.where(F.col("n") <= SORTED_ROWS)
+        state = materialize(counts.select(*few.columns).unionByName(few), "ranks")
+        done = done.unionByName(state.where("low = high").select(*by, "rank", F.col("low").alias("v")))
+    few = _within(rows, state, by).groupBy(*by, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    found = done.unionByName(few.select(*by, "rank", F.get("v", (F.col("rank") - F.col("below")).cast("int")).alias("v")))
+    return found.select(*(F.col(g).alias(c) for c, g in zip(names, by)), "rank", "v")
+
+
+def _within(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """rows once for each rank whose interval holds them, with the rank's columns."""
+    s = state.withColumnsRenamed({c: f"_{c}" for c in by})
+    inside = F.col("v").between(F.col("low"), F.col("high"))
+    for c in by:
+        inside &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(s, inside).drop(*(f"_{c}" for c in by))
+
+
+def _at_points(df: DataFrame, value: str, points: tuple[float, ...], by: str | None, pick) -> DataFrame:
+    """One row for each group: pick(p, n, value at a rank) of each point."""
     keys = [by] if by else []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    up = counts.withColumn("up", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("up") > F.floor(F.lit(p) * (F.col("all") - 1)), F.col(value)))
-    return up.groupBy(*keys).agg(*(at(p).alias(f"p{int(p * 100)}") for p in points))
+    ends = [rank(F.lit(p) * (F.col("n") - 1)).cast("long") for p in points for rank in (F.floor, F.ceil)]
+    rows = df.select(*(F.col(c).alias("_by") for c in keys), F.col(value).alias("_value"))
+    keys = ["_by"] if by else []
+    found = order_statistics(rows, "_value", F.array(*ends), keys).select(*(F.col(c).alias("_own") for c in keys), "rank", "v")
+    held = found.groupBy(*(["_own"] if by else [])).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    number = F.col("_value").cast("double")
+    sizes = rows.where(F.col("_value").isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).groupBy(*keys).agg(F.count("*").alias("n"))
+    if not by:
+        return sizes.crossJoin(held).select(*(pick(p).alias(f"p{int(p * 100)}") for p in points))  # one row each
+    both = sizes.join(held, F.col("_by").eqNullSafe(F.col("_own")))
+    return both.select(F.col("_by").alias(by), *(pick(p).alias(f"p{int(p * 100)}") for p in points))
+
+
+def floor_percentiles(df: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99), by: str | None = None) -> DataFrame:
+    """sorted[int(p * (n - 1))], without interpolation, by ``order_statistics``."""
+    return _at_points(df, value, points, by, lambda p: F.col("at")[F.floor(F.lit(p) * (F.col("n") - 1))])
 
 
 def percentiles(df: DataFrame, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99), by: str | None = None) -> DataFrame:
-    """Interpolated percentiles."""
-    return df.groupBy(*([by] if by else [])).agg(*(F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}") for p in points))
+    """Interpolated percentiles, by ``order_statistics``."""
+
+    def pick(p: float) -> Column:
+        place = F.lit(p) * (F.col("n") - 1)
+        low, high = F.col("at")[F.floor(place)].cast("double"), F.col("at")[F.ceil(place)].cast("double")
+        return low + (high - low) * (place - F.floor(place))
+
+    return _at_points(df, value, points, by, pick)
 
 
 def answer_ratios(items: DataFrame, supported: float = 0.4) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import text as T
 from orefield.operators.retrieval import CAS, rank
+from orefield.session import materialize
 
 FORMULA = r"\b((?:[A-Z][a-z]?\d*){2,})\b"
 
@@ -44,30 +45,49 @@ def header(number: Column, title: Column, section: Column, page: Column) -> Colu
 
 
 def pack_context(chunks: DataFrame, max_tokens: int = 4096, reserve: int = 1024, max_chunks: int = 10) -> DataFrame:
-    """chunks (query_id, id, score, title, section, page, text), already distinct -> the same with used, number, tokens.
+    """chunks (query_id, id, score, title, section, page, text), already distinct -> (query_id, id, used, number, tokens).
 
     Best scores first. A chunk that would pass the budget of max(128, max_tokens - reserve) is skipped and later ones are
-    tried; a chunk's cost includes its header, which holds its number. The fold runs in the JVM over one query's pool.
+    tried; a chunk's cost includes its header, which holds its number. Only costs are kept of a pool, and each round finds
+    the next chunk of every query as a minimum over those that still fit, so a pool is never in one task; there are
+    max_chunks rounds at most, and they end when nothing fits. tokens is what a chunk cost, or would have when it was passed.
     """
     budget = max(128, max_tokens - reserve)
-    entry = F.struct((-F.col("score")).alias("o"), F.col("id"), "score", F.coalesce(T.non_empty(F.col("title")), F.lit("Document")).alias("title"), "section", "page", "text")
-    pooled = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    kind = f"array<struct<id:{chunks.schema['id'].dataType.simpleString()},used:boolean,number:int,tokens:int>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        block = F.concat(header(s["n"] + 1, c["title"], c["section"], c["page"]), F.trim(c["text"]), F.lit("\n"))
-        cost = T.estimate_calibrated(block)
-        fits = (s["n"] < max_chunks) & (s["total"] + cost <= budget)
-        row = F.struct(c["id"].alias("id"), fits.alias("used"), F.when(fits, s["n"] + 1).alias("number"), cost.alias("tokens"))
-        return F.struct(
-            F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"),
-            F.when(fits, s["total"] + cost).otherwise(s["total"]).alias("total"),
-            F.concat(s["out"], F.array(row)).alias("out"),
+    empty = F.concat(header(F.lit(""), F.coalesce(T.non_empty(F.col("title")), F.lit("Document")), F.col("section"), F.col("page")), F.trim("text"), F.lit("\n"))
+    # Words and length without the number, whose digits make a word only longer.
+    sized = chunks.withColumn("_block", empty)
+    place = F.struct((-F.col("score")).alias("o"), F.col("id").alias("i"), F.monotonically_increasing_id().alias("row"))
+    pool = materialize(sized.select("query_id", "id", place.alias("place"), T.word_count(F.col("_block")).alias("words"), F.length("_block").alias("chars")), "pool")
+
+    def cost(number: Column) -> Column:
+        size = F.greatest(F.col("words") * F.lit(1.3), (F.col("chars") + F.length(number.cast("string"))) / F.lit(3.8))
+        return F.greatest(F.lit(1), F.floor(size).cast("int"))
+
+    kind = pool.schema["place"].dataType.simpleString()
+    state = materialize(pool.select("query_id").distinct().select("query_id", F.lit(0).alias("total"), F.array().cast(f"array<{kind}>").alias("chosen")), "chosen")
+    for n in range(1, max_chunks + 1):
+        last = F.col("chosen")[n - 2] if n > 1 else F.lit(None)
+        open_ = state.where(F.size("chosen") == n - 1).select("query_id", "total", last.alias("last"))
+        left = pool.join(open_, "query_id").withColumn("cost", cost(F.lit(n))).where(F.col("total") + F.col("cost") <= budget)
+        if n > 1:
+            left = left.where(F.col("place") > F.col("last"))
+        found = left.groupBy("query_id").agg(F.min(F.struct("place", "cost")).alias("next"))
+        joined = state.join(found, "query_id", "left")
+        fresh = materialize(
+            joined.select(
+                "query_id",
+                F.col("total") + F.coalesce(F.col("next.cost"), F.lit(0)),
+                F.when(F.col("next").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("next.place"))),
+            ).toDF("query_id", "total", "chosen"),
+            "chosen",
         )
-
-    packed = pooled.select("query_id", F.explode(F.aggregate("x", start, step)["out"]).alias("r"))
-    return packed.select("query_id", "r.*")
+        state = fresh
+        if fresh.where(F.size("chosen") == n).isEmpty():
+            break
+    before = F.size(F.filter("chosen", lambda c: c < F.col("place")))
+    used = F.array_contains("chosen", F.col("place"))
+    out = pool.join(state, "query_id").select("query_id", "id", used.alias("used"), (before + 1).alias("number"), cost(before + 1).alias("tokens"))
+    return out.withColumn("number", F.when(F.col("used"), F.col("number")))
 
 
 def context_blocks(packed: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import text as T
 from orefield.functions import vectors as V
-from orefield.operators import evaluate, fusion, rerank, retrieval, vector_index
+from orefield.operators import evaluate, fingerprints, fusion, rerank, retrieval, vector_index
 from orefield.plans.registry import query, views
 
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
@@ -185,28 +185,50 @@ def weighted_linear_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(fusion.linear_hybrid(lists["lexical"], lists["semantic"]), "score")
 
 
-ENTITY = "p_partkey AS id, 'KEY' || lpad(CAST(p_partkey AS STRING), 11, '0') || '-UHFFFAOYSA-N' AS inchi_key, 'C' || CAST(p_size AS STRING) AS smiles, CAST(p_partkey + 100 AS STRING) || '-11-' || CAST(p_partkey % 10 AS STRING) AS cas, p_name AS name"
-CHEM_QUERIES = """(VALUES (1, 'KEY00000000017-UHFFFAOYSA-N'), (2, 'C12'), (3, '140-11-0'), (4, 'lemon'), (5, 'C_2'), (6, 'KEY'))"""
+ENTITY = (
+    "p_partkey AS id, 'KEY' || lpad(CAST(p_partkey AS STRING), 11, '0') || '-UHFFFAOYSA-N' AS inchi_key, repeat('C', p_size % 9 + 1) || CASE p_partkey % 7 WHEN 0 THEN 'O' WHEN 1 THEN 'N' WHEN 2 THEN '(=O)O'"
+    " WHEN 3 THEN 'c1ccccc1' WHEN 4 THEN '(Cl)Br' WHEN 5 THEN '[N+](=O)[O-]' ELSE '' END AS smiles, CAST(p_partkey + 100 AS STRING) || '-11-' || CAST(p_partkey % 10 AS STRING) AS cas, p_name AS name"
+)
+CHEM_QUERIES = """(VALUES (1, 'KEY00000000017-UHFFFAOYSA-N'), (2, 'CCCCCO'), (3, '140-11-0'), (4, 'lemon'), (5, 'CC_2'), (6, 'KEY'), (7, 'CCCc1ccccc1'), (8, 'CCC(=O)O'), (9, 'CCCC[N+](=O)[O-]'))"""
+
+
+def _bits_sql(s: str) -> str:
+    """The set bits of a notation; runs of one to three tokens, a bit by the hash of each."""
+    tokens = f"regexp_extract_all({s}, '(\\[[^\\]]*\\]|Br|Cl|%\\d\\d|.)', 1)"
+    run = lambda n: f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
+    return f"list_distinct(list_transform({' || '.join(map(run, (1, 2, 3)))}, lambda r: CAST('0x' || md5(r)[1:8] AS BIGINT) % {fingerprints.BITS}))"
 
 
 @query(
-    f"""WITH e AS (SELECT {ENTITY} FROM part), q(query_id, q) AS {CHEM_QUERIES},
+    f"""WITH e AS (SELECT *, {_bits_sql("smiles")} AS f FROM (SELECT {ENTITY} FROM part)),
+    q AS (SELECT *, CASE WHEN regexp_matches(q, '^C') THEN {_bits_sql("q")} ELSE [] END AS f FROM {CHEM_QUERIES} AS t(query_id, q)),
     hits AS (
-      SELECT query_id, id, 1.0 AS score, 'identity' AS source, 1 AS p FROM q, e WHERE inchi_key = q OR smiles = q OR (len(q) - len(replace(q, '-', '')) = 2 AND cas = q)
+      SELECT query_id, id, 1.0::DOUBLE AS score, 'identity' AS source, 1 AS p FROM q, e WHERE inchi_key = q OR smiles = q OR (len(q) - len(replace(q, '-', '')) = 2 AND cas = q)
       UNION ALL SELECT query_id, id, 0.9, 'name', 2 FROM q, e WHERE contains(lower(name), lower(q))
-      UNION ALL SELECT query_id, id, s, 'similarity', 3 FROM (SELECT query_id, id, ((id * 37 + query_id * 11) % 100) / 100.0 AS s FROM q, e) WHERE s >= 0.9)
-    SELECT query_id, id, CAST(arg_min(score, p) AS DOUBLE) AS score, arg_min(source, p) AS source, CAST(max(score) FILTER (p = 3) AS DOUBLE) AS similarity
+      UNION ALL SELECT query_id, id, s, 'similarity', 3 FROM (SELECT query_id, id, len(list_intersect(q.f, e.f)) / len(list_distinct(q.f || e.f)) AS s FROM q, e WHERE len(q.f) > 0) WHERE s >= 0.5)
+    SELECT query_id, id, round(arg_min(score, p), 6) AS score, arg_min(source, p) AS source, round(max(score) FILTER (p = 3), 6) AS similarity
     FROM hits GROUP BY query_id, id"""
 )
 def chemical_priority_union(spark: SparkSession, sf: str) -> DataFrame:
     (part,) = views(spark, sf, "part")
     e = part.selectExpr(*(x.strip() for x in _split(ENTITY)))
     q = spark.sql(f"SELECT * FROM {CHEM_QUERIES} AS t(query_id, q)")
-    pairs = e.crossJoin(F.broadcast(q))  # six fixed queries
+    pairs = e.crossJoin(F.broadcast(q))  # nine fixed queries
     identity = pairs.where(retrieval.identity_match({k: F.col(k) for k in ("inchi_key", "smiles", "cas")}, F.col("q")))
     names = pairs.where(F.contains(F.lower("name"), F.lower("q")))
-    similar = pairs.select("query_id", "id", (((F.col("id") * 37 + F.col("query_id") * 11) % 100) / 100.0).alias("score"))
-    return retrieval.chemical_union(identity, names, similar, least=0.9)
+    similar = fingerprints.similar(q.where("q like 'C%'").withColumnRenamed("q", "smiles"), e)
+    return _rounded(retrieval.chemical_union(identity, names, similar), "score", "similarity")
+
+
+@query(
+    f"""WITH e AS (SELECT id, {_bits_sql("smiles")} AS f FROM (SELECT {ENTITY} FROM part))
+    SELECT a.id AS query_id, b.id, round(len(list_intersect(a.f, b.f)) / len(list_distinct(a.f || b.f)), 6) AS score FROM e a, e b
+    WHERE a.id % 20 = 0 AND len(list_intersect(a.f, b.f)) >= 0.8::DOUBLE * len(list_distinct(a.f || b.f))"""
+)
+def fingerprint_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    (part,) = views(spark, sf, "part")
+    e = part.selectExpr(*(x.strip() for x in _split(ENTITY))).select("id", "smiles")
+    return _rounded(fingerprints.similar(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e, 0.8), "score")
 
 
 def _split(exprs: str) -> list[str]:
