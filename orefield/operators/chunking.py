@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import chemistry as C
 from orefield.functions import text as T
+from orefield.session import ship
 
 SOP_STEP = r"(?m)^(?:Step\s+)?\d+(?:\.\d+)*[:.]"
 
@@ -17,23 +20,39 @@ SOP_STEP = r"(?m)^(?:Step\s+)?\d+(?:\.\d+)*[:.]"
 def pack_blocks(blocks: DataFrame, max_tokens: int = 550, page: str = "page_id", order: str = "n", text: str = "text") -> DataFrame:
     """(page, chunk_index, text, tokens, first, last): blocks in order, closed when the next would pass max_tokens.
 
-    A block over the limit is a chunk of its own. The fold runs in the JVM over one page's blocks.
+    A block over the limit is a chunk of its own; blank blocks and null texts are left out. A task reads its pages' blocks
+    in order and holds one open chunk, however long a page is.
     """
+    ship(blocks.sparkSession)
     t = F.trim(F.col(text))
-    rows = blocks.where(t != "").groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("n"), t.alias("t"), T.estimate_by_quarter(t).alias("k")))).alias("x"))
-    kind = "array<struct<n:{0},k:int,c:int>>".format(blocks.schema[order].dataType.simpleString())
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("total"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        full = (s["total"] > 0) & (s["total"] + b["k"] > max_tokens)
-        c = F.when(full, s["c"] + 1).otherwise(s["c"])
-        return F.struct(c.alias("c"), F.when(full, b["k"]).otherwise(s["total"] + b["k"]).alias("total"), F.concat(s["out"], F.array(F.struct(b["n"].alias("n"), b["k"].alias("k"), c.alias("c")))).alias("out"))
-
-    placed = rows.select(page, F.arrays_zip("x", F.aggregate("x", start, step)["out"].alias("y")).alias("z")).select(page, F.explode("z").alias("z"))
-    flat = placed.select(page, F.col("z.x.n").alias("n"), F.col("z.x.t").alias("t"), F.col("z.y.c").alias("c"), F.col("z.y.k").alias("k"))
-    return flat.groupBy(page, F.col("c").alias("chunk_index")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n\n").alias("text"), F.sum("k").alias("tokens"), F.min("n").alias("first"), F.max("n").alias("last")
-    )
+    rows = blocks.where(t != "").select(F.col(page).alias("p"), F.col(order).alias("n"), t.alias("t"), T.estimate_by_quarter(t).cast("long").alias("k"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in "pn"}
+    names = ["p", "c", "t", "k", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, at, number, total = [], None, 0, 0
+        for batch in batches:
+            closed: list[tuple] = []
+            for p, n, own, k in zip(*(c.to_pylist() for c in batch.columns)):
+                fresh = chunk and p != at
+                if chunk and (fresh or total + k > max_tokens):
+                    closed.append((at, number, "\n\n".join(x[1] for x in chunk), total, chunk[0][0], chunk[-1][0]))
+                    number = 0 if fresh else number + 1
+                    chunk, total = [], 0
+                chunk.append((n, own))
+                at, total = p, total + k
+            yield made(closed, batch.schema)
+            schema = batch.schema
+        if chunk:
+            yield made([(at, number, "\n\n".join(x[1] for x in chunk), total, chunk[0][0], chunk[-1][0])], schema)
+
+    def made(closed: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*closed)) or [()] * 6
+        types = (schema.field(0).type, pa.int32(), pa.string(), pa.int64(), schema.field(1).type, schema.field(1).type)
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=names)
+
+    packed = rows.repartition("p").sortWithinPartitions("p", "n").mapInArrow(run, f"p {kinds['p']}, c int, t string, k long, first {kinds['n']}, last {kinds['n']}")
+    return packed.toDF(page, "chunk_index", "text", "tokens", "first", "last")
 
 
 def enrich(raw: Column, title: Column, page: Column) -> Column:
@@ -128,9 +147,30 @@ def contains(a: Column, b: Column) -> Column:
     return (a["x0"] <= b["x0"]) & (a["y0"] <= b["y0"]) & (a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"])
 
 
+def _sweep(tables: DataFrame, blocks: DataFrame, page: str, table_y: str, block_y: str) -> DataFrame:
+    """Tables and blocks of a page as events (page, y, table_id, block_id): one pass in order of y meets their neighbours."""
+    t = tables.select(F.col(page).alias("p"), F.col(table_y).cast("double").alias("y"), "table_id", F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id"))
+    return t.unionByName(blocks.select(F.col(page).alias("p"), F.col(block_y).cast("double").alias("y"), F.lit(None).cast(tables.schema["table_id"].dataType).alias("table_id"), "block_id"))
+
+
 def nearest_caption(tables: DataFrame, blocks: DataFrame, reach: float = 60.0, page: str = "page_id") -> DataFrame:
-    """(page, table_id, block_id, distance): the block that ends closest above each table, within ``reach`` points."""
-    t = tables.select(page, "table_id", F.col("y0").alias("ty"))
-    near = t.join(blocks.select(page, "block_id", F.col("y1").alias("by")), page).where((F.col("by") <= F.col("ty")) & (F.col("ty") - F.col("by") <= reach))
-    n = F.row_number().over(Window.partitionBy(page, "table_id").orderBy(F.col("ty") - F.col("by"), "block_id"))
-    return near.withColumn("_n", n).where("_n = 1").select(page, "table_id", "block_id", (F.col("ty") - F.col("by")).alias("distance"))
+    """(page, table_id, block_id, distance): the block that ends closest above each table, within ``reach`` points.
+
+    Of blocks that end alike that of the smallest id; rows that repeat a table's id are one table. A sweep over the page, no pairs of its tables and blocks.
+    """
+    order = Window.partitionBy("p").orderBy("y", F.col("table_id").isNotNull(), F.desc("block_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = F.last(F.when(F.col("block_id").isNotNull(), F.struct("y", "block_id")), ignorenulls=True).over(order)
+    met = _sweep(tables, blocks, page, "y0", "y1").withColumn("above", above).where(F.col("table_id").isNotNull() & F.col("above").isNotNull())
+    near = met.select("p", "table_id", F.struct((F.col("y") - F.col("above.y")).alias("distance"), "above.block_id").alias("near")).where(F.col("near.distance") <= reach)
+    return near.groupBy("p", "table_id").agg(F.min("near").alias("near")).select(F.col("p").alias(page), "table_id", "near.block_id", "near.distance")
+
+
+def footnotes(tables: DataFrame, blocks: DataFrame, reach: float = 50.0, page: str = "page_id") -> DataFrame:
+    """(page, table_id, notes array<block_id>): all blocks that begin under a table, closer than ``reach`` points, from the top
+    down, equal ones by id; tables without one aren't told, and rows that repeat a
+    table's id are tables of their own."""
+    near = Window.partitionBy("p").orderBy("y").rangeBetween(0, math.ceil(reach))
+    below = F.collect_list(F.when(F.col("block_id").isNotNull(), F.struct("y", "block_id"))).over(near)
+    met = _sweep(tables, blocks, page, "y1", "y0").withColumn("below", below).where(F.col("table_id").isNotNull())
+    notes = F.transform(F.array_sort(F.filter("below", lambda b: b["y"] - F.col("y") < reach)), lambda b: b["block_id"])
+    return met.select(F.col("p").alias(page), "table_id", notes.alias("notes")).where(F.size("notes") > 0)

@@ -265,6 +265,17 @@ def nearest_caption(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.nearest_caption(tables, boxes.where("block_id > 1"))
 
 
+@query(
+    f"""WITH b AS (SELECT {BOX} FROM lineitem), t AS (SELECT page_id, block_id AS table_id, y1, row_number() OVER () AS r FROM b WHERE block_id <= 2)
+    SELECT t.page_id, table_id, string_agg(block_id, ',' ORDER BY y0, block_id) AS notes FROM t JOIN b ON b.page_id = t.page_id AND b.block_id > 2 AND y0 >= t.y1 AND y0 - t.y1 < 50 GROUP BY t.page_id, table_id, r"""
+)
+def table_footnotes(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = _boxes(spark, sf)
+    tables = boxes.where("block_id <= 2").withColumnRenamed("block_id", "table_id")
+    notes = chunking.footnotes(tables, boxes.where("block_id > 2"))
+    return notes.withColumn("notes", F.array_join(F.col("notes").cast("array<string>"), ","))
+
+
 @query(
     f"""WITH b AS (SELECT {BOX} FROM lineitem), c AS (SELECT page_id, block_id, (page_id % 4) * 90 AS rot, greatest(0, least(612, x0)) AS x0, greatest(0, least(792, y0)) AS y0, x1, y1 FROM b),
     d AS (SELECT page_id, block_id, rot, x0, y0, greatest(x0, least(612, x1)) AS x1, greatest(y0, least(792, y1)) AS y1 FROM c),
