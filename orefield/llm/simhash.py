@@ -31,6 +31,8 @@ BAND_ROWS = 3
 MISS = 1e-5
 #: Classes of set sizes grow by this factor.
 SIZE_STEP = 1.02
+#: Under each key each set is compared with so many others, within parts of about so many sets, before all pairs left apart are.
+NEIGHBOURS, PART_SETS = 8, 256
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -294,15 +296,15 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
     return found
 
 
-def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(u, v): all pairs of sets (sid, size, root) in different components that can have the similarity, by a prefix filter.
-
-    Two sets of sizes x and y have it if they share at least a = s / (1 + s) * (x + y) shingles. Put in one order, the
-    rarest first, the first shingle that they share is then among the first x - a + 1 of the one and y - a + 1 of the
-    other. So sets meet through their rarest shingles alone, and pages of one template, whose own words are rarer than
-    the template's, never meet unless they are that similar. Sizes are classed finely, as the bound needs both: a set
-    stands under each class that its partner may have, with the shingles that this class leaves. Of the sets that share
-    a shingle, those of its most frequent component aren't paired with each other.
+def _prefix_rows(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(key, sid, size, place, class, partner) of sets (sid, size, root): the shingles through which sets can meet.
+
+    Two sets of sizes x and y have the similarity s if they share at least a = s / (1 + s) * (x + y) shingles. Put in one
+    order, the rarest first, the first shingle that they share is then among the first x - a + 1 of the one and y - a + 1
+    of the other. So sets meet through their rarest shingles alone, and pages of one template, whose own words are rarer
+    than the template's, never meet unless they are that similar. Sizes are classed finely, as the bound needs both: a set
+    stands under each class that its partner may have, with the shingles that this class leaves. Shingles of sets in one
+    component only are left out, as these needn't meet.
     """
 
     def make():
@@ -318,10 +320,11 @@ def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str
         return work
 
     texts = _texts_of(sets.select("sid"), rows, docs, id_col, text_col)
-    held = materialize(map_texts(texts, {}, "sid long, grams array<long>", make).select("sid", F.explode("grams").alias("gram")), "grams")
-    often = held.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("n", F.lit(1)), "gram"))
-    placed = held.join(often, "gram", "left").withColumn("place", place).where("n is not null").drop("n").join(sets, "sid")
+    held = map_texts(texts, {}, "sid long, grams array<long>", make).join(sets, "sid").select("sid", "size", "root", F.explode("grams").alias("gram"))
+    held = materialize(held, "grams")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("n", F.lit(1)), "gram")).cast("int")
+    placed = held.drop("root").join(often, "gram", "left").withColumn("place", place).where("apart").drop("n", "apart")
     share, step = similarity / (1 + similarity), math.log(SIZE_STEP)
     reach = math.ceil(-math.log(similarity) / step) + 1
     own_class = F.floor(F.log("size") / step).cast("int")
@@ -329,27 +332,61 @@ def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str
     # A little is taken off each bound, so that rounding never loses a pair; the exact test follows the join.
     least = F.greatest(F.lit(1.0), F.exp(F.col("partner") * step) * (1 - 1e-9))
     spread = placed.select("*", own_class.alias("class"), partner).where(F.col("place") <= F.floor(F.col("size") + 1 - share * (F.col("size") + least) + 1e-6))
-    key = ["gram", "low", "high"]
-    spread = spread.select("gram", F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high"), "sid", "size", "root", "place", "class")
-    spread = materialize(spread, "spread")
-    roots = spread.groupBy(*key, "root").agg(F.count("*").alias("n"))
-    main = roots.groupBy(*key).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rest = materialize(spread.join(main, key), "rest")
-    a, b = (rest.select(*key, "main", *(F.col(c).alias(f"{c}_{n}") for c in ("sid", "size", "root", "place", "class"))) for n in "uv")
-    need = share * (F.col("size_u") + F.col("size_v")) - 1e-6
-    pairs = a.where("root_u <> main").join(b.drop("main"), key).where("root_u <> root_v and (low = high or class_u <> class_v)")
-    pairs = pairs.where((F.col("place_u") <= F.col("size_u") + 1 - need) & (F.col("place_v") <= F.col("size_v") + 1 - need))
-    found = materialize(pairs.select(F.greatest("sid_u", "sid_v").alias("u"), F.least("sid_u", "sid_v").alias("v")).distinct(), "pairs")
-    discard(held, spread, rest)
-    return found
+    key = F.xxhash64("gram", F.least("class", "partner"), F.greatest("class", "partner")).alias("key")
+    spread = materialize(spread.select(key, "sid", F.col("size").cast("int").alias("size"), "place", "class", "partner"), "spread")
+    discard(held)
+    return spread
+
+
+def _apart(spread: DataFrame, roots: DataFrame) -> DataFrame:
+    """spread with the sets' roots (sid, root) and each key's most frequent one, where sets of a key are in several components."""
+    rooted = spread.join(roots, "sid")
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("sets"), F.count("*").alias("roots"))
+    return materialize(rooted.join(main.where("roots > 1").drop("roots"), "key"), "rest")
+
+
+def _can_be_similar(similarity: float) -> Column:
+    """Of two of those rows, _u and _v, under one key: the exact test of sizes and places, and other components."""
+    need = similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    fits = (F.col("place_u") <= F.col("size_u") + 1 - need) & (F.col("place_v") <= F.col("size_v") + 1 - need)
+    return fits & (F.col("root_u") != F.col("root_v")) & (F.col("partner_u") == F.col("class_v"))
+
+
+_SIDE = ("sid", "size", "root", "place", "class", "partner")
+
+
+def _neighbour_pairs(rest: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): under each key each set and the NEIGHBOURS next ones, in an order of the key's own and in parts of bounded size."""
+    part = F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("sets") / PART_SETS))
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("key", "sid"), "sid")
+    ahead = F.array(*(F.lead(F.struct(*_SIDE), k).over(order) for k in range(1, NEIGHBOURS + 1)))
+    pairs = rest.withColumn("part", part).withColumn("ahead", ahead).select(*(F.col(c).alias(f"{c}_u") for c in _SIDE), F.explode("ahead").alias("x")).where("x is not null")
+    pairs = pairs.select("*", *(F.col(f"x.{c}").alias(f"{c}_v") for c in _SIDE)).where(_can_be_similar(similarity))
+    return pairs.select(F.greatest("sid_u", "sid_v").alias("u"), F.least("sid_u", "sid_v").alias("v"))
+
+
+def _all_pairs(rest: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs in different components that can have the similarity; those of a key's most frequent component
+    are not paired with each other."""
+    a, b = (rest.select("key", "main", *(F.col(c).alias(f"{c}_{n}") for c in _SIDE)) for n in "uv")
+    pairs = a.where("root_u <> main").join(b.drop("main"), "key").where(_can_be_similar(similarity))
+    return pairs.select(F.greatest("sid_u", "sid_v").alias("u"), F.least("sid_u", "sid_v").alias("v")).distinct()
+
+
+def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(u, v): all pairs of sets (sid, size, root) in different components that can have the similarity."""
+    spread = _prefix_rows(sets, rows, docs, id_col, text_col, width, similarity)
+    return _all_pairs(_apart(spread, sets.select("sid", "root")), similarity)
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(u, v) links of fp and sid of ``sketches`` rows: texts that share either, or whose shingle sets are similar enough.
 
     Each set is first compared with the smallest of every band that it shares, which joins most of a large group of
-    near-copies. Sets that share two bands with ones in other components then meet through a prefix filter. Pairs of
-    which too few min-hashes agree are left out before the full comparison.
+    near-copies. Sets that share two bands with ones in other components then meet through a prefix filter: first each
+    with a few neighbours, which joins most of what is left of such a group, then all that are still apart. Pairs of which
+    too few min-hashes agree are left out before the full comparison.
     """
     units = materialize(rows.groupBy("fp", "sid").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "units")
     same = units.select(F.col("fp").alias("u"), F.col("sid").alias("v")).unionByName(links(units.select("fp").distinct()))
@@ -373,24 +410,28 @@ def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         discard(same, tried, fresh, agreed, found)
         same, tried = both, seen
 
-    def split(table: DataFrame) -> DataFrame:
-        """Its rows, with their component and the key's largest one, of keys whose members are in more than one."""
+    def rooted() -> DataFrame:
+        """(sid, root) of all that have a link."""
         roots = connected_components(same)
-        named = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
-        rooted = materialize(table.select("sid", "size", "key").join(named, "sid"), "rooted")
-        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        apart = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        rest = materialize(rooted.join(apart, "key"), "rest")
-        discard(roots, rooted)
-        return rest
+        named = materialize(roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct(), "rooted")
+        discard(roots)
+        return named
 
     stars = shared.where(F.col("sid") != F.col("c.sid")).where(near(F.col("size"), F.col("c.size")))
     compare(stars.select(F.greatest("sid", "c.sid").alias("u"), F.least("sid", "c.sid").alias("v")))
-    ones = split(shared)
-    left = materialize(ones.groupBy("sid").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"), "left")
-    pairs = _prefix_pairs(left, rows, docs, id_col, text_col, width, similarity)
-    compare(pairs)
-    discard(sigs, shared, ones, left, pairs, tried)
+    roots = rooted()
+    ones = shared.select("sid", "size", "key").join(roots, "sid")
+    apart = ones.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("key")
+    left = ones.join(apart, "key").groupBy("sid").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
+    left = materialize(left, "left")
+    spread = _prefix_rows(left, rows, docs, id_col, text_col, width, similarity)
+    rest = _apart(spread, roots)
+    compare(_neighbour_pairs(rest, similarity))
+    discard(roots, rest)
+    roots = rooted()
+    rest = _apart(spread, roots)
+    compare(_all_pairs(rest, similarity))
+    discard(sigs, shared, left, spread, roots, rest, tried)
     return same
 
 
