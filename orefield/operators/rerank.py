@@ -12,19 +12,25 @@ from orefield.session import materialize
 FORMULA = r"\b((?:[A-Z][a-z]?\d*){2,})\b"
 
 
-def rerank_score(query: Column, text: Column) -> Column:
-    """A sigmoid of .5 recall + .3 Jaccard + .2 phrase + .4 per registry number + .25 per formula of the query."""
-    q, t = T.tokens(query), T.tokens(text)
+def rerank_score(query: Column, text: Column, asked: Column | None = None, held: Column | None = None) -> Column:
+    """A sigmoid of .5 recall + .3 Jaccard + .2 phrase + .4 per registry number + .25 per formula of the query.
+
+    ``asked`` and ``held`` are the distinct words of query and text, where they are columns already.
+    """
+    q, t = T.tokens(query) if asked is None else asked, T.tokens(text) if held is None else held
     shared = F.size(F.array_intersect(q, t))
     hit = lambda pattern, weight: F.lit(weight) * F.size(F.filter(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)), lambda x: F.contains(text, x)))
-    score = 0.5 * shared / F.size(q) + 0.3 * shared / F.greatest(F.size(F.array_union(q, t)), F.lit(1))
+    score = 0.5 * shared / F.size(q) + 0.3 * shared / F.greatest(F.size(q) + F.size(t) - shared, F.lit(1))
     score = score + F.when(F.contains(F.lower(text), F.lower(query)), 0.2).otherwise(0.0) + hit(CAS, 0.4) + hit(FORMULA, 0.25)
     return F.when(F.size(q) == 0, 0.0).otherwise(F.round(1 / (1 + F.exp(-2.5 * (score - 0.5))), 4))
 
 
 def rerank(candidates: DataFrame, pool: int = 50, top: int = 10) -> DataFrame:
     """candidates (query_id, id, query, text, retrieval_score, rank) -> the pool's best by score, then by both ties."""
-    scored = candidates.where(F.col("rank") <= pool).withColumnRenamed("rank", "pre_rank").withColumn("score", rerank_score(F.col("query"), F.col("text")))
+    pooled = candidates.where(F.col("rank") <= pool).withColumnRenamed("rank", "pre_rank")
+    # Written with their words, so that the score names columns and no text is tokenised more than once for a query.
+    words = materialize(pooled.withColumns({"_asked": T.tokens("query"), "_held": T.tokens("text")}), "pool")
+    scored = words.withColumn("score", rerank_score(F.col("query"), F.col("text"), F.col("_asked"), F.col("_held"))).drop("_asked", "_held")
     return rank(scored, F.desc("score"), F.desc("retrieval_score"), F.col("id").cast("string")).where(F.col("rank") <= top)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orefield.plans import chemistry, documents, fulltext, operations, relational, safety, search  # noqa: F401
+from orefield.plans import chemistry, documents, fulltext, operations, relational, safety, search, services  # noqa: F401
 from orefield.plans.registry import QUERIES, SQL, Query
 
 
