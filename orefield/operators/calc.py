@@ -80,6 +80,7 @@ def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
+# Patterns of the calculation parser.
 YIELD = r"actual\s*(?:yield)?\s*[:=]?\s*([\d.]+)\s*g?.*theoretical\s*(?:yield)?\s*[:=]?\s*([\d.]+)\s*g?"
 MOLES = r"([\d.]+)\s*(?:g|grams)\b.*(?:mw|molecular weight|mol wt)\s*[:=]?\s*([\d.]+)"
 CONVERT = r"convert\s+([\d.]+)\s*([a-z°]+)\s+(?:to|in)\s+([a-z°]+)"

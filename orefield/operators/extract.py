@@ -38,6 +38,7 @@ GENRES = {
         r"\bcontract\s*(?:no\.?|number|#)\b": 2.0, r"\bprepared\s+for\b": 1.5,
     },
 }
+# The parser of each genre.
 PARSERS = {"research_paper": "grobid_parser", "textbook": "textbook_parser", "experimental_report": "experimental_parser", "sop": "sop_parser", "sds": "sds_parser", "technical_report": "tech_report_parser", "unknown": "generic_parser"}
 
 
@@ -52,7 +53,9 @@ def genre_scores(text: Column, filename: Column, pages: Column) -> Column:
             total = total + F.lit(weight) * F.least(F.size(F.regexp_extract_all(both, F.lit(f"({pattern})"), F.lit(1))), F.lit(3))
         score[genre] = total
     score["textbook"] = score["textbook"] + F.when(pages > 100, 4.0).otherwise(0.0)
-    score["sds"] = score["sds"] + F.when((pages <= 16) & (score["sds"] > 2.0), 2.0).otherwise(0.0) + F.when(F.contains(name, F.lit("sds")), 3.0).otherwise(0.0)
+    # A lambda's argument is computed once, however often it is named.
+    short = F.get(F.transform(F.array(score["sds"]), lambda s: s + F.when((pages <= 16) & (s > 2.0), 2.0).otherwise(0.0)), F.lit(0))
+    score["sds"] = short + F.when(F.contains(name, F.lit("sds")), 3.0).otherwise(0.0)
     score["sop"] = score["sop"] + F.when(F.contains(name, F.lit("sop")), 3.0).otherwise(0.0)
     score["technical_report"] = score["technical_report"] + F.when(F.contains(name, F.lit("report")), 1.5).otherwise(0.0)
     return F.struct(*(s.alias(g) for g, s in score.items()))
@@ -194,6 +197,7 @@ SYMBOLS = {
     "±": r"\pm", "∓": r"\mp", "×": r"\times", "÷": r"\div", "·": r"\cdot", "°": r"^\circ", "≈": r"\approx", "≠": r"\neq", "≤": r"\leq", "≥": r"\geq", "→": r"\rightarrow",
     "⇌": r"\rightleftharpoons", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∂": r"\partial", "∞": r"\infty", "Å": r"\text{\AA}",
 }
+# Patterns of the equation detector.
 EQUATION_NUMBER = r"\((?:\d+|[A-Z]\d*|\b[iIvVxX]+\b)\)\s*$"
 OPERATOR = r"[=<>±≈≠≤≥⇌→]\s*"
 LATEX = r"(\$\$.*?\$\$|\$.*?\$|\\\[.*?\\\]|\\\(.*?\\\))"

@@ -1,11 +1,11 @@
-"""Embedding batches, the object store and the progress stream over whole tables."""
+"""Embedding batches, the object store, the progress stream, citations and contexts over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.operators import embedding
+from orefield.operators import citations, embedding, evaluate, rerank
 from orefield.plans.registry import query, views
 from orefield.session import materialize, scratch_path, ship
 from orefield.sources import store
@@ -57,3 +57,55 @@ def run_progress(spark: SparkSession, sf: str) -> DataFrame:
     progress.upsert_sink(progress.progress(rows, STAGES), path, scratch_path(spark, "progress-state")).awaitTermination()
     out = progress.latest(spark, path)
     return out.select("run", F.coalesce("stage", F.lit("")).alias("stage"), "n_events", F.unix_micros("last_ts").alias("last_us"), "progress", "finished")
+
+
+@query(
+    """SELECT doc_id, trim(coalesce(nullif(left(text, doc_id % 3 * 40), ''), nullif(left(text, doc_id % 2 * 20), ''), text)) AS raw_text, coalesce(nullif(CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END, ''), 'Scientific Document') AS document_title,
+      CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 ELSE n_chars END AS bbox, round(n_chars / 7.0::DOUBLE, 4) AS confidence FROM documents"""
+)
+def citation_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    (docs,) = views(spark, sf, "documents")
+    text = F.col("text")
+    fields = {
+        "display_text": F.substr(text, F.lit(1), (F.col("doc_id") % 3 * 40).cast("int")),
+        "retrieval_text": F.substr(text, F.lit(1), (F.col("doc_id") % 2 * 20).cast("int")),
+        "content": text,
+        "title": F.when(F.col("doc_id") % 4 > 0, F.col("source")).otherwise(""),
+        "bbox": F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 5),
+        "meta_bbox": F.col("n_chars"),
+        "score": F.col("n_chars") / 7.0,
+    }
+    return docs.select("doc_id", citations.metadata(fields).alias("m")).select("doc_id", "m.*")
+
+
+@query(
+    """SELECT avg(CASE WHEN n_chars >= 100 THEN 1 ELSE 0 END) AS long_enough, avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, count(*) AS n_cases FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def suite_pass_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = views(spark, sf, "documents", "labels")
+    cases = docs.select("doc_id", "n_chars").join(labels, "doc_id", "left")
+    return evaluate.pass_ratios(cases, {"long_enough": F.col("n_chars") >= 100, "good": F.col("quality") == 1})
+
+
+@query(
+    """WITH c AS (SELECT doc_id % 40 AS query_id, doc_id AS id, n_chars, text, source, lang, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars, doc_id) AS pos FROM documents QUALIFY pos <= 3),
+    b AS (SELECT query_id, pos, '### Source [' || pos || ']: ' || source || ' | Section: ' || lang || ' | Page: ' || n_chars % 9 || chr(10) || trim(text) || chr(10) AS block FROM c)
+    SELECT query_id, sha256(string_agg(block, chr(10) ORDER BY pos)) AS context_sha256 FROM b GROUP BY query_id"""
+)
+def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The three shortest documents of each query as one context, whole texts."""
+    (docs,) = views(spark, sf, "documents")
+    chunks = docs.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("id"), (-F.col("n_chars")).alias("score"), "text", F.col("source").alias("title"), F.col("lang").alias("section"), (F.col("n_chars") % 9).alias("page"))
+    packed = rerank.pack_context(chunks, max_tokens=1 << 30, reserve=0, max_chunks=3)
+    return rerank.context_blocks(packed, chunks).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query(
+    """SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM documents WHERE n_chars > 500)
+    UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)"""
+)
+def id_set_operations(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = views(spark, sf, "documents", "labels")
+    both = labels.where("quality = 1").select("doc_id").intersect(docs.where("n_chars > 500").select("doc_id"))
+    rest = docs.select("doc_id").subtract(labels.select("doc_id"))
+    return both.select(F.lit("both").alias("kind"), "doc_id").unionByName(rest.select(F.lit("unlabelled").alias("kind"), "doc_id"))
