@@ -1,10 +1,12 @@
 """Licence scans through a positional index of rare words; DataFrame functions only.
 
 Each template has a mandatory phrase. Its two rarest words, by inverse document frequency over all texts, are its
-postings, each with its position in the template. A file is looked up by the anchor words that it holds, the rarest
-first: templates of which it holds both words are candidates, the positions of both words, each less its position in the
-template, are intersected, and where they agree the phrase must stand in full and enough of the template's words must be
-at their places. Wherever a phrase stands, both its words stand too, so no place is missed.
+postings, each with its position in the template. The index is a map from a template's rarest word to the postings of all
+templates that have it so. A file looks up its own words in that map, those of the highest inverse document frequency
+first; a file without such a word reads no posting. Of the templates found, those of which the file holds the next rarest
+word too remain, the positions of both words, each less its position in the template, are intersected, and where they
+agree the phrase must stand in full and enough of the template's words must be at their places. Wherever a phrase stands,
+both its words stand too, so no place is missed.
 """
 
 from __future__ import annotations
@@ -348,6 +350,19 @@ def _postings(idf: dict[str, float]) -> list[dict]:
     return sorted(out, key=lambda x: -idf[x["rare"]])
 
 
+def _index(postings: list[dict]) -> tuple[Column, Column]:
+    """(rarest word -> its templates' postings, rarest word -> its rank, 0 being the rarest) as map literals."""
+    names = ("base", "label", "rare", "next", "inside", "at_rare", "at_next")
+    by_word: dict[str, list[Column]] = {}
+    for p in postings:
+        entry = F.struct(*(F.lit(p[k]).alias(k) for k in names), _strings(p["phrase"]).alias("phrase"), _strings(p["notice"]).alias("notice"))
+        by_word.setdefault(p["rare"], []).append(entry)
+    return (
+        F.create_map(*(c for w, entries in by_word.items() for c in (F.lit(w), F.array(*entries)))),
+        F.create_map(*(F.lit(x) for rank, w in enumerate(by_word) for x in (w, rank))),
+    )
+
+
 FOUND = "array<struct<base:boolean,label:string,start:bigint,share:double>>"
 
 
@@ -356,18 +371,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: d
 
     places are those of the base phrases, notices those of the method, by start; starts count words from 0, those of
     notices may lie before the text. Null and empty texts have no words; rows that repeat are told alike; of equally rare
-    words the first in the phrase is taken, which changes no result. The templates are part of each row's expression:
+    words the first in the phrase is taken, which changes no result. The index is a literal of each row's expression:
     nothing is joined or shuffled.
     """
     idf = idf or document_frequencies(docs, text_col)
     postings = _postings(idf)
     anchors = sorted({p[k] for p in postings for k in ("rare", "next")})
-    names = ("base", "label", "rare", "next", "inside", "at_rare", "at_next")
-    index = F.array(*(F.struct(*(F.lit(p[k]).alias(k) for k in names), _strings(p["phrase"]).alias("phrase"), _strings(p["notice"]).alias("notice")) for p in postings))
+    index, rank = _index(postings)
+    rare = sorted({p["rare"] for p in postings})
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
     # The file's own postings: anchor words and where they stand.
     rows = rows.withColumn("hits", F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("word"), i.alias("at"))))))
     rows = rows.withColumn("own", F.array_distinct("hits.word"))
+    # Those of its words by which templates are found, the rarest first.
+    ranked = F.transform(F.filter("own", lambda w: w.isin(rare)), lambda w: F.struct(rank[w].alias("rank"), w.alias("word")))
+    rows = rows.withColumn("asked", F.sort_array(ranked)["word"])
 
     def starts(word: Column, inside: Column) -> Column:
         """Where the phrase would begin for each place of this word."""
@@ -386,9 +404,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: d
         agreed = F.array_intersect(starts(p["rare"], p["at_rare"]), starts(p["next"], p["at_next"]))
         return F.transform(F.filter(agreed, lambda at: stands(p, at)), lambda at: place(p, at))
 
-    candidates = F.filter(index, lambda p: F.array_contains(F.col("own"), p["rare"]) & F.array_contains(F.col("own"), p["next"]))
+    candidates = F.filter(F.flatten(F.transform("asked", lambda w: index[w])), lambda p: F.array_contains(F.col("own"), p["next"]))
     found = F.flatten(F.transform(candidates, looked_up))
-    rows = rows.withColumn("found", F.when(F.size("own") > 1, found).otherwise(F.array().cast(FOUND)))
+    rows = rows.withColumn("found", F.when((F.size("asked") > 0) & (F.size("own") > 1), found).otherwise(F.array().cast(FOUND)))
     order = lambda x: F.struct(x["start"].alias("start"), x["label"].alias("label"), x["share"].alias("share"))
     return rows.select(
         "doc_id",

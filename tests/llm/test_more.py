@@ -332,3 +332,16 @@ def test_word_numbers_are_those_of_plain_words():
     tokens, lows, ends = decontaminate.padded(numbers, counts)
     assert all((tokens[a:b] == part).all() for a, b, part in zip(lows, ends, np.split(numbers, np.cumsum(counts)[:-1])))
     assert np.count_nonzero(tokens) == len(numbers)
+
+
+def test_licenses_are_found_alike_whatever_word_is_rarest(spark):
+    """With ties everywhere, and with every order of the words' rarity, other words look the templates up; places stay."""
+    texts = [n for _, n, _ in licenses.BASE + licenses.NOTICES] + ["all rights all rights reserved cc cc by by", "license", "by", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = licenses.vocabulary()
+    weights = ({w: 1.0 for w in words}, {w: float(i) for i, w in enumerate(words)}, {w: -float(i) for i, w in enumerate(words)})
+    asked = [{p["rare"] for p in licenses._postings(idf)} for idf in weights]
+    assert asked[0] != asked[1] != asked[2]
+    want = sorted(map(repr, licenses.digest(licenses.scan(docs)).collect()))
+    for idf in weights:
+        assert sorted(map(repr, licenses.digest(licenses.scan(docs, idf=idf)).collect())) == want
