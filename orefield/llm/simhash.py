@@ -297,7 +297,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def _prefix_rows(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(key, sid, size, place, class, partner) of sets (sid, size, root): the shingles through which sets can meet.
+    """(key, sid, size, root, place, class, partner) of sets (sid, size, root): the shingles through which sets can meet.
 
     Two sets of sizes x and y have the similarity s if they share at least a = s / (1 + s) * (x + y) shingles. Put in one
     order, the rarest first, the first shingle that they share is then among the first x - a + 1 of the one and y - a + 1
@@ -324,7 +324,7 @@ def _prefix_rows(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     held = materialize(held, "grams")
     often = held.groupBy("gram").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart")).where("n > 1")
     place = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("n", F.lit(1)), "gram")).cast("int")
-    placed = held.drop("root").join(often, "gram", "left").withColumn("place", place).where("apart").drop("n", "apart")
+    placed = held.join(often, "gram", "left").withColumn("place", place).where("apart").drop("n", "apart")
     share, step = similarity / (1 + similarity), math.log(SIZE_STEP)
     reach = math.ceil(-math.log(similarity) / step) + 1
     own_class = F.floor(F.log("size") / step).cast("int")
@@ -333,17 +333,28 @@ def _prefix_rows(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     least = F.greatest(F.lit(1.0), F.exp(F.col("partner") * step) * (1 - 1e-9))
     spread = placed.select("*", own_class.alias("class"), partner).where(F.col("place") <= F.floor(F.col("size") + 1 - share * (F.col("size") + least) + 1e-6))
     key = F.xxhash64("gram", F.least("class", "partner"), F.greatest("class", "partner")).alias("key")
-    spread = materialize(spread.select(key, "sid", F.col("size").cast("int").alias("size"), "place", "class", "partner"), "spread")
+    spread = materialize(spread.select(key, "sid", F.col("size").cast("int").alias("size"), "root", "place", "class", "partner"), "spread")
     discard(held)
     return spread
 
 
-def _apart(spread: DataFrame, roots: DataFrame) -> DataFrame:
-    """spread with the sets' roots (sid, root) and each key's most frequent one, where sets of a key are in several components."""
-    rooted = spread.join(roots, "sid")
-    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("sets"), F.count("*").alias("roots"))
-    return materialize(rooted.join(main.where("roots > 1").drop("roots"), "key"), "rest")
+def _apart(spread: DataFrame) -> DataFrame:
+    """The rows of keys whose sets are in several components and of which two can be partners, with the number of the
+    key's sets and its most frequent root, main."""
+    counts = spread.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.least("class", "partner")).alias("one"), F.max(F.greatest("class", "partner")).alias("other"))
+    main = counts.groupBy("key").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"),
+        F.sum("n").alias("sets"),
+        F.count("*").alias("roots"),
+        # The key names both classes; sets of both must be there, or of the one that is its own partner.
+        ((F.min("low") == F.min("one")) & (F.max("high") == F.max("other"))).alias("met"),
+    )
+    return materialize(spread.join(main.where("roots > 1 and met").drop("roots", "met"), "key"), "rest")
+
+
+def _with_roots(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """rest with the sets' present roots (sid, root). Components only grow, so other keys than these never matter again."""
+    return rest.drop("root", "main", "sets").join(roots, "sid")
 
 
 def _can_be_similar(similarity: float) -> Column:
@@ -377,7 +388,7 @@ def _all_pairs(rest: DataFrame, similarity: float) -> DataFrame:
 def _prefix_pairs(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(u, v): all pairs of sets (sid, size, root) in different components that can have the similarity."""
     spread = _prefix_rows(sets, rows, docs, id_col, text_col, width, similarity)
-    return _all_pairs(_apart(spread, sets.select("sid", "root")), similarity)
+    return _all_pairs(_apart(spread), similarity)
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -425,13 +436,14 @@ def similar_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     left = ones.join(apart, "key").groupBy("sid").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
     left = materialize(left, "left")
     spread = _prefix_rows(left, rows, docs, id_col, text_col, width, similarity)
-    rest = _apart(spread, roots)
+    rest = _apart(spread)
+    discard(roots, shared, left, spread)
     compare(_neighbour_pairs(rest, similarity))
-    discard(roots, rest)
     roots = rooted()
-    rest = _apart(spread, roots)
-    compare(_all_pairs(rest, similarity))
-    discard(sigs, shared, left, spread, roots, rest, tried)
+    last = _apart(_with_roots(rest, roots))
+    discard(roots, rest)
+    compare(_all_pairs(last, similarity))
+    discard(sigs, last, tried)
     return same
 
 
