@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,41 @@ GENRES = {
 PARSERS = {"research_paper": "grobid_parser", "textbook": "textbook_parser", "experimental_report": "experimental_parser", "sop": "sop_parser", "sds": "sds_parser", "technical_report": "tech_report_parser", "unknown": "generic_parser"}
 
 
+def needed_word(pattern: str) -> str:
+    """The longest run of letters and digits that every match of a signal holds; empty if there is none.
+
+    Groups, classes and optional characters are taken out first, so what is left stands in each match."""
+    plain = re.sub(r"\(\?:[^()]*\)[?*]?", " ", pattern)
+    plain = re.sub(r"\[[^\]]*\]|\{[^}]*\}|\\[a-zA-Z][?*+]?|.[?*]", " ", plain)
+    return max(re.findall(r"[a-z0-9]+", plain), key=len, default="")
+
+
 def genre_scores(text: Column, filename: Column, pages: Column) -> Column:
     """struct of a score for each genre: weighted signals, each counted three times at most, plus page and name clues."""
     both = F.lower(F.concat(F.coalesce(filename, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
     name = F.lower(F.coalesce(filename, F.lit("")))
-    score = {}
-    for genre, signals in GENRES.items():
-        total = F.lit(0.0)
-        for pattern, weight in signals.items():
-            total = total + F.lit(weight) * F.least(F.size(F.regexp_extract_all(both, F.lit(f"({pattern})"), F.lit(1))), F.lit(3))
-        score[genre] = total
-    score["textbook"] = score["textbook"] + F.when(pages > 100, 4.0).otherwise(0.0)
+
+    def counted(lowered: Column) -> Column:
+        """Weighted sums; a signal is counted only where its word stands, which a plain search finds out."""
+        sums = []
+        for genre, signals in GENRES.items():
+            total = F.lit(0.0)
+            for pattern, weight in signals.items():
+                n = F.least(F.size(F.regexp_extract_all(lowered, F.lit(f"({pattern})"), F.lit(1))), F.lit(3))
+                word = needed_word(pattern)
+                total = total + F.lit(weight) * (F.when(F.contains(lowered, F.lit(word)), n).otherwise(0) if word else n)
+            sums.append(total.alias(genre))
+        return F.struct(*sums)
+
     # A lambda's argument is computed once, however often it is named.
-    short = F.get(F.transform(F.array(score["sds"]), lambda s: s + F.when((pages <= 16) & (s > 2.0), 2.0).otherwise(0.0)), F.lit(0))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return once(once(both, counted), lambda sums: _with_clues(sums, name, pages))
+
+
+def _with_clues(sums: Column, name: Column, pages: Column) -> Column:
+    score = {g: sums[g] for g in GENRES}
+    score["textbook"] = score["textbook"] + F.when(pages > 100, 4.0).otherwise(0.0)
+    short = score["sds"] + F.when((pages <= 16) & (score["sds"] > 2.0), 2.0).otherwise(0.0)
     score["sds"] = short + F.when(F.contains(name, F.lit("sds")), 3.0).otherwise(0.0)
     score["sop"] = score["sop"] + F.when(F.contains(name, F.lit("sop")), 3.0).otherwise(0.0)
     score["technical_report"] = score["technical_report"] + F.when(F.contains(name, F.lit("report")), 1.5).otherwise(0.0)

@@ -74,3 +74,18 @@ def audit_rows(results: DataFrame, query_text: str = "query") -> tuple[DataFrame
 def index_statistics(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(documents, "documents").crossJoin(one(chunks, "chunks")).crossJoin(one(embeddings, "embeddings"))
+
+
+# Of each provider the part of its keys before the identifier (None: the identifier's kind), and whether
+# identifiers are trimmed and lower-cased; the others are hashes of queries.
+CACHE_KEYS = {"pubchem": (None, True), "crossref": ("doi", True), "europepmc": ("query", False), "ncbi": ("", True), "semanticscholar": ("", False)}
+
+
+def cache_key(provider: Column, kind: Column, identifier: Column, prefix: str) -> Column:
+    """``prefix:provider:part:identifier``, without an empty part; null for unknown providers and null identifiers."""
+    clean = F.lower(F.regexp_replace(identifier, r"^\s+|\s+$", ""))
+    key = F.lit(None).cast("string")
+    for name, (part, cleaned) in CACHE_KEYS.items():
+        middle = F.concat(kind, F.lit(":")) if part is None else F.lit(f"{part}:" if part else "")
+        key = F.when(provider == name, F.concat(F.lit(f"{prefix}:{name}:"), middle, clean if cleaned else identifier)).otherwise(key)
+    return key

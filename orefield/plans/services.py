@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.operators import citations, embedding, evaluate, rerank
-from orefield.plans.registry import query, views
+from orefield.operators import citations, embedding, evaluate, experiments, extract, ops, rerank
+from orefield.plans.documents import TWO
+from orefield.plans.registry import SQL, query, views
 from orefield.session import materialize, scratch_path, ship
 from orefield.sources import store
 from orefield.streaming import progress
@@ -109,3 +110,61 @@ def id_set_operations(spark: SparkSession, sf: str) -> DataFrame:
     both = labels.where("quality = 1").select("doc_id").intersect(docs.where("n_chars > 500").select("doc_id"))
     rest = docs.select("doc_id").subtract(labels.select("doc_id"))
     return both.select(F.lit("both").alias("kind"), "doc_id").unionByName(rest.select(F.lit("unlabelled").alias("kind"), "doc_id"))
+
+
+# Filters of the listing.
+ASKED = {"thf": {"solvent": "tHf"}, "pd": {"catalyst": "PD/"}, "none": {"solvent": "none"}, "phenol": {"chemical": "Phenol"}, "role": {"chemical": "'role': 'product'"}, "bar": {"chemical": "'pressure_bar': 1.5"}}
+
+
+def _names_sql(c: str, role: str) -> str:
+    return f"list_transform(list_filter(string_split({c}, ','), lambda x: x <> ''), lambda x: '{{''role'': ''{role}'', ''name'': ''' || x || '''}}')"
+
+
+def _listing_sql() -> str:
+    shown = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'None')"
+    quoted = lambda c: f"coalesce('''' || {c} || '''', 'None')"
+    texts = {"solvent": shown("solvent"), "catalyst": shown("catalyst"), "chemical": "everything"}
+    parts = []
+    for name, filters in ASKED.items():
+        ((kind, value),) = filters.items()
+        literal = value.replace("'", "''")
+        parts.append(f"SELECT '{name}' AS asked, * EXCLUDE (everything) FROM r WHERE contains(lower({texts[kind]}), lower('{literal}'))")
+    markers = ", ".join(repr(m) for m in extract.MARKERS)
+    return f"""WITH x AS ({SQL["experiment_extract"]}),
+    t AS (SELECT p_partkey, list_filter(list_transform(string_split({TWO}, chr(10) || chr(10)), lambda x: trim(x)), lambda x: len(x) > 30 AND len(list_filter([{markers}], lambda w: contains(lower(x), w))) > 0) AS ps FROM part),
+    r AS (SELECT x.p_partkey AS document_id, x.p_partkey * 100 + paragraph AS id, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(x.p_partkey % 365 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS created_at,
+      coalesce(nullif(CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END, ''), 'Scientific Paper') AS document_title, ps[paragraph + 1] AS description, temperature, solvent, catalyst, confidence,
+      ps[paragraph + 1] || ' [' || array_to_string(list_concat({_names_sql("reactants", "reactant")}, {_names_sql("products", "product")}), ', ') || '] {{''temperature_celsius'': ' || {shown("temperature")} || ', ''pressure_bar'': ' || {shown("pressure")}
+        || ', ''solvent'': ' || {quoted("solvent")} || ', ''catalyst'': ' || {quoted("catalyst")} || ', ''reaction_time_hours'': ' || {shown("hours")} || '}}' AS everything
+      FROM x JOIN t USING (p_partkey) JOIN documents ON doc_id = x.p_partkey)
+    {" UNION ALL ".join(parts)}"""
+
+
+@query(_listing_sql())
+def experiment_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Experiments extracted from all procedures, listed with their documents under each filter."""
+    part, docs = views(spark, sf, "part", "documents")
+    key = F.col("p_partkey")
+    made = extract.experiments(part.select("p_partkey", F.expr(TWO).alias("text")))
+    created = F.timestamp_add("DAY", (key % 365).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    made = made.select(key.alias("document_id"), (key * 100 + F.col("paragraph")).cast("long").alias("id"), created.alias("created_at"), *made.columns[2:])
+    titles = docs.select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 4 > 0, F.col("source")).otherwise("").alias("title"))
+    out = None
+    for name, filters in ASKED.items():
+        found = experiments.listing(made, titles, **filters).withColumns({"asked": F.lit(name), "created_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")})
+        found = found.select("asked", "document_id", "id", "created_at", "document_title", "description", "temperature", "solvent", "catalyst", "confidence")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    """WITH d AS (SELECT doc_id, '  ' || upper(source) || lang || ' ' AS i, sha256(coalesce(text, '')) AS h FROM documents)
+    SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'cache:pubchem:name:' || trim(lower(i)) WHEN 1 THEN 'cache:crossref:doi:' || trim(lower(i)) WHEN 2 THEN 'cache:europepmc:query:' || h
+      WHEN 3 THEN 'cache:ncbi:' || trim(lower(i)) WHEN 4 THEN 'cache:semanticscholar:' || h END AS key FROM d"""
+)
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    (docs,) = views(spark, sf, "documents")
+    n = F.col("doc_id") % 6
+    provider = F.element_at(F.array(*map(F.lit, [*ops.CACHE_KEYS, "unknown"])), (n + 1).cast("int"))
+    identifier = F.when(n.isin(2, 4), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(F.concat(F.lit("  "), F.upper("source"), "lang", F.lit(" ")))
+    return docs.select("doc_id", ops.cache_key(provider, F.lit("name"), identifier, "cache").alias("key"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import random
+import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from orefield.functions import vectors as V
-from orefield.operators import embedding
+from orefield.operators import embedding, experiments, extract, ops
 from orefield.sources import store
 from orefield.streaming import progress
 
@@ -101,3 +104,47 @@ def test_progress_survives_a_restart_and_a_replay(spark, tmp_path):
     if ".1.crc" in last:
         os.remove(f"{state}/commits/.1.crc")
     assert go() == want
+
+
+def test_experiment_listing_filters_and_fallbacks(spark):
+    schema = "document_id long, id long, created_at timestamp, description string, temperature double, pressure double, solvent string, catalyst string, hours double, reactants array<string>, products array<string>, confidence double"
+    day = lambda n: datetime(2024, 1, n)
+    rows = [
+        (1, 10, day(1), "heated", 25.0, None, "THF", None, None, ["Benzene"], ["Phenol"], 0.88),
+        (1, 11, day(3), None, None, None, None, "Pd/C", 2.0, None, [], None),
+        (2, 12, day(2), "stirred", None, 1.5, "water", None, None, [], [], 0.0),
+        (9, 13, day(4), "of an unknown document", None, None, "THF", None, None, [], [], 0.7),
+    ]
+    made = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([(1, "One"), (2, None)], "document_id long, title string")
+    ids = lambda **f: [r.id for r in experiments.listing(made, docs, **f).collect()]
+    assert ids() == [11, 12, 10] and ids(limit=1) == [11] and ids(solvent="") == [11, 12, 10]
+    assert ids(solvent="tH") == [10] and ids(solvent="none") == [11] and ids(catalyst="pd") == [11]
+    assert ids(chemical="phenol") == [10] and ids(chemical="'pressure_bar': 1.5") == [12] and ids(chemical="STIRRED []") == [12]
+    assert ids(chemical="'role': 'product', 'name': 'phenol'", solvent="thf") == [10]
+    got = {r.id: (r.document_title, r.confidence) for r in experiments.listing(made, docs).collect()}
+    assert got == {10: ("One", 0.88), 11: ("One", 0.85), 12: ("Scientific Paper", 0.85)}
+    assert experiments.listing(made.where("false"), docs, chemical="x").count() == 0
+
+
+def test_cache_keys(spark):
+    rows = [("pubchem", "name", " Aspirin\t"), ("crossref", None, "10.1/X "), ("europepmc", None, "aB "), ("ncbi", None, None), ("other", "name", "x"), (None, "name", "x")]
+    df = spark.createDataFrame(rows, "p string, k string, i string")
+    got = [r[0] for r in df.select(ops.cache_key(F.col("p"), F.col("k"), F.col("i"), "c")).collect()]
+    assert got == ["c:pubchem:name:aspirin", "c:crossref:doi:10.1/x", "c:europepmc:query:aB ", None, None, None]
+
+
+def test_genre_scores_against_plain_counts(spark):
+    rng = random.Random(5)
+    bits = [re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", p) for signals in extract.GENRES.values() for p in signals]
+    bits = [re.sub(r"\\d(\{\d[\d,]*\}|\+)?", "1234", re.sub(r"\[[^\]]*\]\+?", "12", b)).replace(r"\s+", " ").replace(r"\s*", " ").replace(r"\b", "").replace("\\", "").replace("?", "") for b in bits]
+    texts = [" ".join(rng.choice(bits) + rng.choice(["", "", "s", "x"]) for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = {r.id: r.s.asDict() for r in df.select("id", extract.genre_scores(F.col("t"), F.lit(None).cast("string"), F.lit(50)).alias("s")).collect()}
+    hit = set()
+    for i, t in enumerate(texts):
+        for genre, signals in extract.GENRES.items():
+            counts = {p: len(re.findall(f"({p})", "\n" + (t or "").lower())) for p in signals}
+            hit |= {p for p, n in counts.items() if n}
+            assert got[i][genre] == sum(w * min(counts[p], 3) for p, w in signals.items())
+    assert len(hit) > 55
