@@ -9,7 +9,8 @@ from orefield.functions import text as T
 from orefield.operators.retrieval import CAS, rank
 from orefield.session import materialize
 
-FORMULA = r"\b((?:[A-Z][a-z]?\d*){2,})\b"
+#: Its ends are those of ASCII words: a bare \b takes other letters for parts of a word in some Java versions and not in others.
+FORMULA = r"(?<!\w)((?:[A-Z][a-z]?\d*){2,})(?!\w)"
 
 
 def rerank_score(query: Column, text: Column, asked: Column | None = None, held: Column | None = None) -> Column:

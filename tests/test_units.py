@@ -66,6 +66,13 @@ def test_rerank_score(spark):
     assert value(spark, rerank.rerank_score(F.lit(""), F.lit(t))) == 0.0
 
 
+def test_formulas_and_numbers_end_at_letters_beyond_ascii(spark):
+    """As in the SQL, the SS of SSö is a formula and a registry number may touch an accented letter."""
+    for q, t, weight in (("SSö", "KLASSE", 0.25), ("é50-00-0", "x50-00-0y", 0.4 + 0.5 / 3 + 0.3 / 5), ("aSS", "KLSSE", 0.0)):
+        s = round(1 / (1 + math.exp(-2.5 * (weight - 0.5))), 4)
+        assert math.isclose(value(spark, rerank.rerank_score(F.lit(q), F.lit(t))), s)
+
+
 def test_vectors(spark):
     a, b, zero = (F.array(*map(F.lit, v)) for v in ([3.0, 4.0], [4.0, 3.0], [0.0, 0.0]))
     assert math.isclose(value(spark, V.cosine(a, b)), 24 / 25) and value(spark, V.cosine(a, zero)) == 0.0
