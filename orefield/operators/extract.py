@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
+from orefield.session import spread
 
 # Weighted genre signals, in the order that breaks ties.
 GENRES = {
@@ -211,7 +212,7 @@ def experiments(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each paragraph of over 30 characters with a marker, with the record's fields beside df's other columns."""
     paragraphs = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n"), lambda p: F.trim(p))
     good = F.filter(paragraphs, lambda p: (F.length(p) > 30) & has_any(F.lower(p), MARKERS))
-    rows = df.select(*(c for c in df.columns if c != text), F.posexplode(good).alias("paragraph", "p"))
+    rows = spread(df).select(*(c for c in df.columns if c != text), F.posexplode(good).alias("paragraph", "p"))
     return rows.withColumn("e", experiment(F.col("p"))).select(*(c for c in rows.columns if c != "p"), "e.*")
 
 
