@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from orefield.functions import text as T
 from orefield.operators import relational as R
+from orefield.session import ship, spread
 
 
 def html_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -29,37 +36,112 @@ def _first(xml: Column, *paths: str) -> Column:
     return F.coalesce(*(T.non_empty(F.trim(F.xpath_string(xml, F.lit(p)))) for p in paths))
 
 
-def tei(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """docs plus title, doi, authors, affiliations, abstract, sections array<struct<title,text>>, references and formulas."""
-    x = F.col(xml)
-    person = _pieces(x, "author")
-    names = F.transform(person, lambda a: F.trim(F.array_join(F.filter(F.concat(_texts(a, "/author/persName/forename/text()"), _texts(a, "/author/persName/surname/text()")), lambda s: s != ""), " ")))
-    divs = _pieces(F.regexp_extract(x, r"(?s)(<body>.*</body>)", 1), "div")
-    section = lambda d: F.struct(F.coalesce(_first(d, "/div/head/text()"), F.lit("Section")).alias("title"), F.array_join(_texts(d, "/div/p/text()"), "\n\n").alias("text"))
-    refs = F.transform(_pieces(x, "biblStruct"), lambda b: F.struct(
-        _first(b, '//title[@level="a"]/text()', '//title[@level="m"]/text()').alias("title"),
-        _texts(b, "//author/persName/surname/text()").alias("authors"),
-        R.year_of(F.xpath_string(b, F.lit("//date/@when"))).alias("year"),
-        _first(b, '//idno[@type="DOI"]/text()').alias("doi"),
-        _first(b, '//title[@level="j"]/text()').alias("journal"),
-    ))
-    abstract = F.array_join(_texts(x, "//abstract//p/text()"), "\n\n")
-    return docs.select(
-        *(c for c in docs.columns if c != xml),
-        _first(x, '//title[@level="a"]/text()', "//title/text()").alias("title"),
-        _first(x, '//idno[@type="DOI"]/text()').alias("doi"),
-        F.filter(names, lambda n: n != "").alias("authors"),
-        F.array_distinct(F.transform(_texts(x, "//author/affiliation/text()"), lambda a: T.squeeze(a))).alias("affiliations"),
-        T.non_empty(abstract).alias("abstract"),
-        F.transform(divs, section).alias("sections"),
-        refs.alias("references"),
-        F.filter(_texts(x, "//formula/text()"), lambda f: f != "").alias("formulas"),
-    )
+_REFERENCES = "array<struct<title:string,authors:array<string>,date:string,doi:string,journal:string>>"
+_NODES = f"title string, doi string, authors array<string>, affiliations array<string>, abstract array<string>, sections array<struct<title:string,text:string>>, references {_REFERENCES}, formulas array<string>"
 
 
-def _pieces(xml: Column, tag: str) -> Column:
-    """The outer XML of each element of this name that doesn't nest."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
+def tei(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """docs plus title, doi, authors, affiliations, abstract, sections array<struct<title,text>>, references and formulas.
+
+    Each document is parsed once; one that isn't well-formed is an error. Prefixes of names count as parts of them.
+    """
+    ship(docs.sparkSession)
+    kept = [f for f in docs.schema if f.name != xml]
+    kinds = to_arrow_schema(StructType.fromDDL(_NODES))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), _NODES.replace("references", "`references`")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_nodes(t.as_py()) for t in batch.column(len(kept))]
+            made = [pa.array([n.get(k.name) for n in found], k.type) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[*(f.name for f in kept), *kinds.names])
+
+    out = spread(docs).select(*(f.name for f in kept), xml).mapInArrow(run, fields)
+    refs = F.transform("references", lambda r: F.struct(r["title"], r["authors"], R.year_of(r["date"]).alias("year"), r["doi"], r["journal"]))
+    return out.withColumns({
+        "affiliations": F.array_distinct(F.transform("affiliations", T.squeeze)),
+        "abstract": T.non_empty(F.array_join("abstract", "\n\n")),
+        "references": refs,
+    })
+
+
+def _nodes(xml: str | None) -> dict:
+    """The fields of one document by one pass over its elements; a text ends at every tag, comment and instruction."""
+    if not xml:
+        return {} if xml is None else {"authors": [], "sections": [], "references": []}
+    authors, divs, refs, path, buffer = [], [], [], [], []
+    lists: dict[str, list[str]] = {"affiliations": [], "abstract": [], "formulas": []}
+    head: dict[str, str] = {}
+    # Depths of the open element of each kind; elements of its name within it belong to it.
+    depth: dict[str, int] = {}
+
+    def text() -> None:
+        if not buffer:
+            return
+        t, (name, attrs) = "".join(buffer).strip(" "), path[-1]
+        buffer.clear()
+        up = path[-2][0] if len(path) > 1 else ""
+        inner = lambda kind: [n for n, _ in path[depth[kind] :]] if kind in depth else None
+        if name == "title":
+            for record in (head, refs[-1]) if "biblStruct" in depth else (head,):
+                record.setdefault(f"title {attrs.get('level')}", t)
+            head.setdefault("title", t)
+        elif name == "idno" and attrs.get("type") == "DOI":
+            for record in (head, refs[-1]) if "biblStruct" in depth else (head,):
+                record.setdefault("doi", t)
+        elif name == "forename" and inner("author") == ["persName", "forename"]:
+            authors[-1][0].append(t)
+        elif name == "surname":
+            if inner("author") == ["persName", "surname"]:
+                authors[-1][1].append(t)
+            if "biblStruct" in depth and [n for n, _ in path[-3:-1]] == ["author", "persName"] and len(path) - 2 > depth["biblStruct"]:
+                refs[-1]["authors"].append(t)
+        elif name == "affiliation" and up == "author":
+            lists["affiliations"].append(t)
+        elif name == "formula" and t:
+            lists["formulas"].append(t)
+        elif name == "head" and inner("div") == ["head"]:
+            divs[-1].setdefault("title", t)
+        elif name == "p":
+            if any(n == "abstract" for n, _ in path):
+                lists["abstract"].append(t)
+            if inner("div") == ["p"]:
+                divs[-1]["text"].append(t)
+
+    def start(name: str, attrs: dict[str, str]) -> None:
+        text()
+        path.append((name, attrs))
+        if name == "date" and "when" in attrs and "biblStruct" in depth:
+            refs[-1].setdefault("date", attrs["when"])
+        if name in ("author", "biblStruct", "body", "div") and name not in depth and (name != "div" or "body" in depth):
+            depth[name] = len(path)
+            if name == "author":
+                authors.append(([], []))
+            elif name == "div":
+                divs.append({"text": []})
+            elif name == "biblStruct":
+                refs.append({"authors": []})
+
+    def end(name: str) -> None:
+        text()
+        if depth.get(name) == len(path):
+            del depth[name]
+        path.pop()
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, buffer.append
+    parser.CommentHandler, parser.ProcessingInstructionHandler = lambda _: text(), lambda *_: text()
+    parser.Parse(xml, True)
+    names = (" ".join(t for t in [*first, *last] if t).strip(" ") for first, last in authors)
+    return {
+        **lists,
+        "title": head.get("title a") or head.get("title") or None,
+        "doi": head.get("doi") or None,
+        "authors": [n for n in names if n],
+        "sections": [{"title": d.get("title") or "Section", "text": "\n\n".join(d["text"])} for d in divs],
+        "references": [{"title": r.get("title a") or r.get("title m") or None, "authors": r["authors"], "date": r.get("date", ""), "doi": r.get("doi") or None, "journal": r.get("title j") or None} for r in refs],
+    }
 
 
 CROSSREF = "struct<title:array<string>,author:array<struct<given:string,family:string>>,issued:struct<`date-parts`:array<array<int>>>,`container-title`:array<string>,DOI:string,URL:string,`is-referenced-by-count`:int>"
@@ -74,7 +156,7 @@ def scholarly(rows: DataFrame, payload: str = "json", provider: str = "provider"
     crossref, openalex, semantic_scholar and pubmed hold JSON, arxiv an Atom entry.
     """
     p = F.col(provider)
-    parsed = rows.withColumns(
+    parsed = spread(rows).withColumns(
         {n: F.when(p == name, F.from_json(payload, kind)) for n, name, kind in (("_c", "crossref", CROSSREF), ("_o", "openalex", OPENALEX), ("_s", "semantic_scholar", SEMANTIC), ("_p", "pubmed", PUBMED))}
     )
     bare = F.regexp_replace(F.col(payload), r"<(/?)\w+:", "<$1")

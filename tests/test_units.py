@@ -187,6 +187,34 @@ def test_arxiv_and_semantic_scholar(spark):
     assert got["openalex"].title == "Untitled Publication"
 
 
+def test_tei_nodes(spark):
+    """Texts end at tags and comments, spaces alone don't count as titles; a division within a division is part of it."""
+    xml = (
+        '<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><title level="a">A &amp; b</title><author><persName><forename>A</forename><forename>B</forename>'
+        "<surname>C</surname></persName><affiliation>L\n 1</affiliation></author><abstract><div><p>p1</p></div><p> p2 <b>q</b> z</p></abstract><text><body><div><head> I </head><p>x<!-- c -->y</p></div><div><p>z</p>"
+        '<div><p>in</p></div></div></body></text><formula> </formula><formula>f</formula><biblStruct><title level="m">M</title><author><persName><surname>S</surname></persName></author>'
+        '<idno type="DOI">10.2/y</idno><date/><date when="2001-02"/></biblStruct></TEI>'
+    )
+    rows = {r.id: r.asDict(True) for r in markup.tei(spark.createDataFrame([(1, xml), (2, None), (3, "")], "id int, xml string")).collect()}
+    assert rows[1] == {
+        "id": 1, "title": "A & b", "doi": "10.2/y", "authors": ["A B C", "S"], "affiliations": ["L 1"], "abstract": "p1\n\np2\n\nz", "sections": [{"title": "I", "text": "x\n\ny"}, {"title": "Section", "text": "z"}],
+        "references": [{"title": "M", "authors": ["S"], "year": 2001, "doi": "10.2/y", "journal": None}], "formulas": ["f"],
+    }
+    assert all(v is None for k, v in rows[2].items() if k != "id") and rows[3]["sections"] == [] and rows[3]["formulas"] is None
+    with pytest.raises(Exception, match="not well-formed|no element|unclosed"):
+        markup.tei(spark.createDataFrame([("<a",)], "xml string")).collect()
+
+
+def test_rows_of_one_small_file_are_dealt_over_the_cluster(spark):
+    one = spark.range(1000).coalesce(1)
+    for out in (
+        extract.experiments(one.select("id", F.lit("The mixture was heated to 80 °C for two hours.").alias("text"))),
+        markup.tei(one.select("id", F.lit("<TEI/>").alias("xml"))),
+        markup.scholarly(one.select("id", F.lit("{}").alias("json"), F.lit("crossref").alias("provider"))),
+    ):
+        assert out.select(F.spark_partition_id().alias("p"), "id").distinct().groupBy("p").count().where("count > 100").count() >= 4
+
+
 def test_normalize_name(spark):
     assert value(spark, T.normalize_name(F.lit("  Éth4nol -- VX "))) == "ethanol vx nerve agent"
     assert value(spark, T.deobfuscate(F.lit("s a_r.1 n"))) == "sarin"
