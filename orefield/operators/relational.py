@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions import text as T
+from orefield.session import ship
 
+#: Texts are split into words in slices of about so many characters.
+SLICE_CHARS = 1 << 20
 MAX_UPLOAD = 50 * 1024 * 1024
 UPLOAD_TYPES = ("application/pdf", "application/x-pdf", "application/octet-stream")
 
@@ -159,6 +166,43 @@ def map_lines(m: Column, drop: tuple[str, ...] = ("synonyms", "cid")) -> Column:
     return F.array_join(F.transform(kept, lambda e: F.concat(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), e["value"])), ", ")
 
 
+def inverted_index(df: DataFrame, text: str = "text") -> DataFrame:
+    """df's other columns and index, the word -> positions map of each text between single spaces; null text, null index.
+
+    Words are grouped within their own batch, so no word leaves its row and nothing is shuffled.
+    """
+    ship(df.sparkSession)
+    kept = [f for f in df.schema if f.name != text]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "index map<string, array<int>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            while start < len(batch):
+                words, sizes, stop, chars = [], [], start, 0
+                while stop < len(batch) and chars < SLICE_CHARS:
+                    t = batch.column(len(kept))[stop].as_py()
+                    own = [] if t is None else t.split(" ")
+                    words += own
+                    sizes.append(None if t is None else len(own))
+                    stop, chars = stop + 1, chars + len(t or "")
+                many = np.array([n or 0 for n in sizes])
+                row, place = np.repeat(np.arange(len(many)), many), np.concatenate([np.arange(n) for n in many])
+                coded = pa.array(words, pa.string()).dictionary_encode()
+                code = np.asarray(coded.indices)
+                order = np.lexsort((place, code, row))
+                code, row, place = code[order], row[order], place[order]
+                fresh = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(row, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                first = np.searchsorted(row[fresh], np.arange(len(many) + 1)).tolist()
+                offsets = pa.array([None if n is None else o for n, o in zip([*sizes, 0], first)], pa.int32())
+                index = pa.MapArray.from_arrays(offsets, coded.dictionary.take(pa.array(code[fresh])), lists)
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[: len(kept)]), index], names=[*(f.name for f in kept), "index"])
+                start = stop
+
+    return df.select(*(f.name for f in kept), text).mapInArrow(run, fields)
+
+
 def inverted_abstract(index: Column) -> Column:
     """The text of a word -> positions map."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

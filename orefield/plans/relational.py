@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefield.functions import text as T
 from orefield.operators import relational as R
 from orefield.operators import retrieval
 from orefield.plans.registry import query, views
@@ -196,9 +197,7 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1900 + doc_id % 100 END AS year FROM documents")
 def inverted_abstract(spark: SparkSession, sf: str) -> DataFrame:
     (d,) = views(spark, sf, "documents")
-    words = F.split(F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")), " ")
-    placed = d.select("doc_id", F.posexplode(words).alias("p", "key")).groupBy("doc_id", "key").agg(F.collect_list("p").alias("value"))
-    index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("index"))
+    index = R.inverted_index(d.select("doc_id", T.squeeze(F.col("text")).alias("text")))
     date = F.when(F.col("doc_id") % 3 == 0, F.lit("n.d.")).otherwise(F.concat((F.col("doc_id") % 100 + 1900).cast("string"), F.lit("-01-02")))
     return index.select("doc_id", R.inverted_abstract(F.col("index")).alias("abstract"), F.coalesce(R.year_of(date), F.lit(0)).cast("long").alias("year"))
 

@@ -215,6 +215,15 @@ def test_rows_of_one_small_file_are_dealt_over_the_cluster(spark):
         assert out.select(F.spark_partition_id().alias("p"), "id").distinct().groupBy("p").count().where("count > 100").count() >= 4
 
 
+def test_inverted_index_keeps_words_in_their_rows(spark, monkeypatch):
+    texts = [(1, "b a b"), (2, None), (3, ""), (4, "a"), (4, "b a"), (5, " ".join(f"w{i % 7}" for i in range(500)))]
+    index = relational.inverted_index(spark.createDataFrame(texts, "id int, text string"))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    rows = index.select("id", "index", relational.inverted_abstract(F.col("index")).alias("t")).collect()
+    assert sorted(((r.id, r.t) for r in rows), key=repr) == sorted(texts, key=repr)
+    assert next(r["index"] for r in rows if r.id == 1) == {"b": [0, 2], "a": [1]} and next(r["index"] for r in rows if r.id == 2) is None
+
+
 def test_normalize_name(spark):
     assert value(spark, T.normalize_name(F.lit("  Éth4nol -- VX "))) == "ethanol vx nerve agent"
     assert value(spark, T.deobfuscate(F.lit("s a_r.1 n"))) == "sarin"
