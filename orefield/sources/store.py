@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators.relational import storage_key
-from orefield.session import ship
+from orefield.session import ship, spread
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -36,7 +36,10 @@ def _held(system: fs.FileSystem, path: str) -> bool:
 
 
 def _each(df: DataFrame, fields: str, types: list[pa.DataType], work: Callable[..., tuple], root: str) -> DataFrame:
-    """df (id, key, ...) -> (id, key, fields): ``work`` of (file system, path, the row's further values)."""
+    """df (id, key, ...) -> (id, key, fields): ``work`` of (file system, path, the row's further values).
+
+    Keys are a few bytes and their objects' work is not, so the rows are dealt over the cluster.
+    """
     ship(df.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:2])
     names = df.columns[:2] + [f.split()[0] for f in fields.split(", ")]
@@ -50,7 +53,7 @@ def _each(df: DataFrame, fields: str, types: list[pa.DataType], work: Callable[.
                 made = work(system, _path(base, key), *rest)
                 yield pa.RecordBatch.from_arrays([*row.columns[:2], *(pa.array([v], t) for v, t in zip(made, types))], names=names)
 
-    return df.mapInArrow(run, f"{kinds}, {fields}")
+    return spread(df).mapInArrow(run, f"{kinds}, {fields}")
 
 
 def save(objects: DataFrame, root: str, id_col: str = "id", org: str = "organization_id", filename: str = "filename", content: str = "content") -> DataFrame:

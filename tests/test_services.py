@@ -79,6 +79,12 @@ def test_store_round_trip_and_repeats(spark, tmp_path):
             store.get(spark.createDataFrame([(1, key)], "id long, storage_key string"), root).collect()
 
 
+def test_keys_of_one_small_file_are_dealt_over_the_cluster(spark, tmp_path):
+    keys = spark.range(400).coalesce(1).select("id", F.concat(F.lit("org/"), F.col("id").cast("string")).alias("storage_key"))
+    for out in (store.exists(keys, f"file://{tmp_path}"), store.get(keys, f"file://{tmp_path}"), store.delete(keys, f"file://{tmp_path}")):
+        assert out.groupBy(F.spark_partition_id()).count().where("count > 40").count() >= 4
+
+
 def test_progress_survives_a_restart_and_a_replay(spark, tmp_path):
     rows = [(1, "a", "view"), (2, "a", "purchase"), (3, "b", "view"), (4, None, "click"), (5, "b", None), (6, "a", "view"), (7, "c", "error")]
     stages = ["view", "click", "purchase"]
