@@ -1,7 +1,7 @@
 """Full-text search over a positional index: query grammar, cover-density ranks, highlights.
 
-``build`` writes postings (word, id, positions) once, dealt by word and id, so the list of a word that a third of all
-texts hold is many tasks and files. A query is words, "phrases", -excluded ones and ``or``, which parts groups; a group's
+``build`` writes postings (word, id, positions) once, dealt by texts and sorted by word, so the list of a word that a third
+of all texts hold is many tasks and files, and only texts are shuffled. A query is words, "phrases", -excluded ones and ``or``, which parts groups; a group's
 terms must all match. Each group looks up its rarest word alone; its other words are then joined by word and text, so no
 list of a common word is read out for a query that has a rarer one.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import text as T
 from orefield.operators.retrieval import identifiers, rank
-from orefield.session import materialize, ship
+from orefield.session import materialize, ship, spread
 
 WORD = re.compile(r"\w+")
 PART = re.compile(r'-?"[^"]*"?|\S+')
@@ -102,9 +102,9 @@ def build(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> FullTe
                 out = pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(ids[first]), lists], names=["word", "id", "positions"])
                 yield out.filter(pa.array(np.asarray(out.column(0).to_numpy(zero_copy_only=False) != "", dtype=bool)))
 
-    made = texts.mapInArrow(postings, "word string, id long, positions array<int>")
-    # Ranges of (word, hash of the id): readers skip files and row groups by word.
-    stored = materialize(made.repartitionByRange("word", F.xxhash64("id")).sortWithinPartitions("word"), "postings")
+    made = spread(texts).mapInArrow(postings, "word string, id long, positions array<int>")
+    # A range of words for each file would take a sample first, and with it a second pass over the texts.
+    stored = materialize(made.sortWithinPartitions("word"), "postings")
     return FullText(texts, stored, materialize(stored.groupBy("word").agg(F.count("*").alias("texts")), "frequencies"))
 
 
@@ -136,9 +136,11 @@ def _matched(index: FullText, parsed: DataFrame) -> DataFrame:
     own = F.when(~F.col("excluded"), F.struct("texts", "word"))
     groups = known.groupBy("query_id", "grp").agg(F.min(own).alias("rarest"), F.countDistinct(F.when(~F.col("excluded"), F.col("term"))).alias("n_terms"))
     groups = groups.where("rarest.texts > 0").select("query_id", "grp", "n_terms", F.col("rarest.word").alias("word"))
-    candidates = groups.join(index.postings.select("word", "id"), "word").select("query_id", "grp", "n_terms", "id")
+    # Of the postings only those of asked words are read on; the others take no part in a join by word and text.
+    asked = index.postings.join(known.where("texts > 0").select("word").distinct(), "word", "left_semi")
+    candidates = groups.join(asked.select("word", "id"), "word").select("query_id", "grp", "n_terms", "id")
     words = known.where("texts > 0").select("query_id", "grp", "term", "excluded", "place", "word", "width", "n_words")
-    held = candidates.join(words, ["query_id", "grp"]).join(index.postings, ["word", "id"])
+    held = candidates.join(words, ["query_id", "grp"]).join(asked, ["word", "id"])
     starts = F.transform("positions", lambda p: p - F.col("place"))
     lists = held.groupBy("query_id", "grp", "id", "term").agg(
         F.first("n_terms").alias("n_terms"),

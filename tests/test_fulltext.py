@@ -115,3 +115,16 @@ def test_empty_index(spark, index):
     none = fulltext.build(spark.createDataFrame([], "id long, text string"))
     asked = spark.createDataFrame([(1, "acid")], "query_id long, text string")
     assert fulltext.search(none, asked, 3).collect() == [] and fulltext.match(index, asked.limit(0)).collect() == []
+
+
+def test_the_index_reads_texts_once_and_deals_them(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = spark.range(400).coalesce(1).select("id", F.lit("some words").alias("text")).mapInArrow(count, "id long, text string")
+    index = fulltext.build(docs)
+    assert read.value == 400 and len(index.postings.inputFiles()) >= 4
