@@ -28,7 +28,9 @@ WORD = re.compile(r"\w+")
 PART = re.compile(r'-?"[^"]*"?|\S+')
 STOP = frozenset(T.STOP_WORDS)
 #: Texts are tokenised in slices of about so many characters.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
+#: A task remembers the stems of about so many words.
+STEMS = 1 << 16
 #: The weight of a word that has no other, in a cover's score.
 WEIGHT = 0.1
 
@@ -89,7 +91,7 @@ def build(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> FullTe
                 ids = np.repeat(np.asarray(batch.column(0).slice(start, stop - start)), row)
                 place = np.concatenate([np.arange(n) for n in row]) if row else np.zeros(0, np.int64)
                 start = stop
-                if len(stems) > 1 << 18:
+                if len(stems) > STEMS:
                     stems.clear()
                 for w in set(words) - stems.keys():
                     stems[w] = "" if w.lower() in STOP else stem(w.lower())
