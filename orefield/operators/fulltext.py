@@ -263,6 +263,8 @@ def highlight(
     Where no cover is, the first 200 characters.
     """
     wanted = parse(queries, query_id, query_text).where(~F.col("excluded")).groupBy("query_id").agg(F.collect_set("word").alias("wanted"))
+    # Written, so that its size is known and the texts needn't be shuffled to meet these few rows.
+    ranked = materialize(ranked, "ranked")
     rows = ranked.join(index.texts, "id").join(wanted, "query_id", "left")
     kept = [f.name for f in ranked.schema]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
