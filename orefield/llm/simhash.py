@@ -31,6 +31,8 @@ BAND_ROWS = 3
 MISS = 1e-5
 #: Classes of set sizes grow by this factor.
 SIZE_STEP = 1.02
+#: Bits for each key in the filter that rows pass before their texts are shuffled, and its most words of 64 bits.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 18
 #: Under each key each set is compared with so many others, within parts of about so many sets, before all pairs left apart are.
 NEIGHBOURS, PART_SETS = 8, 256
 
@@ -141,6 +143,17 @@ def _row_key(id_col: str, text_col: str) -> str:
     return f"concat(if(`{id_col}` is null, '-', '+'), coalesce(cast(`{id_col}` as string), ''), ' ', md5(coalesce(cast(`{text_col}` as string), '')))"
 
 
+def _key_filter(keys: DataFrame) -> tuple[DataFrame, Column]:
+    """(a table to be broadcast, a condition): the condition holds for every row whose column _row is one of the only column
+    of keys, and for few others, some 6 % of them at most up to a million keys. Beyond that more pass; none is ever lost."""
+    words = min(FILTER_WORDS, max(1, -(-keys.count() * FILTER_BITS // 64)))
+    at = lambda c: (F.pmod(F.xxhash64(c), F.lit(words)), F.shiftrightunsigned(F.xxhash64(c), 58).cast("int"))
+    word, bit = at(keys.columns[0])
+    made = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    word, bit = at("_row")
+    return F.broadcast(made), (F.col("_word") == word) & F.call_function("getbit", "_bits", bit).cast("boolean")
+
+
 def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of distinct, one for each fp, with the root of their component in the graph of edges (u, v)."""
     roots = connected_components(edges)
@@ -259,9 +272,10 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame
 
 
 def _texts_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text): one text for each asked sid."""
+    """(text): one text for each asked sid. Texts that aren't asked for are not shuffled, but for a few that a filter lets pass."""
     one = materialize(rows.groupBy("sid").agg(F.min("row_key").alias("_key")).join(asked, "sid").select("_key"), "asked")
     texts = docs.select(F.expr(_row_key(id_col, text_col)).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(*_key_filter(one), "left_semi")
     return texts.join(one, F.col("_row") == F.col("_key"), "left_semi").dropDuplicates(["_row"])
 
 
@@ -324,7 +338,8 @@ def _prefix_rows(sets: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str,
     held = materialize(held, "grams")
     often = held.groupBy("gram").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart")).where("n > 1")
     place = F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("n", F.lit(1)), "gram")).cast("int")
-    placed = held.join(often, "gram", "left").withColumn("place", place).where("apart").drop("n", "apart")
+    # Size and root meet the sets again when these lie together: twice shuffled with each shingle they'd be half of its bytes.
+    placed = held.select("sid", "gram").join(often, "gram", "left").withColumn("place", place).where("apart").drop("n", "apart").join(sets, "sid")
     share, step = similarity / (1 + similarity), math.log(SIZE_STEP)
     reach = math.ceil(-math.log(similarity) / step) + 1
     own_class = F.floor(F.log("size") / step).cast("int")
@@ -467,12 +482,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         edges = similar_links(rows, docs, id_col, text_col, width, similarity)
     classes = _classes(distinct, edges)
     stay = materialize(classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("stay")), "stay")
+    counts = rows.groupBy("row_key").agg(F.count("*").alias("n"))
+    unsure = materialize(counts.join(stay, F.col("row_key") == F.col("stay"), "left").where("stay is null or n > 1").select("row_key"), "unsure")
     discard(rows, distinct, edges, classes)
-    # Columns go by number here, so none of docs clashes. The join and the removal of repeated rows share one shuffle.
+    # Columns go by number here, so none of docs clashes. Rows that stay and don't repeat are passed on where they are read;
+    # of the others, the join and the removal of repeated rows share one shuffle.
     names = docs.columns
-    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.expr(_row_key(id_col, text_col)).alias("row"))
-    kept = keyed.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi")
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.expr(_row_key(id_col, text_col)).alias("_row"))
+    table, passes = _key_filter(unsure)
+    sure = keyed.join(table, passes, "left_anti").drop("_row")
+    kept = keyed.join(table, passes, "left_semi").join(stay.hint("merge"), F.col("_row") == F.col("stay"), "left_semi")
     # Maps have no hash; rows that differ in nothing else are told apart by no rule.
     hashed = F.xxhash64(*(f"c{i}" for i, c in enumerate(names) if "map<" not in docs.schema[i].dataType.simpleString()))
-    kept = kept.groupBy("row").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(names)))), hashed).alias("own")).select("own.*")
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    kept = kept.groupBy("_row").agg(F.min_by(F.struct(*(f"c{i}" for i in range(len(names)))), hashed).alias("own")).select("own.*")
+    return sure.union(kept).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

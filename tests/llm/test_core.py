@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from orefield.llm import decontaminate, linededup, piece, simhash, toxicity
 from orefield.llm.arrow import plain_words
 from orefield.llm.components import connected_components
+from orefield.session import materialize
 
 WORDS = "amber birch cedar delta ember flint grove heath inlet jetty knoll larch maple north ocean petal quill river stone thorn umber vivid waltz xenon yield zebra".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,6 +160,41 @@ def test_prefix_pairs_miss_none_that_is_similar(spark):
     rows.unpersist()
 
 
+def test_near_dedup_shuffles_few_texts_and_leaves_no_shuffle_files(spark):
+    """Of 400 long texts ten have a near copy; the other texts are not shuffled, and what is shuffled goes at once."""
+    rng = random.Random(23)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(800)) for _ in range(400)]
+    texts += [t.replace(t.split()[400], "new", 1) for t in texts[:10]]
+    docs = materialize(frame(spark, texts + texts[20:22], ids=[*range(410), 20, 21]), "docs")
+    store, disk = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    files = lambda: {f.name for top in disk.localDirsString() for f in Path(top).rglob("shuffle_*")}
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), (written(), files())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = materialize(simhash.keep_one(docs, similarity=0.8), "kept")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == list(enumerate(texts[:400]))
+    for _ in range(50):
+        time.sleep(0.2)  # Spark deletes in the background and counts a task's bytes a little later
+        if not files() - before[1]:
+            break
+    left = {f.split("_")[1] for f in files() - before[1]}
+    assert len(left) <= 20  # those of counts and other queries that wrote no table
+    assert written() - before[0] < 0.5 * sum(map(len, texts))
+
+
+def test_key_filter_lets_every_key_pass_and_few_others(spark):
+    rows = spark.range(60_000).select("id", F.concat(F.lit("k"), "id").alias("_row"))
+    keys = rows.where("id % 20 = 0").select("_row")
+    table, passes = simhash._key_filter(keys)
+    through = rows.join(table, passes, "left_semi")
+    assert through.where("id % 20 = 0").count() == 3_000 and through.count() < 3_000 + 0.1 * 60_000
+    assert rows.join(table, passes, "left_anti").count() + through.count() == 60_000
+    assert rows.join(*simhash._key_filter(keys.where("false")), "left_semi").count() == 0
+
+
 def test_rows_that_repeat_id_and_text_keep_the_same_one(spark):
     rows = [(1, "a b c d e f g h i j", "en", f"s{i}", i) for i in range(20)]
     kept = {simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(n), similarity=0.8).first().source for n in (1, 3, 7)}
