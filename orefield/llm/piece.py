@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from array import array
 from collections import Counter
 from itertools import chain
@@ -17,8 +18,8 @@ from orefield.llm.arrow import begin_task, held, map_texts
 from orefield.session import ship
 
 SPACE = "▁"
-#: A unit is spaces and then other characters; no piece of the vocabulary reaches over its end (checked on loading).
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: The library checks so many units in one text, with a character between them that no piece holds.
+CHECKED = 16
 #: Two generations of remembered units take at most about twice this and a slice of text.
 CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 200
@@ -33,6 +34,28 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """A unit is spaces and then letters only or others only, where pieces keep them apart. No piece reaches over its end.
+
+    Characters that stand side by side in a piece are of one kind, and so is what these stand beside elsewhere.
+    """
+    kind: dict[str, str] = {}
+
+    def of(c: str) -> str:
+        while (up := kind.setdefault(c, c)) != c:
+            kind[c] = c = kind[up]
+        return c
+
+    for p in pieces:
+        for a, b in zip(p.lstrip(SPACE), p.lstrip(SPACE)[1:]):
+            kind[of(a)] = of(b)
+    chars = {c for p in pieces for c in p} - {SPACE}
+    lettered = {of(c) for c in chars if c.isalpha()}
+    letters = re.escape("".join(sorted(c for c in chars if of(c) in lettered)))
+    apart = f"{SPACE}*[{letters}]+|" if letters else ""
+    return re.compile(f"{apart}{SPACE}*[^{letters}{SPACE}]+|{SPACE}+")
+
+
 class PieceModel:
     """A merge-type vocabulary with byte fallback and without text normalisation, as the library loads it."""
 
@@ -53,10 +76,13 @@ class PieceModel:
             self.bytes_of[i] = self.pieces[i].replace(SPACE, " ").encode()
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
-        # Symbols are numbered: the pieces, then characters that are none. A pair of symbols that make a piece has a row here.
+        # Symbols are numbered: the pieces, then characters that are none, then all that are in none. A pair of symbols that make a piece has a row here.
         self.symbols = dict(self.ids)
         for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
             self.symbols[c] = n + len(self.symbols)
+        self.symbol_of = np.full(sys.maxunicode + 1, n + len(self.symbols), np.int32)
+        for c in filter(lambda c: len(c) == 1, self.symbols):
+            self.symbol_of[ord(c)] = self.symbols[c]
         made = {(self.symbols[p[:i]], self.symbols[p[i:]]): p for p in self.ids for i in range(1, len(p)) if p[:i] in self.symbols and p[i:] in self.symbols}
         pairs = sorted(made)
         self.pair_keys = np.array([a << 32 | b for a, b in pairs], np.int64)
@@ -69,8 +95,10 @@ class PieceModel:
         tied = {p for p in merged if times[self.rank[p]] > 1}
         self.tied = [p for p in tied if not any(q != p and q in p for q in tied)]
         self.pair_ranks = np.array([self.rank[made[x]] for x in pairs], np.int32)
+        self.unit = unit_pattern(list(self.ids))
         if len(self.byte_ids) != 256 or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the vocabulary needs 256 byte pieces and spaces only at the start of a piece")
+        self.between = next(c for c in map(chr, chain([10], range(0xE000, 0xF900))) if c not in self.symbols)
 
     def encode_unit(self, unit: str) -> list[int]:
         """Merge the best-ranked adjacent pair, the leftmost on ties, until no pair is a piece."""
@@ -119,14 +147,14 @@ class PieceModel:
         """As ``encode_unit`` for each, packed; the agendas of units of equal length are worked off side by side."""
         out: list[bytes] = [b""] * len(units)
         by_length: dict[int, list[int]] = {}
-        known = self.symbols.keys()
+        tied = {u for p in self.tied for u in units if p in u}
         for i, u in enumerate(units):
-            if len(u) <= LONG_UNIT and known >= set(u) and not any(p in u for p in self.tied):
+            if len(u) <= LONG_UNIT and u not in tied:
                 by_length.setdefault(len(u), []).append(i)
             else:
                 out[i] = array("i", self.encode_unit(u)).tobytes()
         for length, owners in by_length.items():
-            symbols = np.fromiter(map(self.symbols.__getitem__, "".join([units[i] for i in owners])), np.int32).reshape(-1, length)
+            symbols = self.symbol_of[np.frombuffer("".join([units[i] for i in owners]).encode("utf-32-le"), np.uint32)].reshape(-1, length)
             ids = self._merge(symbols)
             some = ids >= 0
             data, ends = ids[some].tobytes(), np.cumsum(some.sum(axis=1) * 4).tolist()
@@ -172,7 +200,7 @@ class PieceModel:
 
     def units(self, text: str) -> list[str]:
         """The library's view of a text: a space put before it, spaces escaped; nothing for an empty text."""
-        return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.encode_unit(u)]
@@ -182,13 +210,14 @@ class PieceModel:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
     def check(self, units: list[str], ids: list[bytes]) -> None:
-        """Compare with the library, which puts a space of its own before a unit: so give it units without theirs."""
-        asked = [i for i, u in enumerate(units) if u[0] == SPACE and len(u) > 1]
-        told = self.library.encode([units[i][1:] for i in asked], num_threads=1)
-        same = list(map(len, told)) == [len(ids[i]) // 4 for i in asked]
-        if not same or array("i", chain.from_iterable(told)).tobytes() != b"".join([ids[i] for i in asked]):
-            wrong = next(units[i] for i, x in zip(asked, told) if array("i", x).tobytes() != ids[i])
-            raise ValueError(f"the agenda and the library encode {wrong!r} differently")
+        """Compare with the library, which sees CHECKED units in a text, each behind a character that merges with none."""
+        mark = array("i", map(self.byte_ids.__getitem__, self.between.encode())).tobytes()
+        head = array("i", self.library.encode(self.between)).tobytes()  # with the space that the library puts before a text
+        parts = [slice(i, i + CHECKED) for i in range(0, len(units), CHECKED)]
+        told = self.library.encode([self.between + self.between.join(units[p]) for p in parts], num_threads=1)
+        for p, x in zip(parts, told):
+            if array("i", x).tobytes() != head + mark.join(ids[p]):
+                raise ValueError(f"the agenda and the library encode one of {units[p]!r} differently")
 
 
 def load_model(path: str) -> PieceModel:

@@ -498,6 +498,24 @@ def test_encoding_and_decoding_equal_the_library(spark):
         assert back[i] == sp.decode(ids)
 
 
+def test_units_keep_letters_and_others_apart():
+    m, rng = piece.PieceModel(PATH), random.Random(5)
+    marks = ["", ",", ".", "***", "!!\n", ".\n\t", "%%%", "\u00b2.", "42", "_x", "\u0301", "\ue000", "\U0001f600"]
+    words = ["Haus", "ñandú", "дом", "中文", "don't", "é", "tzpfbe"]
+    texts = [rng.choice(["", " ", "  "]).join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    units = [m.units(t) for t in texts]
+    assert ["".join(u) for u in units] == ["▁" + t.replace(" ", "▁") for t in texts]
+    few = m.units(" ".join(w + x for w in words[:4] for x in (",", ".", "***", "!!\n")))
+    assert {u for u in few if any(c.isalpha() for c in u)} == {"▁" + w for w in words[:4]}  # one for each word, whatever follows it
+    cache = piece.Units(m)
+    cache.learn({u for x in units for u in x})
+    told = sentencepiece.SentencePieceProcessor(model_file=PATH).encode(texts)
+    assert [np.frombuffer(b"".join(cache[u] for u in x), np.int32).tolist() for x in units] == told
+    some = sorted(cache)[:50]
+    with pytest.raises(ValueError, match="differently"):
+        m.check(some, [cache[u] for u in some[:-1]] + [b"\0\0\0\0"])
+
+
 # -- line dedup ------------------------------------------------------------------------------------------------------
 
 
