@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from orefield.llm import decontaminate, linededup, piece, simhash, toxicity
-from orefield.llm.arrow import plain_words
+from orefield.llm.arrow import map_texts, plain_words
 from orefield.llm.components import connected_components
-from orefield.session import materialize
+from orefield.session import BATCH, materialize, ship
 
 WORDS = "amber birch cedar delta ember flint grove heath inlet jetty knoll larch maple north ocean petal quill river stone thorn umber vivid waltz xenon yield zebra".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -559,3 +559,22 @@ def test_line_dedup_repeated_rows_null_ids_and_empty(spark):
     got = sorted((r.doc_id or -1, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, ""), (1, long), (1, long), (2, ""), (3, "short"), (4, "short")]
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# -- batches ---------------------------------------------------------------------------------------------------------
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("toxic "), 700).alias("text"))
+    measure = lambda: lambda texts, part: {"bytes": [part.column(1).buffers()[2].size] * len(texts)}
+    largest = lambda: map_texts(docs, {"doc_id": "doc_id"}, "bytes long", measure).agg(F.max("bytes"), F.count("*")).first()
+    before = spark.conf.get(BATCH, None)
+    try:
+        spark.conf.unset(BATCH)
+        most, n = largest()
+        assert n == 3000 and most < 6 << 20  # 12.6 MB of texts were one batch
+        spark.conf.set(BATCH, "16m")  # who sets a bound keeps it
+        ship(spark)
+        assert spark.conf.get(BATCH) == "16m"
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
