@@ -101,6 +101,31 @@ def test_fingerprint_pairs_match_all_pairs(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_fingerprint_blocks_lose_no_pair(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "BLOCK", size)
+    rows = [(i, n) for i, n in enumerate(["CCO"] * 10 + [" CCO"] * 3 + ["CCCO"] * 7 + ["c1ccccc1", None, ""])] + [(5, "CCO"), (None, "CCO")]
+    e = spark.createDataFrame(rows, "id long, smiles string")
+    got = fingerprints.similar(e.where("id % 4 = 1").withColumnRenamed("id", "query_id"), e, 0.5, digits=2).collect()
+    key = lambda n: "CCO" if n in ("CCO", " CCO") else n
+    scores = {("CCO", "CCCO"): 0.83, ("CCCO", "CCO"): 0.83}
+    want = [(a, b, scores.get((key(m), key(n)), 1.0)) for a, m in rows if a is not None and a % 4 == 1 and m for b, n in rows if n and (key(m) == key(n) or (key(m), key(n)) in scores)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_of_one_fingerprint_are_told_by_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 64, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        e = spark.range(4000).select("id", F.lit("CCO").alias("smiles"))
+        pairs = fingerprints.similar(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e, 0.8)
+        told = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(told) == 200 * 4000 and max(told) < 0.6 * sum(told)
+
+
 def test_fingerprint_as_words_and_vector(spark):
     row = spark.createDataFrame([("Cc1ccccc1O",)], "s string").select(fingerprints.bits(F.col("s")).alias("b"))
     r = row.select("b", fingerprints.packed(F.col("b")).alias("p"), fingerprints.vector(F.col("b")).alias("v")).first()
